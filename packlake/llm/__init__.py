@@ -4,6 +4,7 @@ from importlib import import_module
 
 #: (module, query name)
 _OPERATORS = [
+    ("packing", "op9_packing"),
     ("quality_rules", "op8_quality_rules"),
 ]
 

@@ -47,12 +47,12 @@ def range_bounds(df: DataFrame, key: str, parts: int) -> list[int]:
 
 
 def range_part(column, bounds: list[int]):
-    """The number of cut points at or below a long column, by binary search."""
-
-    def search(lo: int, hi: int):
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(column < F.lit(bounds[mid]), search(lo, mid)).otherwise(search(mid + 1, hi))
-
-    return search(0, len(bounds))
+    """The number of cut points at or below a long column: a binary search in a
+    constant array, so the expression stays small for any number of ranges."""
+    array = F.lit(bounds).cast("array<bigint>")
+    steps = [1 << k for k in range(len(bounds).bit_length() - 1, -1, -1)]
+    return F.aggregate(
+        F.lit(steps),
+        F.lit(0),
+        lambda lo, step: F.when(F.get(array, lo + step - 1) <= column, lo + step).otherwise(lo),
+    )
