@@ -4,6 +4,8 @@ from importlib import import_module
 
 #: (module, query name)
 _OPERATORS = [
+    ("quality_classifier", "op5_quality_classifier"),
+    ("language_id", "op6_language_id"),
     ("packing", "op9_packing"),
     ("quality_rules", "op8_quality_rules"),
 ]
