@@ -4,6 +4,7 @@ from importlib import import_module
 
 #: (module, query name)
 _OPERATORS = [
+    ("url_filter", "op1_url_filter"),
     ("quality_classifier", "op5_quality_classifier"),
     ("language_id", "op6_language_id"),
     ("packing", "op9_packing"),
