@@ -8,6 +8,7 @@ the shared folder.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,3 +46,14 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         now.select(F.col("v"), F.col("v")).distinct()
     )
+
+
+def block_roots(link: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest id that each row and column of a link matrix reaches."""
+    big = np.iinfo(np.int64).max
+    while True:
+        r = np.minimum(right, np.where(link, left[:, None], big).min(axis=0, initial=big))
+        p = np.minimum(left, np.where(link, r[None, :], big).min(axis=1, initial=big))
+        if (r == right).all() and (p == left).all():
+            return left, right
+        left, right = p, r

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .common import table, written
-from .components import components
+from .components import block_roots, components
 from .packing import split_words
 
 WORDS, THRESHOLD = 5, 0.8
@@ -180,17 +180,6 @@ def _shared(a: list[np.ndarray], b: list[np.ndarray], met: np.ndarray) -> np.nda
     return acc.astype(np.int64)
 
 
-def _roots(link: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The smallest id that each row and column of a link matrix reaches."""
-    big = np.iinfo(np.int64).max
-    while True:
-        r = np.minimum(right, np.where(link, left[:, None], big).min(axis=0, initial=big))
-        l = np.minimum(left, np.where(link, r[None, :], big).min(axis=1, initial=big))
-        if (r == right).all() and (l == left).all():
-            return left, right
-        left, right = l, r
-
-
 def compare_blocks(pdf: pd.DataFrame, depth: int, threshold: float, n: int) -> pd.DataFrame:
     """Links of the rows of one block (i = j) or between two blocks of a component."""
     i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
@@ -206,7 +195,7 @@ def compare_blocks(pdf: pd.DataFrame, depth: int, threshold: float, n: int) -> p
     s = np.where(met, both / np.maximum(union, 1), 0.0)
     link = s >= threshold
     out = [(rep[a], link @ weight[b])]
-    left, right = _roots(link, rep[a], rep[b])
+    left, right = block_roots(link, rep[a], rep[b])
     roots = [left]
     if i != j:
         out.append((rep[b], link.T @ weight[a]))
