@@ -16,6 +16,7 @@ as often as they occur; an empty table gives no pieces; other columns are ignore
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from functools import lru_cache
@@ -30,7 +31,9 @@ from .common import range_bounds, range_part, table, written
 DIMS, BITS = 4, 8
 EOS = 2
 #: Words whose ids a worker remembers; the memory is emptied when it is full.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 400_000
+#: Documents that are tokenized together.
+SLICE = 1000
 
 PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -96,18 +99,18 @@ class Encoder:
         self.width = 2 if self.tokenizer.get_vocab_size() <= 65_536 else 4
         self.dtype = f"<u{self.width}"
 
-    def ids(self, words: list[str]) -> bytes:
+    def ids(self, texts: list[list[str]]) -> list[bytes]:
+        """Ids of texts given as words. New words go to the tokenizer in one call."""
         known = self.known
-        new = list({w for w in words if w not in known})
+        new = set().union(*texts).difference(known)
+        if len(known) + len(new) > CACHE_WORDS:
+            known.clear()
+            new = set().union(*texts)
         if new:
-            if len(known) + len(new) > CACHE_WORDS:
-                known.clear()
-                new = list(set(words))
-            for at in range(0, len(new), 4096):
-                part = new[at : at + 4096]
-                for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                    known[w] = np.array(e.ids, self.dtype).tobytes()
-        return b"".join(map(known.__getitem__, words))
+            words = list(new)
+            for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
+                known[w] = np.array(e.ids, self.dtype).tobytes()
+        return [b"".join(map(known.__getitem__, words)) for words in texts]
 
 
 @lru_cache(maxsize=1)
@@ -134,12 +137,13 @@ def tokenized(docs: DataFrame, tokenizer: str, eos: int = EOS) -> DataFrame:
     """doc_id, curve (Hilbert key), n (ids with the closing one), ids (little-endian bytes)."""
 
     def run(batches):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         coder = _encoder(tokenizer)
         directions = _directions(coder.tokenizer.get_vocab_size())
-        for batch in batches:
+        parts = (batch.slice(at, SLICE) for batch in batches for at in range(0, batch.num_rows, SLICE))
+        for batch in parts:
             n, points, ids = [], [], []
-            for text in batch.column(1).to_pylist():
-                raw = coder.ids(split_words(text or ""))
+            for raw in coder.ids([split_words(text or "") for text in batch.column(1).to_pylist()]):
                 seq = np.frombuffer(raw, coder.dtype)
                 points.append(_place(seq, directions))
                 n.append(len(seq) + 1)
