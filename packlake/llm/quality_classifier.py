@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import table, written
 
@@ -106,22 +107,31 @@ def log_ratio(counts: list, buckets: int = BUCKETS, smooth: float = 1.0) -> np.n
     return np.log(target / target.sum()) - np.log(raw / raw.sum())
 
 
-def with_weights(docs: DataFrame, ratio: np.ndarray, seed: int = SEED) -> DataFrame:
-    """doc_id, log_weight, score (log weight and Gumbel noise), empty."""
+#: Columns that scoring adds; the names are not those of a document's own columns.
+_WEIGHT, _EMPTY, _SCORE = "__log_weight", "__empty", "__score"
+
+
+def with_weights(docs: DataFrame, ratio: np.ndarray, columns: list[str], seed: int = SEED) -> DataFrame:
+    """Columns of docs (doc_id among them), the log weight, its sum with Gumbel noise, and
+    whether the text has no token."""
+    at = docs.columns.index("text")
+    carried = [docs.columns.index(c) for c in columns]
 
     def run(batches):
         for batch in batches:
-            found = [ngram_buckets(x, len(ratio)) for x in batch.column(1).to_pylist()]
-            weight = [float(ratio[b].sum()) for b in found]
+            found = [ngram_buckets(x, len(ratio)) for x in batch.column(at).to_pylist()]
+            weight = pa.array([float(ratio[b].sum()) for b in found], pa.float64())
+            empty = pa.array([len(b) == 0 for b in found], pa.bool_())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(weight, pa.float64()), pa.array([len(b) == 0 for b in found], pa.bool_())],
-                ["doc_id", "log_weight", "empty"],
+                [*(batch.column(k) for k in carried), weight, empty], [*columns, _WEIGHT, _EMPTY]
             )
 
-    scored = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, log_weight double, empty boolean")
+    fields = [docs.schema.fields[k] for k in carried]
+    schema = T.StructType([*fields, T.StructField(_WEIGHT, T.DoubleType()), T.StructField(_EMPTY, T.BooleanType())])
+    scored = docs.mapInArrow(run, schema)
     # uniform in (0, 1) from the top 52 bits of a hash
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 12).cast("double") + 0.5) / float(1 << 52)
-    return scored.withColumn("score", F.col("log_weight") - F.log(-F.log(u)))
+    return scored.withColumn(_SCORE, F.col(_WEIGHT) - F.log(-F.log(u)))
 
 
 def kth_largest(df: DataFrame, column: str, k: int, bins: int = 2048) -> float | None:
@@ -157,31 +167,54 @@ def kth_largest(df: DataFrame, column: str, k: int, bins: int = 2048) -> float |
             above += c
 
 
-def classify(docs: DataFrame, labels: DataFrame, seed: int = SEED, z: float = 2.0) -> DataFrame:
-    """doc_id, log_weight, score, kept. labels: doc_id, quality (1 good, 0 bad).
-    z: standard errors that the share of good texts is raised by."""
-    known = (
-        labels.where(F.col("quality").isNotNull())
+def _known(labels: DataFrame) -> DataFrame:
+    return (
+        labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
         .groupBy("doc_id")
         .agg(F.min("quality").alias("lo"), F.max("quality").alias("hi"))
         .where(F.col("lo") == F.col("hi"))
-        .select("doc_id", F.col("lo").alias("good"))
+        .select(F.col("doc_id").alias("__id"), F.col("lo").alias("good"))
     )
-    marked = docs.select("doc_id", "text").join(known, "doc_id", "left")
-    ratio = log_ratio([tuple(r) for r in bucket_counts(marked).collect()])
-    scored = written(with_weights(docs, ratio, seed), "scores")
-    seen = scored.join(known, "doc_id").where(~F.col("empty")).agg(F.count("good"), F.sum("good")).first()
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 50_000) -> np.ndarray:
+    """The log ratio of the target model to the raw one. The raw model reads all of docs;
+    the target model reads at most `sample` labelled good documents, drawn by a hash, so
+    that their ids can be broadcast and no text is shuffled."""
+    good = _known(labels).where("good = 1")
+    n = good.count()
+    drawn = good.where(F.pmod(F.xxhash64(F.lit("target"), "__id"), F.lit(1_000_000)) < int(min(1.0, sample / max(n, 1)) * 1_000_000))
+    marked = docs.select("doc_id", "text").join(F.broadcast(drawn.limit(sample)), F.col("doc_id") == F.col("__id"), "left")
+    return log_ratio([tuple(r) for r in bucket_counts(marked).collect()])  # bounded: one row per bucket
+
+
+def scored_with_cut(
+    docs: DataFrame, labels: DataFrame, columns: list[str], seed: int = SEED, z: float = 2.0
+) -> tuple[DataFrame, float]:
+    """Columns of all documents with their scores, written once, and the score of the last one drawn.
+    z: standard errors that the share of good texts is raised by."""
+    scored = written(with_weights(docs, fit(docs, labels), columns, seed), "scores")
+    full = scored.where(~F.col(_EMPTY))
+    seen = full.join(_known(labels), F.col("doc_id") == F.col("__id")).agg(F.count("good"), F.sum("good")).first()
     n_lab, n_good = int(seen[0] or 0), int(seen[1] or 0)
-    full = scored.where(~F.col("empty"))
     if not n_good:
-        return scored.select("doc_id", "log_weight", "score", (~F.col("empty")).alias("kept"))
+        return scored, float("-inf")
     n = full.count()
     share, unknown = n_good / n_lab, max(0.0, 1 - n_lab / n)  # only the unlabelled can differ
     share = min(1.0, share + z * (unknown * (share * (1 - share) + 1 / n_lab) / n_lab) ** 0.5)
-    cut = kth_largest(full, "score", max(1, round(n * share)))
-    cut = float("-inf") if cut is None else cut
+    cut = kth_largest(full, _SCORE, max(1, round(n * share)))
+    return scored, float("-inf") if cut is None else cut
+
+
+def _drawn(cut: float):
+    return ~F.col(_EMPTY) & (F.col(_SCORE) >= F.lit(cut))
+
+
+def classify(docs: DataFrame, labels: DataFrame, seed: int = SEED, z: float = 2.0) -> DataFrame:
+    """doc_id, log_weight, score, kept. labels: doc_id, quality (1 good, 0 bad)."""
+    scored, cut = scored_with_cut(docs.select("doc_id", "text"), labels, ["doc_id"], seed, z)
     return scored.select(
-        "doc_id", "log_weight", "score", (~F.col("empty") & (F.col("score") >= F.lit(cut))).alias("kept")
+        "doc_id", F.col(_WEIGHT).alias("log_weight"), F.col(_SCORE).alias("score"), _drawn(cut).alias("kept")
     )
 
 
@@ -191,5 +224,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that the draw keeps, with their columns."""
-    verdict = classify(docs, table(spark, sf_dir, "labels")).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(verdict, F.col("doc_id") == F.col("_id"), "left_semi")
+    scored, cut = scored_with_cut(docs, table(spark, sf_dir, "labels"), docs.columns)
+    return scored.where(_drawn(cut)).select(*docs.columns)
