@@ -4,6 +4,7 @@ from importlib import import_module
 
 #: (module, query name)
 _OPERATORS = [
+    ("line_dedup", "op2_line_dedup"),
     ("source_mixing", "op7_source_mixing"),
     ("html_extract", "op3_html_extract"),
     ("embedding_dedup", "op4_embedding_dedup"),
