@@ -32,27 +32,37 @@ from .common import table
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
-CACHE_WORDS = 250_000
+CACHE_WORDS = 400_000
+#: Documents whose new words are looked up together.
+SLICE = 1000
 UNKNOWN = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
-_MULT = 0x9E3779B97F4A7C15
-_MASK = (1 << 64) - 1
+_MULT = np.uint64(0x9E3779B97F4A7C15)
 
 ORACLE_SQL = None
 
 
-def word_buckets(word: str, buckets: int = BUCKETS) -> list[int]:
-    """Buckets of the n-grams of a word with its edges; the orders do not share any."""
-    w = f" {word.lower()} "
-    out = []
-    for n in ORDERS:
-        for i in range(len(w) - n + 1):
-            h = n
-            for c in w[i : i + n]:
-                h = ((h ^ ord(c)) * _MULT) & _MASK
-                h ^= h >> 31
-            out.append(h % buckets)
-    return out
+def word_buckets(words: list[str], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the n-grams of words with their edges, all words in one array, and the
+    position where each word begins. Each order has hashes of its own."""
+    text = "".join(f" {w.lower()} " for w in words)
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    size = np.fromiter((len(w.lower()) + 2 for w in words), np.int64, len(words))
+    end = np.repeat(np.cumsum(size), size)
+    at = np.arange(len(code))
+    found, owner = [], []
+    h = np.zeros(len(code), np.uint64)
+    for n in range(1, max(ORDERS) + 1):
+        h[: len(code) - n + 1] = (h[: len(code) - n + 1] ^ code[n - 1 :]) * _MULT
+        h ^= h >> np.uint64(29)
+        if n in ORDERS:
+            whole = at + n <= end  # n-grams do not reach into the next word
+            found.append((((h[whole] + np.uint64(n)) * _MULT) >> np.uint64(40)).astype(np.int64) % buckets)
+            owner.append(np.repeat(np.arange(len(words)), size)[whole])
+    owner_all = np.concatenate(owner)
+    order = np.argsort(owner_all, kind="stable")
+    starts = np.searchsorted(owner_all[order], np.arange(len(words)))
+    return np.concatenate(found)[order], starts
 
 
 def learn_counts(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
@@ -64,10 +74,11 @@ def learn_counts(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words.setdefault(lang, Counter()).update(_LETTERS.findall(text or ""))
         for lang, seen in words.items():
-            n = np.zeros(buckets, np.int64)
-            for w, c in seen.items():
-                for b in word_buckets(w, buckets):
-                    n[b] += c
+            if not seen:
+                continue
+            found, starts = word_buckets(list(seen), buckets)
+            times = np.repeat(np.fromiter(seen.values(), np.int64, len(seen)), np.diff(starts, append=len(found)))
+            n = np.bincount(found, weights=times, minlength=buckets).astype(np.int64)
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(n[at])], ["lang", "bucket", "n"])
 
@@ -138,27 +149,40 @@ def select_languages(like: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray,
 
 
 class Predictor:
+    """Remembers words, up to a bound: known maps a word to its row of likelihoods."""
+
     def __init__(self, model: Model):
         self.model = model
-        self.known: dict[str, np.ndarray] = {}
-
-    def likelihood(self, word: str) -> np.ndarray:
-        """Mean log likelihood per n-gram order of a word: each character counts once."""
-        got = self.known.get(word)
-        if got is None:
-            if len(self.known) >= CACHE_WORDS:
-                self.known.clear()
-            got = self.known[word] = self.model.log_p[word_buckets(word)].sum(axis=0) / len(ORDERS)
-        return got
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        words = Counter(_LETTERS.findall(text or ""))
-        if not words or not self.model.langs:
-            return UNKNOWN, 0.0
-        like = np.array([self.likelihood(w) for w in words])
-        live, share = select_languages(like, np.fromiter(words.values(), float, len(words)))
-        best = int(share.argmax())
-        return self.model.langs[live[best]], float(min(1.0, share[best]))
+        self.known: dict[str, int] = {}
+        self.rows = np.zeros((0, len(model.langs)))
+
+    def _learn(self, words: set[str]) -> None:
+        new = list(words.difference(self.known))
+        if len(self.known) + len(new) > CACHE_WORDS:
+            self.known, self.rows, new = {}, self.rows[:0], list(words)
+        if new:
+            found, starts = word_buckets(new)
+            # the mean over the orders: each character counts about once
+            like = np.add.reduceat(self.model.log_p[found], starts, axis=0) / len(ORDERS)
+            self.known.update(zip(new, range(len(self.rows), len(self.rows) + len(new)), strict=True))
+            self.rows = np.concatenate([self.rows, like])
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        words = [_LETTERS.findall(x or "") for x in texts]
+        if not self.model.langs:
+            return [(UNKNOWN, 0.0)] * len(texts)
+        self._learn(set().union(*words))
+        out = []
+        for found in words:
+            if not found:
+                out.append((UNKNOWN, 0.0))
+                continue
+            at = np.fromiter(map(self.known.__getitem__, found), np.int64, len(found))
+            at, counts = np.unique(at, return_counts=True)
+            live, share = select_languages(self.rows[at], counts.astype(float))
+            best = int(share.argmax())
+            out.append((self.model.langs[live[best]], float(min(1.0, share[best]))))
+        return out
 
 
 def predicted(docs: DataFrame, model: Model) -> DataFrame:
@@ -167,8 +191,8 @@ def predicted(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         predictor = _predictor(shared)
-        for batch in batches:
-            got = [predictor.predict(x) for x in batch.column(1).to_pylist()]
+        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
+            got = predictor.predict(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())],
                 ["doc_id", "lang_pred", "score"],
