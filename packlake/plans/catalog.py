@@ -1,4 +1,481 @@
-"""Registered queries of the storage engine and their oracle SQL."""
+"""Registered queries of the storage engine and their oracle SQL.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+Every query runs over whole tables. The oracle SQL is written on its own, in the segment form
+of the overlay and with plain windows, so that it shares no logic with the DataFrame side."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..config import Config
+from ..functions.scalars import is_retryable
+from ..operators import attrs, checks, compaction, namespace, overlay
+from ..schema import S_IFDIR
+from ..sources import fixtures as fx
+from ..sources import snapshots
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+CAPACITY = Config().max_fs_bytes
+BLOCK = Config().block_bytes
+QUOTA = 6000
+THRESHOLD = Config().compaction_threshold
+CHUNK_LIMIT = 64 << 10
+
+
+def _query(oracle: str | None = None):
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLE_SQL[f.__name__] = oracle
+        return f
+
+    return add
+
+
+# parts of the oracle
+
+_WRITE_LOG = """write_log as (
+  select cast(l_orderkey + 2 as bigint) as ino,
+    cast(row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) as bigint) as seq,
+    case when l_returnflag = 'R' then 'truncate' else 'write' end as op,
+    cast((l_partkey % 16) * 256 as bigint) as off,
+    case when l_returnflag = 'R' then cast(0 as bigint) else cast(l_quantity as bigint) * 64 end as len
+  from lineitem)"""
+_FILES = """files as (
+  select cast(doc_id + 2 as bigint) as ino, cast(32768 as int) as file_type, cast(420 as int) as mode, cast(n_chars as bigint) as size,
+    cast(floor((n_chars + 511) / 512.0) as bigint) as blocks, cast(4096 as int) as blksize,
+    cast(doc_id as bigint) * 1000000007 + 123456789 as mtime_ns from documents)"""
+_ENTRIES = """lang_dirs as (
+  select lang, cast(1000000000 + dense_rank() over (order by lang) as bigint) as ino from (select distinct lang from documents) a),
+source_dirs as (
+  select lang, source, cast(2000000000 + dense_rank() over (order by lang, source) as bigint) as ino from (select distinct lang, source from documents) b),
+entries as (
+  select cast(1 as bigint) as parent_ino, lang as name, ino as child_ino from lang_dirs
+  union all select l.ino, s.source, s.ino from source_dirs s join lang_dirs l on l.lang = s.lang
+  union all select s.ino, concat('doc-', cast(d.doc_id as varchar)), cast(d.doc_id + 2 as bigint)
+    from documents d join source_dirs s on s.lang = d.lang and s.source = d.source)"""
+_LINKS = """links as (
+  select cast(2500000000 + quality as bigint) as parent_ino, concat('doc-', cast(doc_id as varchar)) as name, cast(doc_id + 2 as bigint) as child_ino from labels)"""
+_DIRS = """dirs as (
+  select cast(1 as bigint) as ino union all select ino from lang_dirs union all select ino from source_dirs
+  union all select distinct cast(2500000000 + quality as bigint) from labels)"""
+_INODES = f"{_DIRS},\n{_FILES},\n" + """inodes as (
+  select ino, file_type, size from files union all select ino, cast(16384 as int), cast(0 as bigint) from dirs)"""
+_OVERLAY = """ev as (
+  select ino, seq, op, off as lo, case when op = 'truncate' then 9223372036854775807 else off + len end as hi from write_log where op = 'truncate' or len > 0),
+pts as (select distinct ino, p from (select ino, lo as p from ev union all select ino, hi from ev) x),
+seg as (select ino, p as lo, lead(p) over (partition by ino order by p) as hi from pts),
+win as (select s.ino, s.lo, s.hi, max(e.seq) as seq from seg s join ev e on e.ino = s.ino and e.lo <= s.lo and e.hi >= s.hi where s.hi is not null group by s.ino, s.lo, s.hi),
+vis as (select w.ino, w.lo, w.hi, w.seq, e.lo as base from win w join ev e on e.ino = w.ino and e.seq = w.seq where e.op = 'write'),
+mark as (select *, case when lag(seq) over (partition by ino order by lo) = seq and lag(hi) over (partition by ino order by lo) = lo then 0 else 1 end as fresh from vis),
+isl as (select *, sum(fresh) over (partition by ino order by lo) as run from mark),
+overlay as (
+  select ino, min(seq) as seq, min(lo) as file_offset, max(hi) - min(lo) as length, min(lo) - min(base) as skip from isl group by ino, run)"""
+_PLACED = """placed as (
+  select ino, seq, len, pos, cast(floor(pos / 65536) as bigint) as chunk_seq from (
+    select ino, seq, len, cast(sum(len) over (order by ino, seq rows unbounded preceding) - len as bigint) as pos from write_log where op = 'write') x)"""
+_EXTENTS = """extents as (
+  select o.ino, printf('chunk-%08d', p.chunk_seq) as chunk_id, p.pos - p.chunk_seq * 65536 + o.skip as chunk_offset, o.length, o.file_offset
+  from overlay o join placed p on p.ino = o.ino and p.seq = o.seq)"""
+_CHUNKS = """chunks as (select printf('chunk-%08d', chunk_seq) as chunk_id, cast(max(pos - chunk_seq * 65536 + len) as bigint) as size from placed group by chunk_seq)"""
+_USAGE = """live as (select chunk_id, cast(sum(length) as bigint) as live from extents group by chunk_id),
+usage as (
+  select c.chunk_id, c.size, coalesce(l.live, 0) as live, c.size - coalesce(l.live, 0) as orphan,
+    case when c.size > 0 then cast(c.size - coalesce(l.live, 0) as double) / cast(c.size as double) end as fraction
+  from chunks c left join live l on l.chunk_id = c.chunk_id)"""
+_SIZES = """cut as (select ino, max(seq) as seq, max_by(off, seq) as size from write_log where op = 'truncate' group by ino),
+sizes as (
+  select w.ino, cast(greatest(coalesce(max(c.size), 0), coalesce(max(case when w.op = 'write' and (c.seq is null or w.seq > c.seq) then w.off + w.len end), 0)) as bigint) as size
+  from write_log w left join cut c on c.ino = w.ino group by w.ino)"""
+_REQUESTS = "requests as (select ino, ino as request_id, cast(512 as bigint) as off, cast(2048 as bigint) as len from sizes)"
+
+
+def _with(*parts: str, select: str) -> str:
+    return "with " + ",\n".join(parts) + "\n" + select
+
+
+# shared inputs of the queries
+
+
+def _extents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = fx.write_log(spark, sf_dir)
+    return overlay.extents(log, fx.placed_writes(log), fx.STRIPE)
+
+
+def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = fx.placed_writes(fx.write_log(spark, sf_dir))
+    end = F.col("pos") - F.col("chunk_seq") * fx.STRIPE + F.col("len")  # the last write may reach over the stripe
+    return placed.groupBy("chunk_seq").agg(F.max(end).cast("long").alias("size")).select(
+        F.format_string("chunk-%08d", "chunk_seq").alias("chunk_id"), "size"
+    )
+
+
+def _usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compaction.chunk_usage(_chunks(spark, sf_dir), _extents(spark, sf_dir))
+
+
+def _requests(sizes: DataFrame) -> DataFrame:
+    return sizes.select("ino", F.col("ino").alias("request_id"), F.lit(512).cast("long").alias("off"), F.lit(2048).cast("long").alias("len"))
+
+
+# namespace
+
+
+@_query(_with(_FILES, select="""select ino, file_type | (mode & 4095) as full_mode, size, blocks, blksize,
+  mtime_ns // 1000000000 as mtime_sec, mtime_ns % 1000000000 as mtime_nsec from files"""))
+def stat_projection(spark, sf_dir):
+    return namespace.stat(fx.files(spark, sf_dir))
+
+
+@_query(_with(_ENTRIES, _INODES, select="""select e.parent_ino, e.name, e.child_ino, i.file_type, i.size
+  from entries e join inodes i on i.ino = e.child_ino"""))
+def dir_lookup(spark, sf_dir):
+    return namespace.resolve_entries(fx.dir_entries(spark, sf_dir), fx.inodes(spark, sf_dir))
+
+
+@_query(_with(_ENTRIES, _INODES, select="""select d.ino as dir_ino, '.' as name, d.ino as ino, cast(16384 as int) as file_type from dirs d
+  union all select d.ino, '..', case when d.ino = 1 then 1 else coalesce((select min(e.parent_ino) from entries e where e.child_ino = d.ino), d.ino) end, cast(16384 as int) from dirs d
+  union all select e.parent_ino, e.name, e.child_ino, i.file_type from entries e join inodes i on i.ino = e.child_ino join dirs d on d.ino = e.parent_ino"""))
+def readdir_typed(spark, sf_dir):
+    return namespace.readdir(fx.dir_entries(spark, sf_dir), fx.inodes(spark, sf_dir))
+
+
+@_query(_with(_ENTRIES, _DIRS, select="""select d.ino, case when d.ino = 1 then 1 else coalesce(min(e.parent_ino), d.ino) end as parent_ino
+  from dirs d left join entries e on e.child_ino = d.ino group by d.ino"""))
+def parent_of_dir(spark, sf_dir):
+    return namespace.parents(fx.dir_entries(spark, sf_dir), fx.directories(spark, sf_dir))
+
+
+@_query("with recursive " + _ENTRIES + """,
+walk(ino, path, depth) as (
+  select cast(1 as bigint), cast('' as varchar), cast(0 as bigint)
+  union all select e.child_ino, concat(w.path, '/', e.name), w.depth + 1 from walk w join entries e on e.parent_ino = w.ino)
+select ino, case when path = '' then '/' else path end as path, depth from walk""")
+def path_resolution(spark, sf_dir):
+    return namespace.paths(fx.dir_entries(spark, sf_dir))
+
+
+@_query("""select cast(page_id + 3000000000 as bigint) as ino, url as target, cast(strlen(url) as bigint) as size from pages""")
+def symlink_targets(spark, sf_dir):
+    return namespace.symlink_targets(fx.symlinks(spark, sf_dir))
+
+
+_XATTRS = """xlog as (
+  select cast(doc_id + 2 as bigint) as ino, 1 as seq, 'user.quality' as name, cast(quality as varchar) as value from labels
+  union all select cast(doc_id + 2 as bigint), 2, 'user.toxic', cast(toxic as varchar) from labels
+  union all select distinct cast(doc_id + 2 as bigint), 3, 'user.toxic', null from labels where toxic = 0),
+xattrs as (select ino, name, value from (
+  select *, row_number() over (partition by ino, name order by seq desc, value desc) as k from xlog) x where k = 1 and value is not null)"""
+
+
+@_query(_with(_XATTRS, select="select ino, name, value from xattrs"))
+def xattrs_latest(spark, sf_dir):
+    return namespace.latest_xattrs(fx.xattr_log(spark, sf_dir))
+
+
+@_query(_with(_XATTRS, select="select ino, concat(string_agg(name, chr(0) order by name), chr(0)) as names from xattrs group by ino"))
+def xattr_names(spark, sf_dir):
+    return namespace.xattr_lists(namespace.latest_xattrs(fx.xattr_log(spark, sf_dir)))
+
+
+@_query("select cast(coalesce(sum(n_chars), 0) as bigint) as used_bytes from documents")
+def used_bytes(spark, sf_dir):
+    return namespace.used_bytes(fx.inodes(spark, sf_dir))
+
+
+@_query(f"""with u as (select cast(greatest({CAPACITY} - coalesce(sum(n_chars), 0), 0) as bigint) as free from documents)
+select cast({BLOCK} as bigint) as block_size, cast({CAPACITY // BLOCK} as bigint) as blocks, free // {BLOCK} as free_blocks,
+  free // {BLOCK} as avail_blocks, cast({CAPACITY // 4096} as bigint) as files from u""")
+def statfs(spark, sf_dir):
+    return namespace.statfs(fx.inodes(spark, sf_dir), CAPACITY, BLOCK)
+
+
+@_query(_with(_ENTRIES, _LINKS, _INODES, select="""select i.ino, cast(coalesce(r.refs, 0) + case when i.file_type = 16384 then 1 else 0 end as bigint) as nlink
+  from inodes i left join (select child_ino, count(*) as refs from (select * from entries union all select * from links) x group by child_ino) r on r.child_ino = i.ino"""))
+def nlink_counts(spark, sf_dir):
+    entries = fx.dir_entries(spark, sf_dir).unionAll(fx.hard_links(spark, sf_dir))
+    return namespace.nlinks(entries, fx.inodes(spark, sf_dir))
+
+
+# extents
+
+
+@_query(_with(_WRITE_LOG, _OVERLAY, _PLACED, _EXTENTS, select="select ino, chunk_id, chunk_offset, length, file_offset from extents"))
+def extents_overlay(spark, sf_dir):
+    return _extents(spark, sf_dir)
+
+
+@_query(_with(_WRITE_LOG, _SIZES, select="select ino, size from sizes"))
+def file_sizes(spark, sf_dir):
+    return overlay.file_sizes(fx.write_log(spark, sf_dir))
+
+
+@_query(_with(_WRITE_LOG, _OVERLAY, _SIZES, select="""select ino, lo as file_offset, hi - lo as length from (
+  select ino, coalesce(lag(e) over (partition by ino order by s, e), 0) as lo, s as hi from (
+    select ino, file_offset as s, file_offset + length as e from overlay union all select ino, size, size from sizes) x) y where lo < hi"""))
+def file_holes(spark, sf_dir):
+    log = fx.write_log(spark, sf_dir)
+    return overlay.holes(overlay.overlay(log), overlay.file_sizes(log))
+
+
+_PLAN = """plan as (
+  select r.request_id, r.ino, e.chunk_id, e.chunk_offset + greatest(r.off, e.file_offset) - e.file_offset as chunk_offset,
+    least(least(r.off + r.len, s.size), e.file_offset + e.length) - greatest(r.off, e.file_offset) as length,
+    greatest(r.off, e.file_offset) - r.off as out_offset
+  from requests r join sizes s on s.ino = r.ino join extents e on e.ino = r.ino
+  where e.file_offset < least(r.off + r.len, s.size) and e.file_offset + e.length > r.off and r.off < least(r.off + r.len, s.size))"""
+
+
+@_query(_with(_WRITE_LOG, _OVERLAY, _PLACED, _EXTENTS, _SIZES, _REQUESTS, _PLAN, select="select request_id, ino, chunk_id, chunk_offset, length, out_offset from plan"))
+def range_read_plan(spark, sf_dir):
+    sizes = overlay.file_sizes(fx.write_log(spark, sf_dir))
+    return overlay.read_plan(_requests(sizes), _extents(spark, sf_dir), sizes)
+
+
+@_query(_with(_WRITE_LOG, _OVERLAY, _PLACED, _EXTENTS, _SIZES, _REQUESTS, _PLAN, select="select chunk_id, count(*) as reads, cast(sum(length) as bigint) as bytes from plan group by chunk_id"))
+def chunk_fetches(spark, sf_dir):
+    return compaction.fetch_list(range_read_plan(spark, sf_dir))
+
+
+@_query(_with(_WRITE_LOG, select=f"""select ino, seq, growth from (
+  select ino, seq, op, before, greatest(off + len - before, 0) as growth from (
+    select *, coalesce(max(case when op = 'write' then off + len end) over (partition by ino order by seq rows between unbounded preceding and 1 preceding), 0) as before
+    from write_log) x where op = 'write') y where growth > 0 and before + growth > {QUOTA}"""))
+def quota_rejections(spark, sf_dir):
+    return overlay.quota_rejections(fx.write_log(spark, sf_dir), QUOTA)
+
+
+@_query(_with(_WRITE_LOG, select="""select ino, file_offset, least(length, size - file_offset) as length from (
+  select w.ino, w.off as file_offset, w.len as length, cast(1024 as bigint) as size from write_log w where op = 'write' and len > 0) x where file_offset < size"""))
+def truncate_extents(spark, sf_dir):
+    log = fx.write_log(spark, sf_dir)
+    appended = log.where("op = 'write' and len > 0").select("ino", F.col("off").alias("file_offset"), F.col("len").alias("length"))
+    sizes = log.select("ino").distinct().withColumn("size", F.lit(1024).cast("long"))
+    return overlay.truncate_extents(appended, sizes)
+
+
+# chunks
+
+
+@_query(_with(_WRITE_LOG, _PLACED, select="select ino, seq, len, printf('chunk-%08d', chunk_seq) as chunk_id, pos - chunk_seq * 65536 as chunk_offset from placed"))
+def chunk_placement(spark, sf_dir):
+    return fx.placed_writes(fx.write_log(spark, sf_dir)).select(
+        "ino", "seq", "len", F.format_string("chunk-%08d", "chunk_seq").alias("chunk_id"),
+        (F.col("pos") - F.col("chunk_seq") * fx.STRIPE).alias("chunk_offset"),
+    )
+
+
+@_query()
+def chunk_rotation(spark, sf_dir):
+    writes = fx.write_log(spark, sf_dir).where("op = 'write' and len > 0").withColumn("lot", F.floor(F.col("ino") / fx.LOT).cast("long"))
+    return compaction.placements(writes, CHUNK_LIMIT)
+
+
+@_query(_with(_WRITE_LOG, _PLACED, select="select cast(max(chunk_seq) + 1 as bigint) as next_seq from placed"))
+def chunk_next_seq(spark, sf_dir):
+    foreign = spark.createDataFrame([("index.json",), ("compacted-12-3",)], "chunk_id string")
+    return compaction.next_chunk_seq(_chunks(spark, sf_dir).select("chunk_id").unionAll(foreign))
+
+
+@_query(_with(_WRITE_LOG, _PLACED, _CHUNKS, select="""select chunk_id, size from chunks
+  where chunk_id <> (select printf('chunk-%08d', max(chunk_seq)) from placed)"""))
+def sealed_chunks(spark, sf_dir):
+    chunks = _chunks(spark, sf_dir)
+    listing = chunks.unionAll(spark.createDataFrame([("index.cbor", 10)], "chunk_id string, size long"))
+    active = chunks.agg(F.max("chunk_id").alias("active"))  # one row
+    return listing.join(F.broadcast(active), listing["chunk_id"] != F.col("active")).select("chunk_id", "size").where(
+        F.col("chunk_id") != "index.cbor"
+    )
+
+
+@_query(_with(_WRITE_LOG, _OVERLAY, _PLACED, _EXTENTS, _CHUNKS, _USAGE, select="select chunk_id, size, live, orphan, fraction from usage"))
+def chunk_orphans(spark, sf_dir):
+    return _usage(spark, sf_dir)
+
+
+@_query(_with(_WRITE_LOG, _OVERLAY, _PLACED, _EXTENTS, _CHUNKS, _USAGE, select=f"select chunk_id, size, live, orphan, fraction from usage where size = 0 or fraction >= {THRESHOLD}"))
+def compaction_targets(spark, sf_dir):
+    return compaction.targets(_usage(spark, sf_dir), THRESHOLD)
+
+
+def _moved(spark, sf_dir):
+    return compaction.pack(_extents(spark, sf_dir), compaction_targets(spark, sf_dir), CHUNK_LIMIT, stamp=1)
+
+
+@_query()
+def compaction_pack(spark, sf_dir):
+    return _moved(spark, sf_dir)
+
+
+_TARGETS = f"targets as (select chunk_id from usage where size = 0 or fraction >= {THRESHOLD})"
+
+
+@_query(_with(_WRITE_LOG, _OVERLAY, _PLACED, _EXTENTS, _CHUNKS, _USAGE, _TARGETS, select="""select ino, file_offset, length,
+  chunk_id in (select chunk_id from targets) as moved, case when chunk_id in (select chunk_id from targets) then null else chunk_id end as stays_in
+  from extents"""))
+def compaction_remap(spark, sf_dir):
+    after = compaction.remap(_extents(spark, sf_dir), _moved(spark, sf_dir))
+    new = F.col("chunk_id").startswith("compacted-")
+    return after.select("ino", "file_offset", "length", new.alias("moved"), F.when(~new, F.col("chunk_id")).alias("stays_in"))
+
+
+@_query("select cast(0 as bigint) as ino, cast(0 as bigint) as file_offset, cast(0 as bigint) as length, '' as side where false")
+def compaction_preserved(spark, sf_dir):
+    before = _extents(spark, sf_dir)
+    return compaction.not_preserved(before, compaction.remap(before, _moved(spark, sf_dir)))
+
+
+@_query(_with(_WRITE_LOG, _OVERLAY, _PLACED, _EXTENTS, _CHUNKS, _USAGE, _TARGETS, select="select chunk_id, size from chunks where chunk_id not in (select chunk_id from targets)"))
+def retired_chunks(spark, sf_dir):
+    return compaction.retire(_chunks(spark, sf_dir), compaction_targets(spark, sf_dir))
+
+
+# folds
+
+_EVENTS = """event_log as (
+  select cast(row_number() over (order by ts, event_id) as bigint) as seq, cast(user_id + 2 as bigint) as ino,
+    case event_type when 'view' then 'read' when 'click' then 'write' when 'purchase' then 'truncate' when 'signup' then 'create' else 'unlink' end as op,
+    ts, cast(floor(value) as bigint) as arg from events)"""
+
+
+@_query(_with(_EVENTS, select="select seq, ino, op, ts, arg from event_log"))
+def operation_log(spark, sf_dir):
+    return fx.event_log(spark, sf_dir)
+
+
+@_query(_with(_EVENTS, select="""select ino, max_by(case when op = 'write' then arg end, seq) filter (where op = 'write') as mode,
+  max_by(arg, seq) filter (where op = 'truncate') as size, max(seq) as ctime_ns from event_log where op in ('write', 'truncate') group by ino"""))
+def attrs_latest(spark, sf_dir):
+    log = fx.event_log(spark, sf_dir).where(F.col("op").isin("write", "truncate"))
+    changes = log.select(
+        "ino", "seq", F.col("seq").alias("ts_ns"),
+        F.when(F.col("op") == "write", F.col("arg")).alias("mode"), F.when(F.col("op") == "truncate", F.col("arg")).alias("size"),
+    )
+    return attrs.latest_attrs(changes)
+
+
+@_query(_with(_EVENTS, select="select ino, max_by(ts, seq) as atime from event_log where op = 'read' group by ino"))
+def access_times(spark, sf_dir):
+    return attrs.access_times(fx.event_log(spark, sf_dir))
+
+
+@_query(_with(_EVENTS, select="""select cast(row_number() over (order by seq) + 1000 as bigint) as ino, seq,
+  cast(case when arg % 2 = 0 then 1 else 0 end as bigint) as nlink from event_log where op = 'create'"""))
+def inode_allocation(spark, sf_dir):
+    creates = fx.event_log(spark, sf_dir).where("op = 'create'").select(
+        "seq", F.when(F.col("arg") % 2 == 0, S_IFDIR).otherwise(0o100000).alias("file_type"), F.lit(0o644).alias("mode"),
+        F.lit(0).cast("long").alias("uid"), F.lit(0).cast("long").alias("gid"), F.col("seq").alias("ts_ns"),
+    )
+    return attrs.allocate_inodes(creates, 1001).select("ino", "seq", "nlink")
+
+
+@_query(_with(_ENTRIES, select="""select parent_ino, name, child_ino from entries where name not like 'doc-%' or child_ino not in (select doc_id + 2 from labels)
+  union all select cast(2500000000 + quality as bigint), concat('doc-', cast(doc_id as varchar)), cast(doc_id + 2 as bigint) from labels where toxic = 0"""))
+def entries_fold(spark, sf_dir):
+    """Labelled files move to the directory of their quality; toxic ones are unlinked."""
+    entries = fx.dir_entries(spark, sf_dir)
+    old = entries.where(F.col("name").startswith("doc-")).select("parent_ino", "name", "child_ino")
+    labels = fx.table(spark, sf_dir, "labels").select((F.col("doc_id") + 2).cast("long").alias("child_ino"), "quality", "toxic")
+    log = old.join(labels, "child_ino").select(
+        F.lit(1).cast("long").alias("seq"),
+        F.when(F.col("toxic") == 0, "rename").otherwise("unlink").alias("op"),
+        F.col("child_ino").alias("ino"), "parent_ino", "name",
+        (fx.LABEL_BASE + F.col("quality")).cast("long").alias("dst_parent"), F.col("name").alias("dst_name"),
+    )
+    return attrs.fold_entries(entries, log)
+
+
+@_query(_with(_FILES, select="""select ino, size + 1 as size, 'added' as side from files where size % 10 = 0
+  union all select ino, size, 'removed' from files where size % 10 = 0"""))
+def structural_diff(spark, sf_dir):
+    """Two versions of the inodes that differ in access times and in some sizes."""
+    before = fx.files(spark, sf_dir).select("ino", "size", F.lit(1).cast("long").alias("atime_ns"))
+    after = before.select("ino", F.when(F.col("size") % 10 == 0, F.col("size") + 1).otherwise(F.col("size")).alias("size"), F.lit(2).cast("long").alias("atime_ns"))
+    return snapshots.difference(before, after, ("atime_ns",)).select("ino", "size", "side")
+
+
+@_query("""select tier, status, (status >= 500 or (tier = 'storage' and status = 403)) as retryable
+  from (select unnest(['broker', 'storage']) as tier) a, (select cast(unnest([200, 400, 401, 403, 404, 429, 500, 502, 503]) as int) as status) b""")
+def retry_class(spark, sf_dir):
+    rows = [(t, s) for t in ("broker", "storage") for s in (200, 400, 401, 403, 404, 429, 500, 502, 503)]
+    return spark.createDataFrame(rows, "tier string, status int").withColumn("retryable", is_retryable("tier", "status"))
+
+
+# integrity checks
+
+
+def _checked_inodes(spark, sf_dir):
+    entries = _all_entries(spark, sf_dir)
+    counts = namespace.nlinks(entries, fx.inodes(spark, sf_dir))
+    return fx.inodes(spark, sf_dir).join(counts, "ino").withColumn("blksize", F.lit(BLOCK))
+
+
+def _all_entries(spark, sf_dir):
+    # labelled directories hang below the root, so that every directory has a name
+    labelled = fx.directories(spark, sf_dir).where((F.col("ino") >= fx.LABEL_BASE) & (F.col("ino") < fx.LINK_BASE))
+    extra = labelled.select(F.lit(1).cast("long").alias("parent_ino"), F.concat(F.lit("label-"), F.col("ino").cast("string")).alias("name"), F.col("ino").alias("child_ino"))
+    return fx.dir_entries(spark, sf_dir).unionAll(fx.hard_links(spark, sf_dir).dropDuplicates()).unionAll(extra)
+
+
+def _check(name: str, empty: str, f: Query) -> None:
+    QUERIES[f"check_{name}"] = f
+    ORACLE_SQL[f"check_{name}"] = f"select {empty} where false"
+
+
+_E = "cast(0 as bigint) as parent_ino, '' as name, cast(0 as bigint) as child_ino"
+_check("root", "cast(0 as bigint) as ino, cast(0 as bigint) as n", lambda s, d: checks.root_is_directory(fx.inodes(s, d)))
+_check("dangling_entries", _E, lambda s, d: checks.dangling_entries(_all_entries(s, d), fx.inodes(s, d)))
+_check("parent_is_directory", _E, lambda s, d: checks.parent_not_directory(_all_entries(s, d), fx.inodes(s, d)))
+_check("unique_names", "cast(0 as bigint) as parent_ino, '' as name, cast(0 as bigint) as n", lambda s, d: checks.duplicate_names(_all_entries(s, d)))
+_check(
+    "nlink", "cast(0 as bigint) as ino, cast(0 as bigint) as nlink, cast(0 as bigint) as expected",
+    lambda s, d: checks.wrong_nlink(_all_entries(s, d), _checked_inodes(s, d)),
+)
+_check("sizes", "cast(0 as bigint) as ino, cast(0 as bigint) as size", lambda s, d: checks.negative_size(fx.inodes(s, d)))
+_check(
+    "extent_total", "cast(0 as bigint) as ino, cast(0 as bigint) as total, cast(0 as bigint) as size",
+    lambda s, d: checks.extents_beyond_size(overlay.overlay(fx.write_log(s, d)), overlay.file_sizes(fx.write_log(s, d))),
+)
+_check(
+    "extents_disjoint", "cast(0 as bigint) as ino, cast(0 as bigint) as file_offset, cast(0 as bigint) as length, cast(0 as bigint) as before",
+    lambda s, d: checks.overlapping_extents(overlay.overlay(fx.write_log(s, d))),
+)
+_check("next_ino", "cast(0 as bigint) as ino", lambda s, d: checks.ino_not_below_next(fx.inodes(s, d), fx.LINK_BASE))
+_check(
+    "symlink_type", "cast(0 as bigint) as ino, '' as target",
+    lambda s, d: checks.target_of_other_type(fx.symlinks(s, d), fx.symlinks(s, d).select("ino", F.lit(0o120000).alias("file_type"))),
+)
+_check(
+    "xattr_inode", "cast(0 as bigint) as ino, '' as name",
+    lambda s, d: checks.xattr_without_inode(namespace.latest_xattrs(fx.xattr_log(s, d)), fx.inodes(s, d)),
+)
+_check("block_size", "cast(0 as bigint) as ino, cast(0 as int) as blksize", lambda s, d: checks.odd_block_size(fx.files(s, d), BLOCK))
+_check(
+    "chunk_state", "'' as chunk_id, '' as reason",
+    lambda s, d: checks.chunk_state(_with_status(_chunks(s, d)), 2 * fx.STRIPE, 1 << 40),
+)
+_check(
+    "extent_in_chunk", "cast(0 as bigint) as ino, '' as chunk_id, cast(0 as bigint) as chunk_offset, cast(0 as bigint) as length",
+    lambda s, d: checks.extent_out_of_chunk(_extents(s, d), _chunks(s, d)),
+)
+_check(
+    "output_live", "'' as chunk_id, cast(0 as bigint) as size, cast(0 as bigint) as live",
+    lambda s, d: checks.orphans_in_output(compaction.remap(_extents(s, d), _moved(s, d)), compaction.compacted_chunks(_moved(s, d))),
+)
+_check(
+    "targets_sealed", "'' as chunk_id",
+    lambda s, d: checks.unsealed_targets(compaction_targets(s, d), _chunks(s, d).withColumn("status", F.lit("Sealed"))),
+)
+_check("capacity", "cast(0 as bigint) as used_bytes", lambda s, d: checks.over_capacity(fx.inodes(s, d), CAPACITY))
+_check("reserved_key", "'' as chunk_id", lambda s, d: checks.reserved_listed(sealed_chunks(s, d)))
+
+
+def _with_status(chunks: DataFrame) -> DataFrame:
+    last = chunks.agg(F.max("chunk_id").alias("last"))  # one row
+    return chunks.join(F.broadcast(last)).select("chunk_id", F.when(F.col("chunk_id") == F.col("last"), "Active").otherwise("Sealed").alias("status"), "size")
