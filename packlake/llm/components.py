@@ -57,3 +57,15 @@ def block_roots(link: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[
         if (r == right).all() and (p == left).all():
             return left, right
         left, right = p, r
+
+
+def blocked(members: DataFrame, group: str, node: str, size: int) -> DataFrame:
+    """members with `i`, `j` and `block`: groups are cut into blocks of about `size` by a
+    hash of the node, and a row is dealt to every pair of blocks that its own is part of."""
+    counts = members.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("__blocks"))
+    cut = members.join(counts, group).withColumn("block", F.pmod(F.xxhash64(node), F.col("__blocks")).cast("int"))
+    pairs = F.transform(
+        F.sequence(F.lit(0), F.col("__blocks") - 1),
+        lambda k: F.struct(F.least("block", k).alias("i"), F.greatest("block", k).alias("j")),
+    )
+    return cut.withColumn("__p", F.explode(pairs)).select(*members.columns, "block", "__p.i", "__p.j")

@@ -23,10 +23,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from .common import table, written
-from .components import block_roots, components
+from .components import block_roots, blocked, components
 
 THRESHOLD = 0.9
 PROBES = 6
@@ -156,20 +155,8 @@ def embedding_dedup(emb: DataFrame, threshold: float = THRESHOLD, probes: int =
     dims = classes.groupBy("dim").count().orderBy(F.desc("count"), "dim").first()
     centroids = fit_cells(classes, dims[0], dims[1], max_cells) if dims else np.zeros((0, 1))
     cells = written(assigned(classes, centroids, probes), "cells")
-    # a number within each cell, and from it the block; a hot cell is cut like any other
-    rows = cells.select("rep", F.explode("cells").alias("cell"))
-    number = F.row_number().over(W.partitionBy("cell").orderBy("rep")) - 1
-    size = F.count(F.lit(1)).over(W.partitionBy("cell"))
-    rows = rows.select("rep", "cell", F.floor(number / BLOCK).cast("int").alias("block"), F.ceil(size / BLOCK).cast("int").alias("blocks"))
-    pairs = F.transform(
-        F.sequence(F.lit(0), F.col("blocks") - 1),
-        lambda k: F.struct(F.least("block", k).alias("i"), F.greatest("block", k).alias("j")),
-    )
-    dealt = (
-        rows.join(classes.select("rep", "copies", "vec").join(cells, "rep"), "rep")
-        .select("cell", "block", "rep", "copies", "vec", "cells", F.explode(pairs).alias("p"))
-        .select("cell", "p.i", "p.j", "block", "rep", "copies", "vec", "cells")
-    )
+    rows = blocked(cells.select("rep", F.explode("cells").alias("cell")), "cell", "rep", BLOCK)
+    dealt = rows.join(classes.select("rep", "copies", "vec").join(cells, "rep"), "rep")
     links = written(
         dealt.groupBy("cell", "i", "j").applyInPandas(
             lambda pdf: compare_blocks(pdf, threshold), "rep long, links long, root long"
