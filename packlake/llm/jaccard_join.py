@@ -1,9 +1,9 @@
 """N-gram Jaccard join: MinHash LSH forest.
 
-Texts are sets of word shingles. Equal sets form a class and are represented once, by
-the smallest doc_id. Every class has a MinHash signature, laid out as `TREES` labels of
-`DEPTH` values; a tree of the forest is the prefix trie of one label over all classes,
-and classes below the same node at depth k agree in k values. Matching starts at the
+Texts are sets of word shingles. Equal sets are copies and are represented once, by the
+smallest doc_id. Every distinct set has a MinHash signature, laid out as `TREES` labels of
+`DEPTH` values; a tree of the forest is the prefix trie of one label over all sets,
+and sets below the same node at depth k agree in k values. Matching starts at the
 full depth. After the exact verification the recall is estimated from the similarities
 found (a link of similarity s is met at depth k with probability 1 - (1 - s^k)^trees);
 while the estimate is below the target, prefixes are shortened by one.
@@ -11,8 +11,8 @@ while the estimate is below the target, prefixes are shortened by one.
 Candidates are never emitted as pairs: trie nodes are turned into stars, their connected
 components bring the texts together, and a component is compared in blocks, of which a
 task holds two. Within blocks the pairs that share a trie node are verified exactly on
-their shingle sets. What leaves a task is a row per class: its links and the smallest
-class it reaches.
+their shingle sets. What leaves a task is a row per set: its links and the smallest
+doc_id it reaches.
 
 Defined cases: a text of fewer words than a shingle is one shingle; null, empty and blank
 texts link with nothing and are kept; a repeated row is a copy like any other; an empty
@@ -28,10 +28,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from .common import table, written
-from .components import block_roots, components
+from .components import block_roots, blocked, components
 from .packing import split_words
 
 WORDS, THRESHOLD = 5, 0.8
@@ -217,23 +216,14 @@ def verified(docs: DataFrame, classes: DataFrame, depth: int, threshold: float,
     shared = rows.groupBy("node").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
     stars = rows.join(shared.select("node", "low"), "node").select(F.col("rep").alias("u"), F.col("low").alias("v"))
     member = components(stars.where("u <> v"))
-    # a number within the component, and from it the block
-    number = F.row_number().over(W.partitionBy("component").orderBy("node")) - 1
-    size = F.count(F.lit(1)).over(W.partitionBy("component"))
-    member = member.select(
-        "node", "component", F.floor(number / BLOCK).cast("int").alias("block"), F.ceil(size / BLOCK).cast("int").alias("blocks")
-    )
     member = member.join(classes.select(F.col("rep").alias("node"), "copies", "sig"), "node")
     member = written(
-        docs.select(F.col("doc_id").alias("node"), "text").join(member, "node").dropDuplicates(["node"]), "members"
-    )
-    pairs = F.transform(
-        F.sequence(F.lit(0), F.col("blocks") - 1),
-        lambda k: F.struct(F.least("block", k).alias("i"), F.greatest("block", k).alias("j")),
+        docs.select(F.col("doc_id").alias("node"), "text").hint("merge").join(member, "node").dropDuplicates(["node"]),
+        "members",
     )
-    dealt = member.select("component", "block", F.col("node").alias("rep"), "copies", "sig", "text", F.explode(pairs).alias("p"))
     return (
-        dealt.select("component", "p.i", "p.j", "block", "rep", "copies", "sig", "text")
+        blocked(member, "component", "node", BLOCK)
+        .withColumnRenamed("node", "rep")
         .groupBy("component", "i", "j")
         .applyInPandas(
             lambda pdf: compare_blocks(pdf, depth, threshold, n),
@@ -245,9 +235,9 @@ def verified(docs: DataFrame, classes: DataFrame, depth: int, threshold: float,
 def jaccard_join(
     docs: DataFrame, threshold: float = THRESHOLD, n: int = WORDS, target_recall: float = TARGET_RECALL
 ) -> DataFrame:
-    """One row per document: doc_id, class_id (smallest doc_id with the same shingle set),
-    n_links (other documents at or above the threshold, copies included), component_id
-    (smallest doc_id that links reach) and kept (doc_id = component_id)."""
+    """One row per document: doc_id, class_id (smallest doc_id that links reach), copy_id
+    (smallest doc_id with the same shingle set), n_links (other documents at or above the
+    threshold, copies included) and kept (doc_id = class_id)."""
     prints = written(fingerprints(docs, n), "fingerprints")
     classes = written(
         prints.where("d1 is not null")
@@ -272,11 +262,11 @@ def jaccard_join(
         .join(described, ["d1", "d2"], "left")
         .select(
             "doc_id",
-            F.coalesce("rep", "doc_id").alias("class_id"),
+            F.coalesce("component", "rep", "doc_id").alias("class_id"),
+            F.coalesce("rep", "doc_id").alias("copy_id"),
             (F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).cast("long").alias("n_links"),
-            F.coalesce("component", "rep", "doc_id").alias("component_id"),
         )
-        .withColumn("kept", F.col("doc_id") == F.col("component_id"))
+        .withColumn("kept", F.col("doc_id") == F.col("class_id"))
     )
 
 
