@@ -35,15 +35,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def range_bounds(df: DataFrame, key: str, parts: int) -> list[int]:
-    """At most `parts - 1` ascending cut points of a long column, near its quantiles.
-
-    The result has a bounded size; it steers balance only, never results."""
-    if parts < 2:
-        return []
-    at = [i / parts for i in range(1, parts)]
-    row = df.agg(F.percentile_approx(key, at, max(10_000, 4 * parts)).alias("b")).first()
-    return sorted(set(row.b or []))
+def weighted_bounds(df: DataFrame, key: str, weight: str, target: int, bits: int, cells: int = 1 << 15) -> list[int]:
+    """Ascending cut points of a key of 0 .. 2**bits - 1, between which about `target` of the
+    weight lies. Cells of leading bits are summed; those over the target are cut finer, as
+    long as they have bits. Each pass collects about `cells` rows or two for each heavy cell."""
+    heavy, shift, cuts = [0], bits, []
+    while heavy and shift:
+        step = min(shift, max(1, (cells // len(heavy)).bit_length() - 1))
+        inside = df if shift == bits else df.where(F.shiftright(key, shift).isin(heavy))
+        shift -= step
+        sums = inside.groupBy(F.shiftright(key, shift).alias("c")).agg(F.sum(weight).alias("w")).collect()
+        found, heavy, acc, before = sorted(map(tuple, sums)), [], 0, None
+        for c, w in found:
+            fresh = before is None or before >> step != c >> step
+            if fresh or acc + w > target:
+                cuts.append(c << shift)
+                acc = 0
+            acc += w
+            if w > target:
+                heavy.append(c)
+            before = c
+    return sorted(set(cuts) - {0})
 
 
 def range_part(column, bounds: list[int]):

@@ -16,9 +16,11 @@ as often as they occur; an empty table gives no pieces; other columns are ignore
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -26,12 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import range_bounds, range_part, table, written
+from .common import range_part, table, weighted_bounds, written
 
 DIMS, BITS = 4, 8
+#: Bits of the sort key: the position on the curve and a hash of the id.
+KEY_BITS = 62
 EOS = 2
-#: Words whose ids a worker remembers; the memory is emptied when it is full.
-CACHE_WORDS = 400_000
+#: Words and pieces whose ids a worker remembers; a memory is emptied when it is full.
+CACHE_WORDS = 700_000
 #: Documents that are tokenized together.
 SLICE = 1000
 
@@ -87,30 +91,82 @@ def split_words(text: str) -> list[str]:
     return [w for w in _SPACE.split(text) if w] if _ODD_SPACE.search(text) else text.split()
 
 
+# fixed value: the pattern by which the tokenizer cuts a text before merging
+_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Words of these characters need no normalization but lower case.
+_PLAIN = re.compile("[!-~\xa1-\u012f\u0131-\u024f]+")
+
+
+#: Signs that often end a word; each is a piece of its own.
+_SIGNS = ".,!?;:|"
+
+
 class Encoder:
-    """Ids and projection of whole texts, word by word: the tokenizer drops white space
-    and never joins across it, so the ids of a text are those of its words in order."""
+    """Ids of texts, word by word where the tokenizer allows it: if it drops white space and
+    never joins across it, the ids of a text are those of its words in order, and those of a
+    plain word are those of its lower-cased pieces. Words and pieces are remembered up to a
+    bound, and new ones of many documents are encoded in one call."""
 
     def __init__(self, path: str):
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-        self.width = 2 if self.tokenizer.get_vocab_size() <= 65_536 else 4
-        self.dtype = f"<u{self.width}"
-
-    def ids(self, texts: list[list[str]]) -> list[bytes]:
-        """Ids of texts given as words. New words go to the tokenizer in one call."""
-        known = self.known
-        new = set().union(*texts).difference(known)
-        if len(known) + len(new) > CACHE_WORDS:
-            known.clear()
-            new = set().union(*texts)
-        if new:
-            words = list(new)
-            for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, self.dtype).tobytes()
-        return [b"".join(map(known.__getitem__, words)) for words in texts]
+        self.code = "H" if self.tokenizer.get_vocab_size() <= 65_536 else "I"
+        self.dtype = "<u2" if self.code == "H" else "<u4"
+        self.width = array(self.code).itemsize
+        self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.cut = regex.compile(_PIECES).findall
+        self.plain = None
+        how = json.loads(self.tokenizer.to_str())
+        norm, pre = how["normalizer"] or {}, how["pre_tokenizer"] or {}
+        steps = [x["type"] for x in norm.get("normalizers", ())], [x["type"] for x in pre.get("pretokenizers", ())]
+        if steps == (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]):
+            split = pre["pretokenizers"][0]
+            if split["pattern"] == {"Regex": _PIECES} and split["invert"] and split["behavior"] == "Removed":
+                how |= {"normalizer": None, "pre_tokenizer": pre["pretokenizers"][1]}
+                self.plain = Tokenizer.from_str(json.dumps(how))
+
+    def _encoded(self, tokenizer, texts: list[str]) -> list[bytes]:
+        found = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [array(self.code, e.ids).tobytes() for e in found]
+
+    def _learn(self, words: list[str]) -> None:
+        whole, ended, cut, odd = [], [], [], []
+        for w in words:  # most words are letters, or letters and one sign
+            plain = w.isascii() or _PLAIN.fullmatch(w)
+            if w.isalpha():
+                (whole if plain else odd).append(w)
+            elif w[-1] in _SIGNS and w[:-1].isalpha():
+                (ended if plain else odd).append(w)
+            else:
+                (cut if plain and w.isprintable() and "<|" not in w else odd).append(w)
+        low = [w.lower() for w in whole]
+        stems = [w[:-1].lower() for w in ended]
+        parts = [self.cut(w.lower()) for w in cut]
+        wanted = set(low).union(stems, _SIGNS, *parts)
+        new = wanted.difference(self.pieces)
+        if len(self.pieces) + len(new) > CACHE_WORDS:
+            self.pieces.clear()
+            new = wanted
+        self.pieces.update(zip(new, self._encoded(self.plain, list(new)), strict=True))
+        get, known = self.pieces.__getitem__, self.words
+        known.update(zip(whole, map(get, low), strict=True))
+        known.update((w, get(x) + get(w[-1])) for w, x in zip(ended, stems, strict=True))
+        known.update((w, b"".join(map(get, p))) for w, p in zip(cut, parts, strict=True))
+        known.update(zip(odd, self._encoded(self.tokenizer, odd), strict=True))
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        if self.plain is None:
+            return self._encoded(self.tokenizer, texts)
+        split = [split_words(x) for x in texts]
+        new = set().union(*split).difference(self.words)
+        if len(self.words) + len(new) > CACHE_WORDS:
+            self.words.clear()
+            new = set().union(*split)
+        self._learn(list(new))
+        return [b"".join(map(self.words.__getitem__, x)) for x in split]
 
 
 @lru_cache(maxsize=1)
@@ -120,8 +176,10 @@ def _encoder(path: str) -> Encoder:
 
 @lru_cache(maxsize=1)
 def _directions(size: int) -> np.ndarray:
-    """Fixed random signs: how the count of each id moves the point."""
-    return np.random.default_rng(9).choice(np.array([-1.0, 1.0]), (size, DIMS))
+    """A fixed random sign for each id and dimension: bits in lanes of 16, so that one sum
+    counts all dimensions."""
+    signs = np.random.default_rng(9).integers(0, 2, (size, DIMS))
+    return (signs << (16 * np.arange(DIMS))).sum(axis=1).astype(np.uint64)
 
 
 def _place(ids: np.ndarray, directions: np.ndarray) -> np.ndarray:
@@ -129,7 +187,11 @@ def _place(ids: np.ndarray, directions: np.ndarray) -> np.ndarray:
     spread about as far as short ones, then squashed to the grid."""
     if not len(ids):
         return np.full(DIMS, 1 << (BITS - 1))
-    mean = directions[ids].mean(axis=0) * min(len(ids), 64) ** 0.5
+    plus = np.zeros(DIMS)
+    for at in range(0, len(ids), 65_535):
+        lanes = int(directions[ids[at : at + 65_535]].sum())
+        plus += [(lanes >> (16 * d)) & 0xFFFF for d in range(DIMS)]
+    mean = (2 * plus / len(ids) - 1) * min(len(ids), 64) ** 0.5
     return np.clip((np.tanh(mean / 2) + 1) / 2 * (1 << BITS), 0, (1 << BITS) - 1).astype(np.int64)
 
 
@@ -143,7 +205,7 @@ def tokenized(docs: DataFrame, tokenizer: str, eos: int = EOS) -> DataFrame:
         parts = (batch.slice(at, SLICE) for batch in batches for at in range(0, batch.num_rows, SLICE))
         for batch in parts:
             n, points, ids = [], [], []
-            for raw in coder.ids([split_words(text or "") for text in batch.column(1).to_pylist()]):
+            for raw in coder.ids([x or "" for x in batch.column(1).to_pylist()]):
                 seq = np.frombuffer(raw, coder.dtype)
                 points.append(_place(seq, directions))
                 n.append(len(seq) + 1)
@@ -186,20 +248,19 @@ def _cut(starts: dict[int, int], seq_len: int, width: int):
 
 
 def packed(
-    docs: DataFrame, tokenizer: str | None = None, seq_len: int = 4096, eos: int = EOS, range_tokens: int = 4_000_000
+    docs: DataFrame, tokenizer: str | None = None, seq_len: int = 4096, eos: int = EOS, range_tokens: int = 1_000_000
 ) -> DataFrame:
     """One row per piece (see PIECES). range_tokens: ids that one range of the curve has
     about; it sets the parallelism, not the result's quality."""
     tokens = written(tokenized(docs, tokenizer or default_tokenizer(), eos), "tokens")
     # the curve has DIMS * BITS bits; a hash of the id below them parts ties
-    order = F.shiftleft(F.col("curve"), 62 - DIMS * BITS) + F.shiftrightunsigned(
-        F.xxhash64("doc_id"), 2 + DIMS * BITS
-    )
+    low = KEY_BITS - DIMS * BITS
+    order = F.shiftleft(F.col("curve"), low) + F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - low)
     keyed = tokens.withColumn("key", order)
     total = keyed.agg(F.sum("n")).first()[0]
     if not total:
         return docs.sparkSession.createDataFrame([], PIECES)
-    bounds = range_bounds(keyed, "key", min(20_000, -(-total // range_tokens)))
+    bounds = weighted_bounds(keyed, "key", "n", max(range_tokens, total // 20_000), KEY_BITS)
     keyed = keyed.withColumn("part", range_part(F.col("key"), bounds)) if bounds else keyed.withColumn("part", F.lit(0))
     # one number a range: at most as many rows as there are ranges
     sums = dict(keyed.groupBy("part").agg(F.sum("n")).collect())
@@ -207,7 +268,7 @@ def packed(
     for p in sorted(sums):
         starts[p], at = at, at + sums[p]
     return (
-        keyed.repartition(max(1, len(bounds) + 1), "part")
+        keyed.repartition(-(-(len(bounds) + 1) // 4), "part")  # a task holds about four ranges
         .sortWithinPartitions("part", "key", "doc_id", F.crc32("ids"))
         .select("part", "doc_id", "n", "ids")
         .mapInArrow(_cut(starts, seq_len, _width(tokenizer or default_tokenizer())), PIECES)
