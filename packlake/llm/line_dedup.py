@@ -7,10 +7,10 @@ that differ become variable. A template found in `min_docs` documents or more re
 lines are dropped from every document but the first that has it (the smallest doc_id), so
 that each text survives once. A document of which no line is left is rejected.
 
-Only leaves that many documents reach can hold a recurring template, so a count of hashed
-leaves goes first and only the lines of those leaves travel with their text. Within a leaf
-the distinct lines are gathered, not the occurrences. A leaf with more than `leaf_lines`
-distinct lines is parted by its next token, then by the next two and the next four.
+Only leaves that several documents reach can hold a recurring template, so a count of hashed
+leaves goes first, into a filter of fixed size, and only the lines that pass it travel with
+their text. Within a leaf the distinct lines are read, not the occurrences; a leaf with more
+than `leaf_lines` distinct lines is parted by its next seven tokens.
 
 Defined cases: null and empty texts have no lines and are rejected; blank lines, lines of
 fewer than `min_tokens` tokens and lines of variable fields only are never dropped; rows
@@ -20,15 +20,19 @@ columns are carried along by the pipeline stage.
 
 from __future__ import annotations
 
+import re
 from collections import Counter, defaultdict
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from .common import table, written
+from .packing import split_words
 
 DEPTH = 3
 SIMILARITY = 0.8
@@ -36,20 +40,92 @@ MIN_DOCS = 3
 MIN_TOKENS = 3
 LEAF_LINES = 20_000
 VARIABLE = "<*>"
+#: Slots of the filter of leaves; a broadcast bit each.
+SLOTS = 1 << 27
+_DIGIT = re.compile("[0-9]")
 
 ORACLE_SQL = None
 
 
-def parsed_lines(docs: DataFrame, depth: int = DEPTH, min_tokens: int = MIN_TOKENS) -> DataFrame:
-    """doc_id, text_key, line (number in the text), norm (masked line), leaf, of lines that may be dropped."""
-    masked = F.regexp_replace(F.trim(F.regexp_replace("raw", r"[\x20\x09-\x0D]+", " ")), "[^ ]*[0-9][^ ]*", VARIABLE)
-    n = F.length("norm") - F.length(F.translate("norm", " ", "")) + 1
-    return (
-        docs.where(F.col("text").isNotNull())
-        .select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n", -1)).alias("line", "raw"))
-        .select("doc_id", "text_key", "line", masked.alias("norm"))
-        .where((n >= min_tokens) & F.col("norm").rlike(r"(^| )(?!<\*>( |$))[^ ]"))
-        .select("doc_id", "text_key", "line", "norm", F.xxhash64(n, F.substring_index("norm", " ", depth)).alias("leaf"))
+def parse_lines(text: str, depth: int, min_tokens: int):
+    """(line number, tokens, leaf) of the lines that may be dropped."""
+    for k, raw in enumerate(text.split("\n")):
+        tokens = split_words(raw)
+        if len(tokens) < min_tokens:
+            continue
+        if _DIGIT.search(raw):
+            tokens = [VARIABLE if _DIGIT.search(x) else x for x in tokens]
+            if tokens.count(VARIABLE) == len(tokens):
+                continue
+        yield k, tokens, xxhash.xxh3_64_intdigest(f"{len(tokens)} {' '.join(tokens[:depth])}")
+
+
+def busy_slots(docs: DataFrame, depth: int, min_docs: int, min_tokens: int, slots: int = SLOTS) -> bytes:
+    """One bit for each slot of leaf hashes: whether enough lines of different documents fall
+    into it. The size is fixed; with very many leaves more slots are busy and let more lines
+    through, and what comes after is exact."""
+
+    def run(batches):
+        at, owner = [], []
+        for batch in batches:
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if doc is not None and text:
+                    found = [h % slots for _, _, h in parse_lines(text, depth, min_tokens)]
+                    at.append(np.array(found, np.int64))
+                    owner.append(np.full(len(found), doc, np.int64))
+        if not at:
+            return
+        at, owner = np.concatenate(at), np.concatenate(owner)
+        order = np.lexsort((owner, at))
+        at, owner = at[order], owner[order]
+        first = np.flatnonzero(np.diff(at, prepend=-1))
+        last = np.append(first[1:], len(at)) - 1
+        columns = at[first], last - first + 1, owner[first], owner[last]
+        for k in range(0, len(first), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 100_000]) for x in columns], ["slot", "n", "lo", "hi"])
+
+    words = (
+        docs.select("doc_id", "text")
+        .mapInArrow(run, "slot long, n long, lo long, hi long")
+        .groupBy("slot")
+        .agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        .where((F.col("n") >= min_docs) & (F.col("lo") < F.col("hi")))
+        .groupBy(F.shiftright("slot", 5).alias("at"))
+        .agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 31 as int))")).alias("bits"))
+    )
+    out = np.zeros(slots // 32, "<u4")
+    found = words.toArrow()  # at most slots / 32 rows
+    out[found.column("at").to_numpy()] = found.column("bits").to_numpy()
+    return out.tobytes()
+
+
+def busy_lines(docs: DataFrame, bits: bytes, depth: int, min_tokens: int) -> DataFrame:
+    """doc_id, text_key, line, leaf, norm (masked line) of the lines in busy slots."""
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches):
+        busy = shared.value
+        slots = 8 * len(busy)
+        for batch in batches:
+            docs_, keys, lines, leaves, norms = [], [], [], [], []
+            for doc, key, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                if doc is None:
+                    continue
+                for k, tokens, leaf in parse_lines(text or "", depth, min_tokens):
+                    slot = leaf % slots
+                    if busy[slot >> 3] >> (slot & 7) & 1:
+                        docs_.append(doc)
+                        keys.append(key)
+                        lines.append(k)
+                        leaves.append(leaf - (1 << 63))
+                        norms.append(" ".join(tokens))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(docs_, pa.int64()), pa.array(keys, pa.int64()), pa.array(lines, pa.int32()), pa.array(leaves, pa.int64()), pa.array(norms, pa.string())],
+                ["doc_id", "text_key", "line", "leaf", "norm"],
+            )
+
+    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(
+        run, "doc_id long, text_key long, line int, leaf long, norm string"
     )
 
 
@@ -79,27 +155,34 @@ def templates_of_leaf(lines: list[str], similarity: float) -> list[int]:
     return out
 
 
-def line_templates(shapes: DataFrame, similarity: float, leaf_lines: int) -> DataFrame:
-    """norm_key, template (of lines with the same leaf) from leaf, norm and n (occurrences)."""
-    part = F.col("leaf")
-    deep = shapes
-    for level in range(3):  # part overfull leaves by the next token, again if need be
-        counts = deep.groupBy("leaf").agg(F.count(F.lit(1)).alias("shapes")).where(F.col("shapes") > leaf_lines)
-        next_token = F.xxhash64("leaf", F.substring_index("norm", " ", DEPTH + 2 ** (level + 1) - 1))
-        deep = (
-            deep.join(counts, "leaf", "left")
-            .withColumn("leaf", F.when(F.col("shapes").isNotNull(), next_token).otherwise(part))
-            .drop("shapes")
-        )
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["n", "norm"], ascending=[False, True], kind="stable")
-        keys = pdf["norm_key"].to_numpy()
-        return pd.DataFrame({"norm_key": keys, "template": keys[templates_of_leaf(pdf["norm"].tolist(), similarity)]})
-
-    return deep.select("leaf", "norm", "n", F.xxhash64("norm").alias("norm_key")).groupBy("leaf").applyInPandas(
-        run, "norm_key long, template long"
-    )
+def line_templates(shapes: DataFrame, similarity: float, depth: int, leaf_lines: int) -> DataFrame:
+    """norm_key, template (of lines with the same leaf) from leaf, norm and n (occurrences).
+    A partition holds whole leaves in order, and its lines are read leaf by leaf."""
+    full = F.count(F.lit(1)).over(W.partitionBy("leaf")) > leaf_lines
+    rows = shapes.withColumn("deep", F.when(full, F.xxhash64(F.substring_index("norm", " ", depth + 7))).otherwise(F.lit(0).cast("long")))
+
+    def run(batches):
+        held, lines, keys = None, [], []
+
+        def closed():
+            return pa.RecordBatch.from_arrays(
+                [pa.array(keys, pa.int64()), pa.array([keys[t] for t in templates_of_leaf(lines, similarity)], pa.int64())],
+                ["norm_key", "template"],
+            )
+
+        for batch in batches:
+            for leaf, deep, norm, key in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                if (leaf, deep) != held:
+                    if keys:
+                        yield closed()
+                    held, lines, keys = (leaf, deep), [], []
+                lines.append(norm)
+                keys.append(key)
+        if keys:
+            yield closed()
+
+    ordered = rows.sortWithinPartitions("leaf", "deep", F.desc("n"), "norm")
+    return ordered.select("leaf", "deep", "norm", F.xxhash64("norm").alias("norm_key")).mapInArrow(run, "norm_key long, template long")
 
 
 def dropped_lines(
@@ -111,17 +194,11 @@ def dropped_lines(
     leaf_lines: int = LEAF_LINES,
 ) -> DataFrame:
     """doc_id, text_key, drop (line numbers) of documents that lose lines."""
-    lines = parsed_lines(docs, depth, min_tokens)
-    busy = (
-        lines.groupBy("leaf")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-        .where((F.col("n") >= min_docs) & (F.col("lo") < F.col("hi")))
-        .select("leaf")
-    )
-    found = written(lines.hint("merge").join(busy, "leaf"), "lines")
+    bits = busy_slots(docs, depth, min_docs, min_tokens)
+    found = written(busy_lines(docs, bits, depth, min_tokens), "lines")
     shapes = found.groupBy("leaf", "norm").agg(F.count(F.lit(1)).alias("n"))
     named = found.select("doc_id", "text_key", "line", F.xxhash64("norm").alias("norm_key")).join(
-        line_templates(shapes, similarity, leaf_lines), "norm_key"
+        line_templates(shapes, similarity, depth, leaf_lines), "norm_key"
     )
     named = written(named.select("doc_id", "text_key", "line", "template"), "templates")
     recurring = (
