@@ -44,7 +44,8 @@ def overlay_batches(log: DataFrame, root: str, checkpoint: str) -> StreamingQuer
     def apply(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         batch.write.mode("overwrite").parquet(f"{root}/log/batch={epoch}")
-        touched = batch.select("ino").distinct()
+        batch.select("ino").distinct().write.mode("overwrite").parquet(f"{root}/touched/batch={epoch}")
+        touched = spark.read.parquet(f"{root}/touched/batch={epoch}")
         whole = spark.read.parquet(f"{root}/log").drop("batch").join(touched, "ino", "left_semi").dropDuplicates(["ino", "seq"])
         overlay(whole).write.mode("overwrite").parquet(f"{root}/extents/batch={epoch}")
 
@@ -56,9 +57,9 @@ def overlay_batches(log: DataFrame, root: str, checkpoint: str) -> StreamingQuer
     )
 
 
-def latest_extents(extents: DataFrame) -> DataFrame:
-    """Extents of each file from the last batch that touched it."""
-    last = extents.groupBy("ino").agg(F.max("batch").alias("batch"))
+def latest_extents(extents: DataFrame, touched: DataFrame) -> DataFrame:
+    """Extents of each file from the last batch that touched it, which may have left none."""
+    last = touched.groupBy("ino").agg(F.max("batch").alias("batch"))
     return extents.join(last, ["ino", "batch"], "left_semi").drop("batch")
 
 
