@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 
 from .common import table, written
 
-BUCKETS = 1 << 16
+BUCKETS = 1 << 13
 SEED = 5
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 _REPEAT = "\x00again"
@@ -96,7 +96,7 @@ def bucket_counts(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     )
 
 
-def log_ratio(counts: list, buckets: int = BUCKETS, smooth: float = 1.0) -> np.ndarray:
+def log_ratio(counts: list, buckets: int = BUCKETS, smooth: float = 10.0) -> np.ndarray:
     """log p_target - log p_raw of each bucket, smoothed; zeros if there is no target."""
     raw, target = np.full(buckets, smooth), np.full(buckets, smooth)
     for b, r, t in counts:
