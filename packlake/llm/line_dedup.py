@@ -73,7 +73,7 @@ def busy_slots(docs: DataFrame, depth: int, min_docs: int, min_tokens: int, slot
                     found = [h % slots for _, _, h in parse_lines(text, depth, min_tokens)]
                     at.append(np.array(found, np.int64))
                     owner.append(np.full(len(found), doc, np.int64))
-        if not at:
+        if not any(map(len, at)):
             return
         at, owner = np.concatenate(at), np.concatenate(owner)
         order = np.lexsort((owner, at))
@@ -206,6 +206,8 @@ def dropped_lines(
         .agg(F.countDistinct("doc_id").alias("n_docs"), F.min("doc_id").alias("first_doc"))
         .where(F.col("n_docs") >= min_docs)
     )
+    # read from a table, it does not come grouped by template, and a hot template can be split
+    recurring = written(recurring, "recurring")
     return (
         named.join(recurring, "template")
         .where(F.col("doc_id") != F.col("first_doc"))
@@ -214,11 +216,14 @@ def dropped_lines(
     )
 
 
-def line_dedup(docs: DataFrame, **options) -> DataFrame:
-    """All columns of docs with the remaining `text`, and n_lines, n_dropped and kept (a line
-    with a word is left), which replace columns of these names."""
-    own = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "kept")]
-    docs = docs.select(*own)
+#: Columns that the operator adds; the names are not those of a document's own columns.
+_LINES, _DROPPED, _KEPT = "__n_lines", "__n_dropped", "__kept"
+
+
+def cleaned(docs: DataFrame, **options) -> DataFrame:
+    """All columns of docs with the remaining text, the number of lines and of dropped lines,
+    and whether a line with a word is left."""
+    own = docs.columns
     drop = dropped_lines(docs, **options).select(
         F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("drop").alias("__drop")
     )
@@ -242,27 +247,26 @@ def line_dedup(docs: DataFrame, **options) -> DataFrame:
             columns = [pa.array(texts, batch.schema.field(at).type) if k == at else batch.column(k) for k in range(len(own))]
             yield pa.RecordBatch.from_arrays(
                 [*columns, pa.array(totals, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.bool_())],
-                [*own, "n_lines", "n_dropped", "kept"],
+                [*own, _LINES, _DROPPED, _KEPT],
             )
 
-    schema = T.StructType(
-        [
-            *docs.schema.fields,
-            T.StructField("n_lines", T.LongType()),
-            T.StructField("n_dropped", T.LongType()),
-            T.StructField("kept", T.BooleanType()),
-        ]
-    )
-    return joined.select(*own, "__drop").mapInArrow(run, schema)
+    added = [T.StructField(_LINES, T.LongType()), T.StructField(_DROPPED, T.LongType()), T.StructField(_KEPT, T.BooleanType())]
+    return joined.select(*own, "__drop").mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
+
+
+def line_dedup(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, text (what remains), n_lines, n_dropped, kept of every row."""
+    out = cleaned(docs.select("doc_id", "text"), **options)
+    return out.withColumnsRenamed({_LINES: "n_lines", _DROPPED: "n_dropped", _KEPT: "kept"})
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return line_dedup(table(spark, sf_dir, "documents"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents without their recurring lines; n_chars follows the text."""
-    out = line_dedup(docs).where("kept")
+    out = cleaned(docs).where(_KEPT)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

@@ -82,13 +82,16 @@ def hilbert_key(points: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 
 #: White space to Python, which need not be white space to a tokenizer.
-_ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_ODD_SPACE = "\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
 _SPACE = re.compile(r"[\x20\x09-\x0D]+")
 
 
 def split_words(text: str) -> list[str]:
     """Runs of characters other than ASCII white space."""
-    return [w for w in _SPACE.split(text) if w] if _ODD_SPACE.search(text) else text.split()
+    odd = _ODD_SPACE[:4] if text.isascii() else _ODD_SPACE
+    if any(c in text for c in odd):
+        return [w for w in _SPACE.split(text) if w]
+    return text.split()
 
 
 # fixed value: the pattern by which the tokenizer cuts a text before merging

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import table
+from .common import table, written
 
 _SPACE = r"[\x20\x09-\x0D]+"
 _SYMBOLS = "#*$%&|<>"
@@ -120,6 +120,8 @@ def quality_rules(docs: DataFrame, limit: int = 10, min_left: float = 0.2) -> Da
         .where(F.col("n_docs") > limit)
         .select("line_key", "first_doc")
     )
+    # read from a table, it does not come grouped by line, and a hot line can be split
+    frequent = written(frequent, "frequent-lines")
     removed = (
         lines.join(frequent, "line_key")
         .where(F.col("doc_id") != F.col("first_doc"))
