@@ -33,7 +33,8 @@ def to_ns(sec, nsec) -> Column:
 
 def ns_timestamp(ns) -> Column:
     """Timestamp at microsecond precision; the raw nanoseconds stay the truth."""
-    return F.timestamp_micros(F.floor(col(ns) / 1000).cast("long"))
+    whole = col(ns) - F.pmod(col(ns), F.lit(1000))  # integers only: nanoseconds do not fit a double
+    return F.timestamp_micros(F.call_function("div", whole, F.lit(1000)))
 
 
 def chunk_id(seq) -> Column:

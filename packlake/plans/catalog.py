@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Config
-from ..functions.scalars import is_retryable
+from ..functions.scalars import is_retryable, ns_timestamp
 from ..operators import attrs, checks, compaction, namespace, overlay
 from ..schema import S_IFDIR
 from ..sources import fixtures as fx
@@ -203,6 +203,25 @@ def nlink_counts(spark, sf_dir):
     return namespace.nlinks(entries, fx.inodes(spark, sf_dir))
 
 
+@_query(_with(_XATTRS, select="select ino, value from xattrs where name = 'user.quality'"))
+def xattr_get(spark, sf_dir):
+    maps = namespace.xattr_maps(namespace.latest_xattrs(fx.xattr_log(spark, sf_dir)))
+    return maps.select("ino", F.try_element_at("xattrs", F.lit("user.quality")).alias("value")).where("value is not null")
+
+
+@_query(_with(_FILES, select="select distinct cast(user_id + 2 as bigint) as ino from events where cast(user_id + 2 as bigint) in (select ino from files)"))
+def open_exists(spark, sf_dir):
+    """Which of the inodes that the event log touches can be opened."""
+    wanted = fx.table(spark, sf_dir, "events").select((F.col("user_id") + 2).cast("long").alias("ino")).distinct()
+    return attrs.cascade(wanted, fx.files(spark, sf_dir))
+
+
+@_query(_with(_FILES, select="select ino, mtime_ns // 1000 as mtime_us from files"))
+def mtime_micros(spark, sf_dir):
+    """Microseconds of the modification time: what a timestamp keeps of the nanoseconds."""
+    return fx.files(spark, sf_dir).select("ino", F.unix_micros(ns_timestamp("mtime_ns")).alias("mtime_us"))
+
+
 # extents
 
 
@@ -294,6 +313,19 @@ def sealed_chunks(spark, sf_dir):
     )
 
 
+@_query(_with(_WRITE_LOG, _PLACED, _CHUNKS, select="""select chunk_id, case when chunk_id = (select max(chunk_id) from chunks) then 'Active' else 'Sealed' end as status, size from chunks"""))
+def chunk_status(spark, sf_dir):
+    return _with_status(_chunks(spark, sf_dir))
+
+
+@_query(_with(_WRITE_LOG, _PLACED, select="select ino, cast(count(*) as bigint) as n_extents, cast(sum(len) as bigint) as total from placed where len > 0 group by ino"))
+def appended_extents(spark, sf_dir):
+    """Extents added one after another, without looking for overlap: how many and how long."""
+    log = fx.write_log(spark, sf_dir).where("op = 'write' and len > 0").select("ino", "seq", "len")
+    both = overlay.append_extents(log.where("seq % 2 = 0"), log.where("seq % 2 = 1"))
+    return both.groupBy("ino").agg(F.count(F.lit(1)).alias("n_extents"), F.sum("len").cast("long").alias("total"))
+
+
 @_query(_with(_WRITE_LOG, _OVERLAY, _PLACED, _EXTENTS, _CHUNKS, _USAGE, select="select chunk_id, size, live, orphan, fraction from usage"))
 def chunk_orphans(spark, sf_dir):
     return _usage(spark, sf_dir)
@@ -391,6 +423,39 @@ def entries_fold(spark, sf_dir):
     return attrs.fold_entries(entries, log)
 
 
+_FOLDED = """folded as (
+  select parent_ino, name, child_ino from entries where name not like 'doc-%' or child_ino not in (select doc_id + 2 from labels)
+  union all select cast(2500000000 + quality as bigint), concat('doc-', cast(doc_id as varchar)), cast(doc_id + 2 as bigint) from labels where toxic = 0)"""
+
+
+@_query(_with(_ENTRIES, _INODES, _FOLDED, select="select ino, file_type, size from inodes where ino = 1 or ino in (select child_ino from folded)"))
+def surviving_inodes(spark, sf_dir):
+    """Inodes that a name still refers to after the moves and removals of entries_fold."""
+    return attrs.surviving(fx.inodes(spark, sf_dir), entries_fold(spark, sf_dir))
+
+
+@_query(_with(_ENTRIES, _INODES, _FOLDED, _XATTRS, select="select ino, name, value from xattrs where ino in (select child_ino from folded)"))
+def xattrs_cascade(spark, sf_dir):
+    return attrs.cascade(namespace.latest_xattrs(fx.xattr_log(spark, sf_dir)), surviving_inodes(spark, sf_dir))
+
+
+@_query(_with(_ENTRIES, select="""select cast(doc_id as bigint) * 2 as seq, 'exists' as reason from documents
+  union all select cast(doc_id as bigint) * 2 + 1, 'no entry' from documents"""))
+def operations_rejected(spark, sf_dir):
+    """Every file is created again under its name, and another name of its directory is removed."""
+    entries = fx.dir_entries(spark, sf_dir)
+    old = entries.where(F.col("name").startswith("doc-"))
+    none = F.lit(None)
+    again = old.select(
+        ((F.col("child_ino") - 2) * 2).alias("seq"), F.lit("create").alias("op"), F.lit(1 << 40).cast("long").alias("ino"), "parent_ino", "name",
+        none.cast("long").alias("dst_parent"), none.cast("string").alias("dst_name"),
+    )
+    gone = again.select(
+        F.col("seq") + 1, F.lit("unlink"), none.cast("long"), "parent_ino", F.concat("name", F.lit("-gone")), "dst_parent", "dst_name"
+    )
+    return attrs.rejected_operations(entries, fx.inodes(spark, sf_dir), again.unionAll(gone))
+
+
 @_query(_with(_FILES, select="""select ino, size + 1 as size, 'added' as side from files where size % 10 = 0
   union all select ino, size, 'removed' from files where size % 10 = 0"""))
 def structural_diff(spark, sf_dir):
