@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import table, tidied, written
 from .components import block_roots, blocked, components
 
 THRESHOLD = 0.9
@@ -61,7 +61,7 @@ def valid_vectors(emb: DataFrame) -> DataFrame:
                 ["vec_id", "dim", "vec", "d1", "d2"],
             )
 
-    return emb.select("vec_id", "embedding").mapInArrow(run, "vec_id long, dim int, vec binary, d1 long, d2 long")
+    return emb.select("vec_id", "embedding").mapInArrow(tidied(run), "vec_id long, dim int, vec binary, d1 long, d2 long")
 
 
 def _unit(raw: list[bytes]) -> np.ndarray:
@@ -115,7 +115,7 @@ def assigned(classes: DataFrame, centroids: np.ndarray, probes: int) -> DataFram
                         cells[k] = row
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cells, pa.list_(pa.int64()))], ["rep", "cells"])
 
-    return classes.select("rep", "dim", "vec").mapInArrow(run, "rep long, cells array<long>")
+    return classes.select("rep", "dim", "vec").mapInArrow(tidied(run), "rep long, cells array<long>")
 
 
 def compare_blocks(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:

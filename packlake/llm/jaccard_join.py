@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import table, tidied, written
 from .components import block_roots, blocked, components
 from .packing import split_words
 
@@ -37,6 +37,8 @@ WORDS, THRESHOLD = 5, 0.8
 TREES, DEPTH, MIN_DEPTH = 32, 7, 4
 TARGET_RECALL = 0.9995
 BLOCK = 1024
+#: Shingles that are laid out as a matrix at a time.
+MAX_SHINGLES = 1_000_000
 CACHE_WORDS = 300_000
 
 ORACLE_SQL = None
@@ -52,23 +54,17 @@ class _Hashes(dict):
         return h
 
 
-@lru_cache(maxsize=1)
-def _hashes() -> _Hashes:
-    return _Hashes()
-
-
 def _mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
     return h ^ (h >> np.uint64(33))
 
 
-def shingles(text: str | None, n: int = WORDS) -> np.ndarray:
+def shingles(text: str | None, n: int, known: _Hashes) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the n-word shingles of a whole text."""
     words = split_words(text or "")
     if not words:
         return np.zeros(0, np.uint64)
-    known = _hashes()
     h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     size = min(n, len(h))
     acc = np.full(len(h) - size + 1, size, np.uint64)
@@ -100,10 +96,11 @@ def fingerprints(docs: DataFrame, n: int = WORDS) -> DataFrame:
     def run(batches):
         import xxhash
 
+        known = _Hashes()
         for batch in batches:
             d1, d2, sig = [], [], []
             for text in batch.column(1).to_pylist():
-                sh = shingles(text, n)
+                sh = shingles(text, n, known)
                 digest = xxhash.xxh3_128_digest(sh.tobytes()) if len(sh) else None
                 d1.append(digest and int.from_bytes(digest[:8], "little", signed=True))
                 d2.append(digest and int.from_bytes(digest[8:], "little", signed=True))
@@ -113,7 +110,7 @@ def fingerprints(docs: DataFrame, n: int = WORDS) -> DataFrame:
                 ["doc_id", "d1", "d2", "sig"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, d1 long, d2 long, sig binary")
+    return docs.select("doc_id", "text").mapInArrow(tidied(run), "doc_id long, d1 long, d2 long, sig binary")
 
 
 def prefix_keys(sig: np.ndarray, depth: int) -> np.ndarray:
@@ -139,7 +136,7 @@ def node_rows(classes: DataFrame, depth: int) -> DataFrame:
                 rep = np.repeat(np.asarray(batch.column(0)), TREES)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(rep)], ["node", "rep"])
 
-    return classes.select("rep", "sig").mapInArrow(run, "node long, rep long")
+    return classes.select("rep", "sig").mapInArrow(tidied(run), "node long, rep long")
 
 
 def meets(s: np.ndarray, depth: int) -> np.ndarray:
@@ -156,6 +153,12 @@ def _candidates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _shared(a: list[np.ndarray], b: list[np.ndarray], met: np.ndarray) -> np.ndarray:
     """Number of common shingles of the candidate pairs, exactly."""
+    if sum(map(len, a)) + sum(map(len, b)) > MAX_SHINGLES and len(a) + len(b) > 2:
+        if len(a) >= len(b):
+            half = len(a) // 2
+            return np.concatenate([_shared(a[:half], b, met[:half]), _shared(a[half:], b, met[half:])])
+        half = len(b) // 2
+        return np.concatenate([_shared(a, b[:half], met[:, :half]), _shared(a, b[half:], met[:, half:])], axis=1)
     out = np.zeros(met.shape, np.int64)
     rows, cols = np.nonzero(met)
     if len(rows) <= 4 * (len(a) + len(b)):
@@ -182,7 +185,8 @@ def _shared(a: list[np.ndarray], b: list[np.ndarray], met: np.ndarray) -> np.nda
 def compare_blocks(pdf: pd.DataFrame, depth: int, threshold: float, n: int) -> pd.DataFrame:
     """Links of the rows of one block (i = j) or between two blocks of a component."""
     i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-    sets = [shingles(x, n) for x in pdf["text"]]
+    known = _Hashes()
+    sets = [shingles(x, n, known) for x in pdf["text"]]
     keys = prefix_keys(_signatures(pdf["sig"].tolist()), depth)
     rep, weight, block = (pdf[c].to_numpy(np.int64) for c in ("rep", "copies", "block"))
     a = np.flatnonzero(block == i)
@@ -276,5 +280,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document of each group stays."""
-    keep = jaccard_join(docs).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(keep, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
+    keep = jaccard_join(docs).where("kept").select(F.col("doc_id").alias("__id")).distinct()
+    return docs.hint("merge").join(keep, F.col("doc_id") == F.col("__id"), "left_semi").dropDuplicates(["doc_id"])

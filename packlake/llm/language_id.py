@@ -19,16 +19,15 @@ rows are predicted alike; other columns are ignored.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, tidied
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
@@ -36,7 +35,7 @@ CACHE_WORDS = 400_000
 #: Documents whose new words are looked up together.
 SLICE = 1000
 UNKNOWN = "und"
-_LETTERS = re.compile(r"[^\W\d_]+")
+_LETTERS = regex.compile(r"\p{L}+")
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 ORACLE_SQL = None
@@ -84,7 +83,7 @@ def learn_counts(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
 
     return (
         docs.select("text", "lang")
-        .mapInArrow(run, "lang string, bucket long, n long")
+        .mapInArrow(tidied(run), "lang string, bucket long, n long")
         .groupBy("lang", "bucket")
         .agg(F.sum("n").alias("n"))
     )
@@ -198,7 +197,7 @@ def predicted(docs: DataFrame, model: Model) -> DataFrame:
                 ["doc_id", "lang_pred", "score"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select("doc_id", "text").mapInArrow(tidied(run), "doc_id long, lang_pred string, score double")
 
 
 _live: dict = {}

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .common import table, written
+from .common import table, tidied, written
 from .packing import split_words
 
 DEPTH = 3
@@ -86,7 +86,7 @@ def busy_slots(docs: DataFrame, depth: int, min_docs: int, min_tokens: int, slot
 
     words = (
         docs.select("doc_id", "text")
-        .mapInArrow(run, "slot long, n long, lo long, hi long")
+        .mapInArrow(tidied(run), "slot long, n long, lo long, hi long")
         .groupBy("slot")
         .agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
         .where((F.col("n") >= min_docs) & (F.col("lo") < F.col("hi")))
@@ -125,7 +125,7 @@ def busy_lines(docs: DataFrame, bits: bytes, depth: int, min_tokens: int) -> Dat
             )
 
     return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(
-        run, "doc_id long, text_key long, line int, leaf long, norm string"
+        tidied(run), "doc_id long, text_key long, line int, leaf long, norm string"
     )
 
 
@@ -182,7 +182,7 @@ def line_templates(shapes: DataFrame, similarity: float, depth: int, leaf_lines:
             yield closed()
 
     ordered = rows.sortWithinPartitions("leaf", "deep", F.desc("n"), "norm")
-    return ordered.select("leaf", "deep", "norm", F.xxhash64("norm").alias("norm_key")).mapInArrow(run, "norm_key long, template long")
+    return ordered.select("leaf", "deep", "norm", F.xxhash64("norm").alias("norm_key")).mapInArrow(tidied(run), "norm_key long, template long")
 
 
 def dropped_lines(
@@ -251,7 +251,7 @@ def cleaned(docs: DataFrame, **options) -> DataFrame:
             )
 
     added = [T.StructField(_LINES, T.LongType()), T.StructField(_DROPPED, T.LongType()), T.StructField(_KEPT, T.BooleanType())]
-    return joined.select(*own, "__drop").mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
+    return joined.select(*own, "__drop").mapInArrow(tidied(run), T.StructType([*docs.schema.fields, *added]))
 
 
 def line_dedup(docs: DataFrame, **options) -> DataFrame:

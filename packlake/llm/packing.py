@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import range_part, table, weighted_bounds, written
+from .common import range_part, table, tidied, weighted_bounds, written
 
 DIMS, BITS = 4, 8
 #: Bits of the sort key: the position on the curve and a hash of the id.
@@ -219,7 +219,7 @@ def tokenized(docs: DataFrame, tokenizer: str, eos: int = EOS) -> DataFrame:
                 ["doc_id", "curve", "n", "ids"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, curve long, n long, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(tidied(run), "doc_id long, curve long, n long, ids binary")
 
 
 def _cut(starts: dict[int, int], seq_len: int, width: int):
@@ -274,7 +274,7 @@ def packed(
         keyed.repartition(-(-(len(bounds) + 1) // 4), "part")  # a task holds about four ranges
         .sortWithinPartitions("part", "key", "doc_id", F.crc32("ids"))
         .select("part", "doc_id", "n", "ids")
-        .mapInArrow(_cut(starts, seq_len, _width(tokenizer or default_tokenizer())), PIECES)
+        .mapInArrow(tidied(_cut(starts, seq_len, _width(tokenizer or default_tokenizer()))), PIECES)
     )
 
 

@@ -22,7 +22,6 @@ together; other columns are ignored.
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table, written
+from .common import table, tidied, written
 
 BUCKETS = 1 << 13
 SEED = 5
@@ -53,17 +52,11 @@ class _Hashes(dict):
         return h
 
 
-@lru_cache(maxsize=1)
-def _hashes() -> _Hashes:
-    return _Hashes()
-
-
-def ngram_buckets(text: str | None, buckets: int = BUCKETS) -> np.ndarray:
+def ngram_buckets(text: str | None, buckets: int, known: _Hashes) -> np.ndarray:
     """Bucket of every uni- and bigram of a whole text."""
     tokens = _TOKEN.findall(text or "")
     if not tokens:
         return np.zeros(0, np.int64)
-    known = _hashes()
     h = np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens))
     again = np.flatnonzero(h[1:] == h[:-1]) + 1
     h[again] = known[_REPEAT]
@@ -77,10 +70,11 @@ def bucket_counts(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     Each task sends at most one row per bucket."""
 
     def run(batches):
+        known = _Hashes()
         raw, target = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
         for batch in batches:
             for text, good in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                n = np.bincount(ngram_buckets(text, buckets), minlength=0)
+                n = np.bincount(ngram_buckets(text, buckets, known), minlength=0)
                 raw[: len(n)] += n
                 if good:
                     target[: len(n)] += n
@@ -90,7 +84,7 @@ def bucket_counts(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
 
     return (
         docs.select("text", "good")
-        .mapInArrow(run, "bucket long, raw long, target long")
+        .mapInArrow(tidied(run), "bucket long, raw long, target long")
         .groupBy("bucket")
         .agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     )
@@ -118,8 +112,9 @@ def with_weights(docs: DataFrame, ratio: np.ndarray, columns: list[str], seed: i
     carried = [docs.columns.index(c) for c in columns]
 
     def run(batches):
+        known = _Hashes()
         for batch in batches:
-            found = [ngram_buckets(x, len(ratio)) for x in batch.column(at).to_pylist()]
+            found = [ngram_buckets(x, len(ratio), known) for x in batch.column(at).to_pylist()]
             weight = pa.array([float(ratio[b].sum()) for b in found], pa.float64())
             empty = pa.array([len(b) == 0 for b in found], pa.bool_())
             yield pa.RecordBatch.from_arrays(
@@ -128,7 +123,7 @@ def with_weights(docs: DataFrame, ratio: np.ndarray, columns: list[str], seed: i
 
     fields = [docs.schema.fields[k] for k in carried]
     schema = T.StructType([*fields, T.StructField(_WEIGHT, T.DoubleType()), T.StructField(_EMPTY, T.BooleanType())])
-    scored = docs.mapInArrow(run, schema)
+    scored = docs.mapInArrow(tidied(run), schema)
     # uniform in (0, 1) from the top 52 bits of a hash
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 12).cast("double") + 0.5) / float(1 << 52)
     return scored.withColumn(_SCORE, F.col(_WEIGHT) - F.log(-F.log(u)))
