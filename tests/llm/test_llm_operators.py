@@ -314,7 +314,7 @@ def test_language_mixture_and_odd_rows(spark, sf):
     model = language_id.fit(docs)
     by = {k: " ".join(r["text"] for r in docs.where(docs.lang == k).limit(6).collect()).split()[:150] for k in ("en", "de")}
     predictor = language_id.Predictor(model)
-    (top, score), (und, zero) = predictor.predict([" ".join(by["en"] + by["de"][:75]), "12 !"])
+    (top, score), (und, zero) = predictor.predict([" ".join(by["en"] + by["de"][:75]), "12 ! ² ½ Ⅷ"])
     assert top == "en" and 0.55 < score < 0.8 and (und, zero) == ("und", 0.0)
     out = {r["doc_id"]: r["lang_pred"] for r in language_id.predicted(_odd_docs(spark), model).collect()}
     assert out[1] == out[2] == out[3] == out[6] == "und" and out[4] != "und"
