@@ -35,7 +35,7 @@ BUCKETS = 1 << 13
 SEED = 5
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 _REPEAT = "\x00again"
-CACHE_TOKENS = 400_000
+CACHE_TOKENS = 150_000
 
 ORACLE_SQL = None
 
@@ -114,9 +114,12 @@ def with_weights(docs: DataFrame, ratio: np.ndarray, columns: list[str], seed: i
     def run(batches):
         known = _Hashes()
         for batch in batches:
-            found = [ngram_buckets(x, len(ratio), known) for x in batch.column(at).to_pylist()]
-            weight = pa.array([float(ratio[b].sum()) for b in found], pa.float64())
-            empty = pa.array([len(b) == 0 for b in found], pa.bool_())
+            weights, none = [], []
+            for text in batch.column(at).to_pylist():
+                found = ngram_buckets(text, len(ratio), known)
+                weights.append(float(ratio[found].sum()))
+                none.append(len(found) == 0)
+            weight, empty = pa.array(weights, pa.float64()), pa.array(none, pa.bool_())
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(k) for k in carried), weight, empty], [*columns, _WEIGHT, _EMPTY]
             )
