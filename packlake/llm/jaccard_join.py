@@ -39,7 +39,7 @@ TARGET_RECALL = 0.9995
 BLOCK = 1024
 #: Shingles that are laid out as a matrix at a time.
 MAX_SHINGLES = 1_000_000
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 
 ORACLE_SQL = None
 
@@ -227,6 +227,7 @@ def verified(docs: DataFrame, classes: DataFrame, depth: int, threshold: float,
     )
     return (
         blocked(member, "component", "node", BLOCK)
+        .repartition("component", "i", "j")  # else the blocks of a component stay in its task
         .withColumnRenamed("node", "rep")
         .groupBy("component", "i", "j")
         .applyInPandas(
