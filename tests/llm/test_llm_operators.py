@@ -250,6 +250,18 @@ def test_embeddings_match_brute_force(spark, monkeypatch):
     assert all(r["kept"] == (i == r["component_id"]) for i, r in out.items())
 
 
+def test_embeddings_of_a_hot_group_all_meet(spark):
+    rng = np.random.default_rng(3)
+    hot = rng.normal(size=64) + 0.22 * rng.normal(size=(3000, 64))  # cosines about 0.954 among them
+    x = np.concatenate([hot, rng.normal(size=(6000, 64))])
+    x = x[rng.permutation(len(x))].astype(np.float32).astype(float)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    out = {r["vec_id"]: r for r in embedding_dedup.embedding_dedup(df).collect()}
+    n = np.linalg.norm(x, axis=1)
+    want = ((x @ x.T) / (n[:, None] * n[None, :]) >= 0.9).sum(axis=1) - 1
+    assert [out[i]["n_links"] for i in range(len(x))] == want.tolist()
+
+
 def test_embeddings_odd_rows(spark):
     rows = [(1, None), (2, []), (3, [0.0, 0.0]), (4, [1.0, None]), (5, [float("nan"), 1.0]), (6, [1.0, 1.0]), (7, [2.0, 2.0]), (7, [2.0, 2.0]), (8, [1.0, 2.0, 3.0]), (9, [1e30, 0.0]), (10, [1e38, 0.0])]
     df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<float>, kept int")
