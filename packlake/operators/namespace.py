@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,20 +58,33 @@ def readdir(entries: DataFrame, inodes: DataFrame) -> DataFrame:
     return own.unionAll(up).unionAll(kids.join(dirs.withColumnRenamed("ino", "dir_ino"), "dir_ino", "left_semi"))
 
 
+def _stored(level: DataFrame) -> DataFrame:
+    """`level` computed once, in the session's checkpoint folder."""
+    context = level.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        where = level.sparkSession.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(where or tempfile.mkdtemp(prefix="ckpt-"))
+    return level.checkpoint()
+
+
 def paths(entries: DataFrame, max_depth: int = 255) -> DataFrame:
-    """ino, path, depth of everything that the root reaches; a hard link gives two rows."""
+    """ino, path, depth of everything that the root reaches; a hard link gives two rows.
+    One join a level, each stored: the number of rows has no limit. A cycle, or a tree
+    deeper than max_depth, is an error."""
     spark = entries.sparkSession
-    return spark.sql(
-        f"""
-        with recursive walk(ino, path, depth) max recursion level {max_depth} as (
-          select cast({ROOT_INO} as bigint), cast('' as string), cast(0 as bigint)
-          union all
-          select e.child_ino, concat(w.path, '/', e.name), w.depth + 1
-          from walk w join {{entries}} e on e.parent_ino = w.ino)
-        select ino, case when path = '' then '/' else path end as path, depth from walk
-        """,
-        entries=entries,
-    )
+    level = spark.createDataFrame([(ROOT_INO, "", 0)], "ino long, path string, depth long")
+    out = level.withColumn("path", F.lit("/"))
+    below = entries.select("parent_ino", F.col("child_ino").cast("long").alias("child"), "name")
+    for depth in range(1, max_depth + 2):
+        level = _stored(
+            level.join(below, level["ino"] == below["parent_ino"]).select(
+                F.col("child").alias("ino"), F.concat("path", F.lit("/"), "name").alias("path"), F.lit(depth).cast("long").alias("depth")
+            )
+        )
+        if level.isEmpty():
+            return out
+        out = out.unionAll(level)
+    raise RuntimeError(f"paths are deeper than {max_depth} levels")
 
 
 def symlink_targets(links: DataFrame) -> DataFrame:

@@ -169,3 +169,17 @@ def test_paths_of_a_cycle_free_tree(spark):
     entries = spark.createDataFrame([(1, "a", 2), (2, "b", 3), (2, "c", 4), (1, "hard", 4)], ENTRY)
     got = sorted((r["ino"], r["path"], r["depth"]) for r in namespace.paths(entries).collect())
     assert got == [(1, "/", 0), (2, "/a", 1), (3, "/a/b", 2), (4, "/a/c", 2), (4, "/hard", 1)]
+
+
+def test_paths_of_over_a_million_entries(spark):
+    n = 1_200_000
+    entries = spark.range(n).selectExpr("case when id < 100 then 1 else id % 100 + 2 end as parent_ino", "concat('f', id) as name", "id + 2 as child_ino")
+    got = namespace.paths(entries)
+    assert got.groupBy("depth").count().orderBy("depth").collect() == [(0, 1), (1, 100), (2, n - 100)]
+    assert got.where("ino = 1000002").first()["path"] == "/f0/f1000000"
+
+
+def test_paths_of_a_cycle_are_an_error(spark):
+    entries = spark.createDataFrame([(1, "a", 2), (2, "b", 3), (3, "c", 2)], ENTRY)
+    with pytest.raises(RuntimeError):
+        namespace.paths(entries, max_depth=4)
