@@ -9,8 +9,12 @@ that each text survives once. A document of which no line is left is rejected.
 
 Only leaves that several documents reach can hold a recurring template, so a count of hashed
 leaves goes first, into a filter of fixed size, and only the lines that pass it travel with
-their text. Within a leaf the distinct lines are read, not the occurrences; a leaf with more
-than `leaf_lines` distinct lines is parted by its next seven tokens.
+their text. Within a leaf the distinct lines are read, not the occurrences. A line of a
+template agrees with the line that began it in all but a known number of tokens, so when the
+tokens after the leading ones are cut into one segment more than that, both share a segment.
+A leaf with more than `leaf_lines` distinct lines is parted into the groups that shared
+segments connect: no line can join a template of another group, and templates are the same
+whether a leaf is parted or not. A group that stays connected is read by one task.
 
 Defined cases: null and empty texts have no lines and are rejected; blank lines, lines of
 fewer than `min_tokens` tokens and lines of variable fields only are never dropped; rows
@@ -21,7 +25,8 @@ columns are carried along by the pipeline stage.
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +34,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window as W
 
 from .common import table, tidied, written
+from .components import components
 from .packing import split_words
 
 DEPTH = 3
@@ -129,45 +134,84 @@ def busy_lines(docs: DataFrame, bits: bytes, depth: int, min_tokens: int) -> Dat
     )
 
 
-def templates_of_leaf(lines: list[str], similarity: float) -> list[int]:
-    """The template of each line (all with as many tokens): the number of the line that
-    began it. Lines are taken in the given order."""
+def least_votes(n: int, similarity: float) -> int:
+    """The fewest equal tokens of n with which a line joins a template."""
+    return next(m for m in range(n + 1) if m >= similarity * n or m == n)
+
+
+def segments(tokens: list[str], similarity: float, depth: int) -> list[tuple]:
+    """Runs of tokens after the first `depth`, one more than tokens may differ. Lines that
+    are alike enough share one; if all the tokens may differ, there is one run of none."""
+    n = len(tokens)
+    runs, rest = n - least_votes(n, similarity) + 1, max(0, n - depth)
+    if rest < runs:
+        return [(n,)]
+    cuts = [n - rest + rest * k // runs for k in range(runs + 1)]
+    return [(n, k, *tokens[cuts[k] : cuts[k + 1]]) for k in range(runs)]
+
+
+def templates_of_leaf(lines: list[str], similarity: float, depth: int = 0) -> list[int]:
+    """The template of each line (all with as many tokens, the first `depth` the same): the
+    number of the line that began it. Lines are taken in the given order."""
     templates: dict[int, list[str | None]] = {}
-    holders: dict[tuple[int, str], set[int]] = defaultdict(set)  # constant tokens of templates
+    holders: dict[tuple, list[int]] = defaultdict(list)  # segments of the lines that began templates
     out = []
     for k, line in enumerate(lines):
         tokens = line.split(" ")
-        votes = Counter(t for at in enumerate(tokens) for t in holders.get(at, ()))
-        best = max(votes.items(), key=lambda x: (x[1], -x[0]), default=None)
-        if best is None or best[1] < similarity * len(tokens):
+        own = segments(tokens, similarity, depth)
+        near = {t for x in own for t in holders.get(x, ())}
+        votes = ((sum(map(eq, templates[t], tokens)), -t) for t in near)
+        best, first = max(votes, default=(-1, 0))
+        if best < similarity * len(tokens):
             templates[k] = list(tokens)
-            for at in enumerate(tokens):
-                holders[at].add(k)
+            for x in own:
+                holders[x].append(k)
             out.append(k)
             continue
-        out.append(best[0])
-        kept = templates[best[0]]
-        for at in enumerate(tokens):
-            old = kept[at[0]]
-            if old is not None and old != at[1]:
-                holders[at[0], old].discard(best[0])
-                kept[at[0]] = None
+        out.append(-first)
+        kept = templates[-first]
+        for at, token in enumerate(tokens):
+            if kept[at] != token:
+                kept[at] = None
     return out
 
 
+def connected(shapes: DataFrame, similarity: float, depth: int) -> DataFrame:
+    """norm_key, deep of the lines of shapes: lines of a leaf that shared segments connect."""
+
+    def run(batches):
+        for batch in batches:
+            keys, shared = [], []
+            for leaf, norm, key in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                for x in segments(norm.split(" "), similarity, depth):
+                    keys.append(key)
+                    shared.append(xxhash.xxh3_64_intdigest(" ".join(map(str, (leaf, *x)))) - (1 << 63))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(shared, pa.int64())], ["u", "v"])
+
+    keyed = shapes.select("leaf", "norm", F.xxhash64("norm").alias("norm_key"))
+    found = components(keyed.mapInArrow(tidied(run), "u long, v long"))
+    return keyed.select("norm_key").join(found.withColumnRenamed("node", "norm_key"), "norm_key").select(
+        "norm_key", F.col("component").alias("deep")
+    )
+
+
 def line_templates(shapes: DataFrame, similarity: float, depth: int, leaf_lines: int) -> DataFrame:
     """norm_key, template (of lines with the same leaf) from leaf, norm and n (occurrences).
-    A partition holds whole leaves in order, and its lines are read leaf by leaf."""
-    full = F.count(F.lit(1)).over(W.partitionBy("leaf")) > leaf_lines
-    rows = shapes.withColumn("deep", F.when(full, F.xxhash64(F.substring_index("norm", " ", depth + 7))).otherwise(F.lit(0).cast("long")))
+    A partition holds whole groups in order, and its lines are read group by group."""
+    shapes = written(shapes, "shapes")
+    full = written(shapes.groupBy("leaf").count().where(F.col("count") > leaf_lines).select("leaf"), "full-leaves")
+    rows = shapes.withColumn("norm_key", F.xxhash64("norm")).withColumn("deep", F.lit(0).cast("long"))
+    if not full.isEmpty():
+        parts = connected(shapes.join(full, "leaf", "left_semi"), similarity, depth)
+        rows = rows.drop("deep").join(parts, "norm_key", "left").withColumn("deep", F.coalesce("deep", F.lit(0)))
 
     def run(batches):
         held, lines, keys = None, [], []
 
         def closed():
+            found = templates_of_leaf(lines, similarity, depth)
             return pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), pa.array([keys[t] for t in templates_of_leaf(lines, similarity)], pa.int64())],
-                ["norm_key", "template"],
+                [pa.array(keys, pa.int64()), pa.array([keys[t] for t in found], pa.int64())], ["norm_key", "template"]
             )
 
         for batch in batches:
@@ -181,8 +225,8 @@ def line_templates(shapes: DataFrame, similarity: float, depth: int, leaf_lines:
         if keys:
             yield closed()
 
-    ordered = rows.sortWithinPartitions("leaf", "deep", F.desc("n"), "norm")
-    return ordered.select("leaf", "deep", "norm", F.xxhash64("norm").alias("norm_key")).mapInArrow(tidied(run), "norm_key long, template long")
+    ordered = rows.repartition("leaf", "deep").sortWithinPartitions("leaf", "deep", F.desc("n"), "norm")
+    return ordered.select("leaf", "deep", "norm", "norm_key").mapInArrow(tidied(run), "norm_key long, template long")
 
 
 def dropped_lines(

@@ -156,6 +156,15 @@ def test_line_templates_generalise(spark):
     assert line_dedup.templates_of_leaf(["a b c d e", "a b c d f", "x y z u v", "a b c d g"], 0.8) == [0, 0, 2, 0]
 
 
+def test_line_templates_do_not_depend_on_leaf_lines(spark):
+    name = [chr(97 + k) * 4 for k in range(12)]
+    rows = [(k, f"Posted by user {x} on the board today\n{x} has its own\nThe old line of {x} and then ten tokens or so more", "s") for k, x in enumerate(name)]
+    rows += [(50 + k, f"Posted by user {x} {x} wrote some thing", "s") for k, x in enumerate(name)]
+    whole, parted = ({r["doc_id"]: r["text"] for r in line_dedup.line_dedup(_docs(spark, rows), leaf_lines=m).collect()} for m in (20_000, 2))
+    assert whole == parted and all(whole[k] == f"{name[k]} has its own" for k in range(1, 12))
+    assert all(whole[50 + k] for k in range(12))
+
+
 def test_line_dedup_odd_rows(spark):
     docs = _odd_docs(spark)
     out = line_dedup.line_dedup(docs).collect()
