@@ -25,6 +25,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,10 +35,10 @@ DIMS, BITS = 4, 8
 #: Bits of the sort key: the position on the curve and a hash of the id.
 KEY_BITS = 62
 EOS = 2
-#: Words and pieces whose ids a worker remembers; a memory is emptied when it is full.
-CACHE_WORDS = 700_000
-#: Documents that are tokenized together.
-SLICE = 1000
+#: Pieces whose ids a worker remembers.
+CACHE_WORDS = 800_000
+#: Documents that are tokenized together, and about how many bytes of text.
+SLICE, SLICE_BYTES = 2500, 1 << 23
 
 PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -98,17 +99,52 @@ def split_words(text: str) -> list[str]:
 _PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Words of these characters need no normalization but lower case.
 _PLAIN = re.compile("[!-~\xa1-\u012f\u0131-\u024f]+")
-
-
 #: Signs that often end a word; each is a piece of its own.
 _SIGNS = ".,!?;:|"
+#: Most words: letters that need nothing but lower case, with one of the signs or none.
+_REGULAR = f"^[A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u024f]+[{_SIGNS}]?$"
+
+
+class Memory:
+    """Bytes by word, in two generations of up to half of `size` words each: a full one
+    becomes the old one, and what is still in use moves on from there."""
+
+    def __init__(self, size: int = CACHE_WORDS):
+        self.size = size // 2
+        self.now: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def of(self, words: list[str], learn) -> list[bytes]:
+        """The bytes of distinct words; learn: those of a list of words that are not known."""
+        found = list(map(self.now.get, words))
+        if None in found:
+            new = [w for w, v in zip(words, found, strict=True) if v is None]
+            if len(self.now) + len(new) > self.size:
+                self.now, self.old = dict(x for x in zip(words, found, strict=True) if x[1] is not None), self.now
+            self.now.update((w, self.old[w]) for w in new if w in self.old)
+            new = [w for w in new if w not in self.old]
+            self.now.update(zip(new, learn(new), strict=True))
+            found = list(map(self.now.__getitem__, words))
+        return found
+
+
+def _joined(values: list[bytes], dtype: str) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of a list of byte strings, end to end, and how many each has."""
+    sizes = np.fromiter(map(len, values), np.int64, len(values)) // np.dtype(dtype).itemsize
+    return np.frombuffer(b"".join(values), dtype), sizes
+
+
+def _gathered(sizes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Where the members of groups lie that are stored end to end, for the groups `at` in turn."""
+    taken = sizes[at]
+    return np.arange(taken.sum()) + np.repeat((np.cumsum(sizes) - sizes)[at] - (np.cumsum(taken) - taken), taken)
 
 
 class Encoder:
     """Ids of texts, word by word where the tokenizer allows it: if it drops white space and
     never joins across it, the ids of a text are those of its words in order, and those of a
-    plain word are those of its lower-cased pieces. Words and pieces are remembered up to a
-    bound, and new ones of many documents are encoded in one call."""
+    plain word are those of its lower-cased pieces. Each distinct word of many documents is
+    looked up once, in a memory of bounded size, and new ones are encoded in one call."""
 
     def __init__(self, path: str):
         import regex
@@ -118,8 +154,7 @@ class Encoder:
         self.code = "H" if self.tokenizer.get_vocab_size() <= 65_536 else "I"
         self.dtype = "<u2" if self.code == "H" else "<u4"
         self.width = array(self.code).itemsize
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.pieces, self.words = Memory(), Memory(CACHE_WORDS // 4)
         self.cut = regex.compile(_PIECES).findall
         self.plain = None
         how = json.loads(self.tokenizer.to_str())
@@ -130,46 +165,62 @@ class Encoder:
             if split["pattern"] == {"Regex": _PIECES} and split["invert"] and split["behavior"] == "Removed":
                 how |= {"normalizer": None, "pre_tokenizer": pre["pretokenizers"][1]}
                 self.plain = Tokenizer.from_str(json.dumps(how))
+                self.signs, self.sign_size = _joined(self._pieces(list(_SIGNS)), self.dtype)
 
     def _encoded(self, tokenizer, texts: list[str]) -> list[bytes]:
         found = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array(self.code, e.ids).tobytes() for e in found]
 
-    def _learn(self, words: list[str]) -> None:
-        whole, ended, cut, odd = [], [], [], []
-        for w in words:  # most words are letters, or letters and one sign
-            plain = w.isascii() or _PLAIN.fullmatch(w)
-            if w.isalpha():
-                (whole if plain else odd).append(w)
-            elif w[-1] in _SIGNS and w[:-1].isalpha():
-                (ended if plain else odd).append(w)
-            else:
-                (cut if plain and w.isprintable() and "<|" not in w else odd).append(w)
-        low = [w.lower() for w in whole]
-        stems = [w[:-1].lower() for w in ended]
-        parts = [self.cut(w.lower()) for w in cut]
-        wanted = set(low).union(stems, _SIGNS, *parts)
-        new = wanted.difference(self.pieces)
-        if len(self.pieces) + len(new) > CACHE_WORDS:
-            self.pieces.clear()
-            new = wanted
-        self.pieces.update(zip(new, self._encoded(self.plain, list(new)), strict=True))
-        get, known = self.pieces.__getitem__, self.words
-        known.update(zip(whole, map(get, low), strict=True))
-        known.update((w, get(x) + get(w[-1])) for w, x in zip(ended, stems, strict=True))
-        known.update((w, b"".join(map(get, p))) for w, p in zip(cut, parts, strict=True))
-        known.update(zip(odd, self._encoded(self.tokenizer, odd), strict=True))
-
-    def ids(self, texts: list[str]) -> list[bytes]:
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        return self._encoded(self.plain, pieces)
+
+    def _uncommon(self, words: list[str]) -> list[bytes]:
+        """Words that are more than letters and a sign."""
+        plain = [bool(w.isprintable() and "<|" not in w and _PLAIN.fullmatch(w)) for w in words]
+        parts = [self.cut(w.lower()) for w, p in zip(words, plain, strict=True) if p]
+        wanted = list({x for p in parts for x in p})
+        known = dict(zip(wanted, self.pieces.of(wanted, self._pieces), strict=True))
+        whole = iter(self._encoded(self.tokenizer, [w for w, p in zip(words, plain, strict=True) if not p]))
+        cut = (b"".join(map(known.__getitem__, p)) for p in parts)
+        return [next(cut if p else whole) for p in plain]
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct words, end to end, and how many each has."""
+        regular = pc.match_substring_regex(words, _REGULAR)
+        low = pc.utf8_lower(words.filter(regular))
+        stems = pc.utf8_rtrim(low, _SIGNS)
+        n_low, n_stem = (pc.binary_length(x).to_numpy() for x in (low, stems))
+        last = np.frombuffer(low.buffers()[2] or b"", np.uint8)[: n_low.sum()][np.cumsum(n_low) - 1]
+        sign = np.where(n_low > n_stem, np.searchsorted(_SIGN_CODES, last), -1)
+        stems = stems.dictionary_encode()
+        stem_ids, stem_size = _joined(self.pieces.of(stems.dictionary.to_pylist(), self._pieces), self.dtype)
+        other_ids, other_size = _joined(self.words.of(words.filter(pc.invert(regular)).to_pylist(), self._uncommon), self.dtype)
+        # parts of words: stems, signs (the last one is none), then words that are not regular
+        ids = np.concatenate([stem_ids, self.signs, other_ids])
+        size = np.concatenate([stem_size, self.sign_size, [0], other_size])
+        part = np.full((len(words), 2), len(stem_size) + len(_SIGNS))
+        is_regular = regular.to_numpy(zero_copy_only=False)
+        part[is_regular, 0] = stems.indices.to_numpy()
+        part[is_regular, 1] = len(stem_size) + np.where(sign < 0, len(_SIGNS), _SIGN_ORDER[sign])
+        part[~is_regular, 0] = len(stem_size) + len(_SIGNS) + 1 + np.arange(len(other_size))
+        return ids[_gathered(size, part.ravel())], size[part].sum(axis=1)
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts, end to end, and how many each text has."""
+        texts = pc.fill_null(texts, "")
         if self.plain is None:
-            return self._encoded(self.tokenizer, texts)
-        split = [split_words(x) for x in texts]
-        new = set().union(*split).difference(self.words)
-        if len(self.words) + len(new) > CACHE_WORDS:
-            self.words.clear()
-            new = set().union(*split)
-        self._learn(list(new))
-        return [b"".join(map(self.words.__getitem__, x)) for x in split]
+            return _joined(self._encoded(self.tokenizer, texts.to_pylist()), self.dtype)
+        split = pc.ascii_split_whitespace(texts)
+        words = split.flatten().dictionary_encode()
+        ids, size = self._words(words.dictionary)
+        at = words.indices.to_numpy()
+        ends = np.concatenate([[0], np.cumsum(size[at])])[np.cumsum(pc.list_value_length(split).to_numpy())]
+        return ids[_gathered(size, at)], np.diff(ends, prepend=0)
+
+
+#: The signs' codes in order, and the place in _SIGNS of each of them.
+_SIGN_ORDER = np.argsort([ord(x) for x in _SIGNS])
+_SIGN_CODES = np.sort([ord(x) for x in _SIGNS])
 
 
 @lru_cache(maxsize=1)
@@ -179,25 +230,31 @@ def _encoder(path: str) -> Encoder:
 
 @lru_cache(maxsize=1)
 def _directions(size: int) -> np.ndarray:
-    """A fixed random sign for each id and dimension: bits in lanes of 16, so that one sum
-    counts all dimensions."""
-    signs = np.random.default_rng(9).integers(0, 2, (size, DIMS))
-    return (signs << (16 * np.arange(DIMS))).sum(axis=1).astype(np.uint64)
-
-
-def _place(ids: np.ndarray, directions: np.ndarray) -> np.ndarray:
-    """A document's point: the mean direction of its tokens, scaled so that long texts
-    spread about as far as short ones, then squashed to the grid."""
-    if not len(ids):
-        return np.full(DIMS, 1 << (BITS - 1))
-    plus = np.zeros(DIMS)
-    for at in range(0, len(ids), 65_535):
-        lanes = int(directions[ids[at : at + 65_535]].sum())
-        plus += [(lanes >> (16 * d)) & 0xFFFF for d in range(DIMS)]
-    mean = (2 * plus / len(ids) - 1) * min(len(ids), 64) ** 0.5
+    """A fixed random bit for each dimension and id."""
+    return np.random.default_rng(9).integers(0, 2, (size, DIMS)).T.astype(np.int64)
+
+
+def _places(ids: np.ndarray, counts: np.ndarray, directions: np.ndarray) -> np.ndarray:
+    """The documents' points: the mean direction of their tokens, scaled so that long texts
+    spread about as far as short ones, then squashed to the grid. Without tokens: the middle."""
+    begin = np.minimum(np.cumsum(counts) - counts, max(0, len(ids) - 1))
+    n = np.maximum(counts, 1)[:, None]
+    plus = [np.add.reduceat(d[ids], begin) if len(ids) else np.zeros(len(counts)) for d in directions]
+    mean = (2 * np.stack(plus, axis=1) / n - 1) * np.minimum(n, 64) ** 0.5
+    mean[counts == 0] = 0
     return np.clip((np.tanh(mean / 2) + 1) / 2 * (1 << BITS), 0, (1 << BITS) - 1).astype(np.int64)
 
 
+def _slices(batch: pa.RecordBatch, column: int):
+    """Parts of a batch of at most SLICE rows and about SLICE_BYTES of a text column."""
+    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    part = np.maximum.accumulate(np.maximum(np.arange(len(size)) // SLICE, (np.cumsum(size) - size) // SLICE_BYTES + np.arange(len(size)) // SLICE))
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(size)]
+    for lo, hi in zip(cuts, cuts[1:], strict=False):
+        if hi > lo:
+            yield batch.slice(lo, hi - lo)
+
+
 def tokenized(docs: DataFrame, tokenizer: str, eos: int = EOS) -> DataFrame:
     """doc_id, curve (Hilbert key), n (ids with the closing one), ids (little-endian bytes)."""
 
@@ -205,19 +262,14 @@ def tokenized(docs: DataFrame, tokenizer: str, eos: int = EOS) -> DataFrame:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         coder = _encoder(tokenizer)
         directions = _directions(coder.tokenizer.get_vocab_size())
-        parts = (batch.slice(at, SLICE) for batch in batches for at in range(0, batch.num_rows, SLICE))
-        for batch in parts:
-            n, points, ids = [], [], []
-            for raw in coder.ids([x or "" for x in batch.column(1).to_pylist()]):
-                seq = np.frombuffer(raw, coder.dtype)
-                points.append(_place(seq, directions))
-                n.append(len(seq) + 1)
-                ids.append(raw + np.array([eos], coder.dtype).tobytes())
-            key = hilbert_key(np.array(points)) if points else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(key), pa.array(n, pa.int64()), pa.array(ids, pa.binary())],
-                ["doc_id", "curve", "n", "ids"],
-            )
+        for batch in (part for whole in batches for part in _slices(whole, 1)):
+            ids, counts = coder.ids(batch.column(1))
+            key = hilbert_key(_places(ids, counts, directions))
+            closed = np.full(len(ids) + len(counts), eos, coder.dtype)
+            closed[np.arange(len(ids)) + np.repeat(np.arange(len(counts)), counts)] = ids
+            ends = np.concatenate([[0], np.cumsum(counts + 1)]) * coder.width
+            raw = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(closed)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(key), pa.array(counts + 1), raw], ["doc_id", "curve", "n", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(tidied(run), "doc_id long, curve long, n long, ids binary")
 
