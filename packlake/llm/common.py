@@ -20,13 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. The session names it; where it
-    doesn't (tests on one machine), a temporary folder is taken."""
-    where = spark.sparkContext.getCheckpointDir()
+    """The folder that driver and executors share. The session names it; where it doesn't, a
+    temporary folder is taken if driver and executors are one process, else it is an error."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if where is None:
-        where = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt-")
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir is not set: executors need a folder that all of them share")
+        where = tempfile.mkdtemp(prefix="ckpt-")
         spark.sparkContext.setCheckpointDir(where)
-    return spark.conf.get("spark.checkpoint.dir", None) or where
+    return where
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -38,6 +40,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def share_drawn(seed: str, key: str, share: float):
+    """Whether a row is in a sample of a share of all, by a hash; fine enough for any number of rows."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), key), 1) < F.lit(min(int(share * 2.0**63), (1 << 63) - 1))
+
+
 def weighted_bounds(df: DataFrame, key: str, weight: str, target: int, bits: int, cells: int = 1 << 15) -> list[int]:
     """Ascending cut points of a key of 0 .. 2**bits - 1, between which about `target` of the
     weight lies. Cells of leading bits are summed; those over the target are cut finer, as

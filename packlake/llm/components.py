@@ -15,16 +15,18 @@ from pyspark.sql import functions as F
 from .common import written
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One round over (u, v), u > v. Joins, not windows: a hot node is split by AQE."""
-    if large:
-        both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        out = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    else:
-        low = edges.groupBy("u").agg(F.min("v").alias("m"))
-        out = edges.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-    return out.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+def _large_star(edges: DataFrame) -> DataFrame:
+    """Over (u, v), u > v: v's own smallest neighbour takes its place. The rows of a hot v are
+    not grouped by it, so that a join can split them."""
+    low = edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("__v"), "m")
+    return edges.join(low, F.col("v") == F.col("__v"), "left").select("u", F.coalesce("m", "v").alias("v")).distinct()
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    """Over (u, v), u > v: u and its smaller neighbours all point to the smallest one."""
+    low = edges.groupBy("u").agg(F.min("v").alias("m"))
+    out = edges.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
+    return out.where("u <> v").distinct()
 
 
 def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
@@ -40,7 +42,7 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         if mark == before or not mark[0]:
             break
         before = mark
-        now = written(_star(_star(now, True), False), "edges")
+        now = written(_small_star(_large_star(now)), "edges")
     else:
         raise RuntimeError("components did not settle")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, tidied, written
+from .common import share_drawn, table, tidied, written
 from .components import block_roots, components
 
 THRESHOLD = 0.9
@@ -85,7 +85,7 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 4) -> n
     rng = np.random.default_rng(seed)
     c = x[rng.choice(len(x), min(k, len(x)), replace=False)]
     for _ in range(rounds):
-        near = (x @ c.T).argmax(axis=1)
+        near = np.concatenate([(x[at : at + 2048] @ c.T).argmax(axis=1) for at in range(0, len(x), 2048)])
         sums = np.zeros_like(c)
         np.add.at(sums, near, x)
         norm = np.linalg.norm(sums, axis=1, keepdims=True)
@@ -97,9 +97,7 @@ def fit_cells(classes: DataFrame, dim: int, n: int, max_cells: int = MAX_CELLS)
     """Centroids from a sample of at most about SAMPLE_COMPONENTS / dim vectors, by a hash of the id."""
     size = max(1, SAMPLE_COMPONENTS // dim)
     share = min(1.0, size / n)
-    drawn = classes.where(F.col("dim") == dim).where(
-        F.pmod(F.xxhash64(F.lit("cells"), "rep"), F.lit(1_000_000)) < int(share * 1_000_000)
-    )
+    drawn = classes.where((F.col("dim") == dim) & share_drawn("cells", "rep", share))
     raw = [bytes(r[0]) for r in drawn.orderBy(F.xxhash64("rep"), "rep").limit(size).select("vec").collect()]
     return spherical_kmeans(_unit(raw), max(1, min(max_cells, round(n**0.5)))) if raw else np.zeros((0, dim))
 

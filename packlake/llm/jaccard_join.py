@@ -1,22 +1,32 @@
 """N-gram Jaccard join: MinHash LSH forest.
 
-Texts are sets of word shingles. Equal sets are copies and are represented once, by the
-smallest doc_id. Every distinct set has a MinHash signature, laid out as `TREES` labels of
-`DEPTH` values; a tree of the forest is the prefix trie of one label over all sets,
-and sets below the same node at depth k agree in k values. Matching starts at the
-full depth. After the exact verification the recall is estimated from the similarities
-found (a link of similarity s is met at depth k with probability 1 - (1 - s^k)^trees);
-while the estimate is below the target, prefixes are shortened by one.
-
-Candidates are never emitted as pairs: trie nodes are turned into stars, their connected
+Texts are sets of word shingles. Equal sets are copies and form a class. Every class has a
+MinHash signature, laid out as `TREES` labels of `DEPTH` values; a tree of the forest is the
+sorted order of one label over all classes, which is its prefix trie: two classes share a
+node at depth k if no two neighbours between them in the order agree in less than k values.
+So one sort yields, for each pair of neighbours, the depth of their lowest common node, and
+every shorter prefix can be read from it.
+
+Matching starts at the full depth for all. After the exact verification each class has an
+estimate of its own recall from the similarities of its links (a link of similarity s is met
+at depth k with probability 1 - (1 - s^k)^trees). The prefixes of classes below the target
+are shortened by one, for themselves, until each is there; at the depth where a pair at the
+threshold itself is met with the target probability every estimate is, so that is the
+shortest prefix. A class without a link has no estimate and stays at the full depth, where a
+pair at the threshold 0.8 is met with probability 0.9995.
+
+Candidates are never emitted as pairs: neighbours of a trie are edges, their connected
 components bring the texts together, and a component is compared in blocks, of which a
 task holds two. Within blocks the pairs that share a trie node are verified exactly on
-their shingle sets. What leaves a task is a row per set: its links and the smallest
-doc_id it reaches.
+their shingle sets. What leaves a task is a row per class: its links and the smallest
+class it reaches.
 
 Defined cases: a text of fewer words than a shingle is one shingle; null, empty and blank
-texts link with nothing and are kept; a repeated row is a copy like any other; an empty
-table gives an empty result; other columns are ignored.
+texts link with nothing and are kept; a repeated row is a copy like any other; rows that
+share a doc_id but not the text are documents of their own; rows without a doc_id take part,
+and name a class only if all of its rows have none (class_id is null, kept is true); an
+empty table gives an empty result; other columns are ignored, and carried along by the
+pipeline stage, which keeps one row of each class: of the smallest doc_id, nulls last.
 """
 
 from __future__ import annotations
@@ -28,14 +38,17 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .common import table, tidied, written
 from .components import block_roots, blocked, components
 from .packing import split_words
 
 WORDS, THRESHOLD = 5, 0.8
-TREES, DEPTH, MIN_DEPTH = 32, 7, 4
+TREES, DEPTH = 32, 7
 TARGET_RECALL = 0.9995
+#: Bytes of a value in a label.
+VALUE = 2
 BLOCK = 1024
 #: Shingles that are laid out as a matrix at a time.
 MAX_SHINGLES = 1_000_000
@@ -87,11 +100,21 @@ def signature(sh: np.ndarray, n: int = TREES * DEPTH) -> np.ndarray:
         part = sh[at : at + 1024, None] ^ flip
         part *= mult
         np.minimum(low, part.min(axis=0), out=low)
-    return (_mix(low) >> np.uint64(48)).astype(np.uint16)
+    return (_mix(low) >> np.uint64(48)).astype(">u2")  # labels sort by bytes as they do by value
+
+
+def _text_key():
+    """What tells rows apart besides their doc_id."""
+    return F.xxhash64(F.col("doc_id").isNull(), "text")
+
+
+def _row_id():
+    """A doc_id that can be compared; nulls have one (and a text key) of their own, and come last."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
 
 
 def fingerprints(docs: DataFrame, n: int = WORDS) -> DataFrame:
-    """doc_id, d1 and d2 (digest of the shingle set, null without one), sig."""
+    """doc_id, text_key, d1 and d2 (digest of the shingle set, null without one), sig."""
 
     def run(batches):
         import xxhash
@@ -99,18 +122,20 @@ def fingerprints(docs: DataFrame, n: int = WORDS) -> DataFrame:
         known = _Hashes()
         for batch in batches:
             d1, d2, sig = [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 sh = shingles(text, n, known)
                 digest = xxhash.xxh3_128_digest(sh.tobytes()) if len(sh) else None
                 d1.append(digest and int.from_bytes(digest[:8], "little", signed=True))
                 d2.append(digest and int.from_bytes(digest[8:], "little", signed=True))
                 sig.append(signature(sh).tobytes() if digest else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(sig, pa.binary())],
-                ["doc_id", "d1", "d2", "sig"],
+                [batch.column(0), batch.column(1), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(sig, pa.binary())],
+                ["doc_id", "text_key", "d1", "d2", "sig"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(tidied(run), "doc_id long, d1 long, d2 long, sig binary")
+    return docs.select(F.col("doc_id").cast("long"), _text_key().alias("text_key"), "text").mapInArrow(
+        tidied(run), "doc_id long, text_key long, d1 long, d2 long, sig binary"
+    )
 
 
 def prefix_keys(sig: np.ndarray, depth: int) -> np.ndarray:
@@ -123,20 +148,73 @@ def prefix_keys(sig: np.ndarray, depth: int) -> np.ndarray:
 
 
 def _signatures(binary) -> np.ndarray:
-    return np.frombuffer(b"".join(binary), np.uint16).reshape(-1, TREES * DEPTH)
+    return np.frombuffer(b"".join(binary), ">u2").reshape(-1, TREES * DEPTH)
 
 
-def node_rows(classes: DataFrame, depth: int) -> DataFrame:
-    """node, rep: every class once for each tree."""
+def _labels(classes: DataFrame) -> DataFrame:
+    """node, tree, label of every class and tree."""
+    size = VALUE * DEPTH
+    at = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(t.alias("tree"), F.substring("sig", t * size + 1, F.lit(size)).alias("label")))
+    return classes.select("node", F.explode(at).alias("x")).select("node", "x.tree", "x.label")
+
+
+def _same(a: str, b: str, shortest: int):
+    """Leading values in which two labels agree, 0 if fewer than `shortest`."""
+    out = F.lit(0)
+    for d in range(shortest, DEPTH + 1):
+        equal = F.substring(a, 1, VALUE * d) == F.substring(b, 1, VALUE * d)
+        out = F.when(equal, F.lit(d)).otherwise(out)
+    return out
+
+
+def forest(classes: DataFrame, shortest: int) -> DataFrame:
+    """u, v, depth, tree, label (of u): neighbours in the sorted order of a tree that agree in
+    `depth` values, `shortest` at least. A hot label is spread over tasks like any other range;
+    the ends of the ranges, two rows of each, are put together afterwards."""
 
     def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                keys = prefix_keys(_signatures(batch.column(1).to_pylist()), depth)
-                rep = np.repeat(np.asarray(batch.column(0)), TREES)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(rep)], ["node", "rep"])
+        last = None
 
-    return classes.select("rep", "sig").mapInArrow(tidied(run), "node long, rep long")
+        def rows(u, v, depth, tree, label):
+            return pa.RecordBatch.from_arrays(
+                [pa.array(u, pa.int64()), v, pa.array(depth, pa.int32()), pa.array(tree, pa.int32()), pa.array(label, pa.binary())],
+                ["u", "v", "depth", "tree", "label"],
+            )
+
+        def end(row):
+            return rows([row[0]], pa.nulls(1, pa.int64()), [0], [row[1]], [row[2]])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            node, tree = (batch.column(k).to_numpy() for k in (0, 1))
+            label = batch.column(2)
+            value = np.frombuffer(b"".join(label.to_pylist()), ">u2").reshape(-1, DEPTH)
+            row = (int(node[-1]), int(tree[-1]), label[-1].as_py())
+            if last is None:
+                yield end((int(node[0]), int(tree[0]), label[0].as_py()))
+            else:
+                node = np.concatenate([[last[0]], node])
+                tree = np.concatenate([[last[1]], tree])
+                value = np.concatenate([np.frombuffer(last[2], ">u2")[None, :], value])
+            equal = np.logical_and.accumulate(value[1:] == value[:-1], axis=1).sum(axis=1)
+            near = np.flatnonzero((equal >= shortest) & (tree[1:] == tree[:-1]))
+            yield rows(node[1:][near], pa.array(node[:-1][near]), equal[near], tree[1:][near], [x.tobytes() for x in value[1:][near]])
+            last = row
+        if last is not None:
+            yield end(last)
+
+    ordered = _labels(classes).repartitionByRange("tree", "label", "node").sortWithinPartitions("tree", "label", "node")
+    near = written(
+        ordered.mapInArrow(tidied(run), "u long, v long, depth int, tree int, label binary"), "tries"
+    )
+    # two rows of each range: in their order, each with the one before
+    before = W.orderBy("tree", "label", "u")
+    ends = near.where("v is null").select(
+        "u", F.lag("u").over(before).alias("v"), F.lag("tree").over(before).alias("t"), F.lag("label").over(before).alias("l"), "tree", "label"
+    )
+    ends = ends.where("tree = t and u <> v").withColumn("depth", _same("label", "l", shortest)).where("depth > 0")
+    return near.where("v is not null").unionByName(ends.select(*near.columns))
 
 
 def meets(s: np.ndarray, depth: int) -> np.ndarray:
@@ -183,95 +261,124 @@ def _shared(a: list[np.ndarray], b: list[np.ndarray], met: np.ndarray) -> np.nda
 
 
 def compare_blocks(pdf: pd.DataFrame, depth: int, threshold: float, n: int) -> pd.DataFrame:
-    """Links of the rows of one block (i = j) or between two blocks of a component."""
+    """Links of the rows of one block (i = j) or between two blocks of a component, over pairs
+    that meet at this depth and at no greater one, one of them with its prefixes so short.
+    `expected` is the number of links that those found stand for, at this depth and each below."""
     i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
     known = _Hashes()
     sets = [shingles(x, n, known) for x in pdf["text"]]
-    keys = prefix_keys(_signatures(pdf["sig"].tolist()), depth)
-    rep, weight, block = (pdf[c].to_numpy(np.int64) for c in ("rep", "copies", "block"))
+    values = _signatures(pdf["sig"].tolist())
+    node, weight, block = (pdf[c].to_numpy(np.int64) for c in ("node", "copies", "block"))
+    short = pdf["short"].to_numpy(bool)
     a = np.flatnonzero(block == i)
     b = a if i == j else np.flatnonzero(block == j)
-    met = _candidates(keys[a], keys[b]) & (rep[a][:, None] != rep[b][None, :])
+    keys = prefix_keys(values, depth)
+    met = _candidates(keys[a], keys[b]) & (node[a][:, None] != node[b][None, :])
+    if depth < DEPTH:
+        keys = prefix_keys(values, depth + 1)
+        met &= ~_candidates(keys[a], keys[b]) & (short[a][:, None] | short[b][None, :])
     sa, sb = [sets[k] for k in a], [sets[k] for k in b]
     both = _shared(sa, sb, met)
     union = np.array([len(x) for x in sa])[:, None] + np.array([len(x) for x in sb])[None, :] - both
     s = np.where(met, both / np.maximum(union, 1), 0.0)
-    link = s >= threshold
-    out = [(rep[a], link @ weight[b])]
-    left, right = block_roots(link, rep[a], rep[b])
-    roots = [left]
+    link = met & (both >= threshold * union - 1e-9)
+    left, right = block_roots(link, node[a], node[b])
+    stands = [np.where(link, 1 / meets(np.where(link, s, 1.0), d), 0.0) for d in range(depth, 0, -1)]
+    out = [(node[a], link @ weight[b], left, link.sum(axis=1), np.stack([x.sum(axis=1) for x in stands], axis=1))]
     if i != j:
-        out.append((rep[b], link.T @ weight[a]))
-        roots.append(right)
-    found = s[link]
-    share = 0.5 if i == j else 1.0
-    result = pd.DataFrame(
-        {"rep": np.concatenate([x[0] for x in out]), "links": np.concatenate([x[1] for x in out]), "root": np.concatenate(roots)}
-    )
-    result["found"], result["expected"] = 0.0, 0.0
-    if len(found):
-        result.loc[0, ["found", "expected"]] = [share * len(found), share * float((1 / meets(found, depth)).sum())]
+        out.append((node[b], link.T @ weight[a], right, link.sum(axis=0), np.stack([x.sum(axis=0) for x in stands], axis=1)))
+    columns = [np.concatenate(x) for x in zip(*out, strict=True)]
+    some = columns[3] > 0
+    columns = [x[some] for x in columns]
+    result = pd.DataFrame({"node": columns[0], "links": columns[1], "root": columns[2], "found": columns[3].astype(float)})
+    for d in range(1, DEPTH + 1):
+        result[f"expected_{d}"] = columns[4][:, depth - d] if d <= depth else 0.0
     return result
 
 
-def verified(docs: DataFrame, classes: DataFrame, depth: int, threshold: float, n: int) -> DataFrame:
-    """rep, links, root, found, expected: one row per class and block pair, candidates of a depth."""
-    rows = node_rows(classes, depth)
-    shared = rows.groupBy("node").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
-    stars = rows.join(shared.select("node", "low"), "node").select(F.col("rep").alias("u"), F.col("low").alias("v"))
-    member = components(stars.where("u <> v"))
-    member = member.join(classes.select(F.col("rep").alias("node"), "copies", "sig"), "node")
-    member = written(
-        docs.select(F.col("doc_id").alias("node"), "text").hint("merge").join(member, "node").dropDuplicates(["node"]),
-        "members",
-    )
-    return (
+def verified(docs: DataFrame, classes: DataFrame, edges: DataFrame, short: DataFrame | None, depth: int, threshold: float, n: int) -> DataFrame:
+    """node, links, root, found, expected by depth: a row per class and block pair with links. edges: neighbours in runs to compare; short: the classes that come so far up."""
+    member = components(edges.select("u", "v")).join(classes.select("node", "copies", "sig", "first"), "node")
+    if short is None:
+        member = member.withColumn("short", F.lit(True))
+    else:
+        member = member.join(short.select("node", F.lit(True).alias("short")), "node", "left").withColumn("short", F.coalesce("short", F.lit(False)))
+    member = member.select("*", F.col("first.id").alias("__id"), F.col("first.text_key").alias("__t")).drop("first")
+    texts = docs.select(_row_id().alias("__id"), _text_key().alias("__t"), "text").hint("merge")
+    member = written(texts.join(member, ["__id", "__t"]).dropDuplicates(["__id", "__t", "node"]).drop("__id", "__t"), "members")
+    return written(
         blocked(member, "component", "node", BLOCK)
         .repartition("component", "i", "j")  # else the blocks of a component stay in its task
-        .withColumnRenamed("node", "rep")
         .groupBy("component", "i", "j")
         .applyInPandas(
             lambda pdf: compare_blocks(pdf, depth, threshold, n),
-            "rep long, links long, root long, found double, expected double",
-        )
+            ", ".join(["node long, links long, root long, found double", *(f"expected_{d} double" for d in range(1, DEPTH + 1))]),
+        ),
+        "links",
     )
 
 
-def jaccard_join(
-    docs: DataFrame, threshold: float = THRESHOLD, n: int = WORDS, target_recall: float = TARGET_RECALL
-) -> DataFrame:
-    """One row per document: doc_id, class_id (smallest doc_id that links reach), copy_id
-    (smallest doc_id with the same shingle set), n_links (other documents at or above the
-    threshold, copies included) and kept (doc_id = class_id)."""
+def shortest_depth(threshold: float, target_recall: float) -> int:
+    """The greatest depth at which a pair at the threshold is met with the target probability."""
+    good = [d for d in range(DEPTH, 0, -1) if meets(np.array(threshold), d) >= target_recall]
+    if not good:
+        raise ValueError(f"{TREES} trees can't reach a recall of {target_recall} at a similarity of {threshold}")
+    return good[0]
+
+
+def joined(docs: DataFrame, threshold: float, n: int, target_recall: float) -> DataFrame:
+    """For every row: doc_id, text_key, d1, and of its class node, first (the row that stands for
+    it), copies, links, and component (the smallest node that links reach)."""
+    shortest = shortest_depth(threshold, target_recall)
     prints = written(fingerprints(docs, n), "fingerprints")
+    # a node's number is that of its row in the stored table
     classes = written(
         prints.where("d1 is not null")
         .groupBy("d1", "d2")
-        .agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.any_value("sig").alias("sig")),
+        .agg(
+            F.min(F.struct(_row_id().alias("id"), F.col("text_key"))).alias("first"),
+            F.count(F.lit(1)).alias("copies"),
+            F.any_value("sig").alias("sig"),
+        )
+        .withColumn("node", F.monotonically_increasing_id()),
         "classes",
     )
-    for depth in range(DEPTH, MIN_DEPTH - 1, -1):
-        links = written(verified(docs, classes, depth, threshold, n), "links")
-        found, expected = links.agg(F.sum("found"), F.sum("expected")).first()
-        if not found or found >= target_recall * expected:
+    tries = written(forest(classes, shortest), "neighbours")
+    links = verified(docs, classes, tries.where(F.col("depth") == DEPTH), None, DEPTH, threshold, n)
+    for depth in range(DEPTH - 1, shortest - 1, -1):
+        # classes that are still short of the target one level below
+        seen = links.groupBy("node").agg(F.sum("found").alias("found"), F.sum(f"expected_{depth + 1}").alias("expected"))
+        short = written(seen.where(F.col("found") < target_recall * F.col("expected")).select("node"), "short")
+        if short.isEmpty():
             break
-    joined = components(links.where("root <> rep").select(F.col("rep").alias("u"), F.col("root").alias("v")))
-    per_class = (
-        links.groupBy("rep")
-        .agg(F.sum("links").alias("links"))
-        .join(joined.withColumnRenamed("node", "rep"), "rep", "left")
-    )
-    described = classes.select("d1", "d2", "rep", "copies").join(per_class, "rep", "left")
+        run = F.xxhash64("tree", F.substring("label", 1, VALUE * depth)).alias("run")
+        runs = _labels(classes.join(short, "node", "left_semi")).select(run).distinct()
+        edges = tries.where(F.col("depth") >= depth).withColumn("run", run).join(runs, "run", "left_semi")
+        links = links.unionByName(verified(docs, classes, edges, short, depth, threshold, n))
+    reached = components(links.where("root <> node").select(F.col("node").alias("u"), F.col("root").alias("v")))
+    per_class = links.groupBy("node").agg(F.sum("links").alias("links")).join(reached, "node", "left")
+    described = classes.drop("sig").join(per_class, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    return prints.select("doc_id", "text_key", "d1", "d2").join(described, ["d1", "d2"], "left")
+
+
+def jaccard_join(
+    docs: DataFrame, threshold: float = THRESHOLD, n: int = WORDS, target_recall: float = TARGET_RECALL
+) -> DataFrame:
+    """One row per document: doc_id, class_id (smallest doc_id that links reach), copy_id
+    (smallest doc_id with the same shingle set), n_links (other documents at or above the
+    threshold, copies included) and kept (doc_id = class_id)."""
+    rows = written(joined(docs, threshold, n, target_recall), "joined")
+    firsts = rows.where("node is not null").groupBy("component").agg(F.min("doc_id").alias("class_id"))
+    copy_id = F.when(F.col("node").isNull(), F.col("doc_id")).when(F.col("first.id") < (1 << 63) - 1, F.col("first.id"))
     return (
-        prints.select("doc_id", "d1", "d2")
-        .join(described, ["d1", "d2"], "left")
+        rows.join(firsts, "component", "left")
         .select(
             "doc_id",
-            F.coalesce("component", "rep", "doc_id").alias("class_id"),
-            F.coalesce("rep", "doc_id").alias("copy_id"),
+            F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+            copy_id.alias("copy_id"),
             (F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).cast("long").alias("n_links"),
         )
-        .withColumn("kept", F.col("doc_id") == F.col("class_id"))
+        .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
     )
 
 
@@ -281,5 +388,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document of each group stays."""
-    keep = jaccard_join(docs).where("kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.hint("merge").join(keep, F.col("doc_id") == F.col("__id"), "left_semi").dropDuplicates(["doc_id"])
+    rows = written(joined(docs, THRESHOLD, WORDS, TARGET_RECALL), "joined")
+    row = F.struct(_row_id().alias("__id"), F.col("text_key").alias("__t")).alias("row")
+    keep = rows.where("node is not null").select("component", row).groupBy("component").agg(F.min("row").alias("row")).select("row.*")
+    keep = keep.unionByName(rows.where("node is null").select(row).select("row.*")).distinct()
+    marked = docs.withColumn("__id", _row_id()).withColumn("__t", _text_key()).hint("merge")
+    return marked.join(keep, ["__id", "__t"], "left_semi").dropDuplicates(["__id", "__t"]).select(*docs.columns)

@@ -9,12 +9,15 @@ the penalised likelihood (BIC: half the log of the number of words for each lang
 The prediction is the language with the largest proportion, the score is that proportion.
 
 Learning reads a bounded sample: of the documents whose crc32(doc_id as text) mod 5 is not
-0, about `sample` by a hash of doc_id (all if there are fewer). Prediction reads whole
-texts of all documents and nothing but the text.
+0, about `sample` by a hash of doc_id (all if there are fewer), as many of each language.
+Every language that has a label is learned; the model has a number for each bucket and
+language, at most CELLS (or 1,024 buckets), so with over 512 languages there are fewer buckets.
+Prediction reads whole texts of all documents and nothing but the text.
 
 Defined cases: null text or text without a letter gives `und` with score 0, as does every
 text if nothing can be learned; ties go to the language that is first by name; repeated
-rows are predicted alike; other columns are ignored.
+rows are predicted alike; a null doc_id stays null (such rows are not learned from); an empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,11 +34,14 @@ from .common import table, tidied
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
-CACHE_WORDS = 400_000
-#: Documents whose new words are looked up together.
-SLICE = 1000
+#: Numbers of a model.
+CELLS = 1 << 24
+#: Words that a worker remembers, and bytes of their likelihoods.
+CACHE_WORDS, CACHE_BYTES = 400_000, 1 << 27
+#: Documents whose new words are looked up together, times languages.
+SLICE = 4000
 UNKNOWN = "und"
-_LETTERS = regex.compile(r"\p{L}+")
+_LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 ORACLE_SQL = None
@@ -96,24 +102,25 @@ class Model:
         self.langs, self.log_p = langs, log_p  # log_p: buckets x languages
 
 
-def fit(docs: DataFrame, sample: int = 20_000, max_langs: int = 1000, smooth: float = 0.5) -> Model:
+def fit(docs: DataFrame, sample: int = 20_000, smooth: float = 0.5) -> Model:
     """Learn from `docs` (text, lang not null); at most about `sample` documents are read
-    into the counts, and at most `max_langs` languages, the most frequent, are learned."""
-    by_lang = docs.where("lang is not null").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs)
-    sizes = {r["lang"]: r["count"] for r in by_lang.collect()}
+    into the counts."""
+    sizes = {r["lang"]: r["count"] for r in docs.where("lang is not null").groupBy("lang").count().collect()}
     if not sizes:
         return Model([], np.zeros((BUCKETS, 0)))
+    buckets = min(BUCKETS, max(1 << 10, 1 << (CELLS // len(sizes)).bit_length() - 1))
     # the same number of each language, so that rare ones are learned too
     each = max(1, sample // len(sizes))
     share = F.create_map(*(x for k, n in sorted(sizes.items()) for x in (F.lit(k), F.lit(min(1.0, each / n)))))
-    drawn = docs.where(F.col("lang").isin(*sizes)).where(
-        F.pmod(F.xxhash64(F.lit("lang"), "doc_id"), F.lit(1_000_000)) < F.element_at(share, F.col("lang")) * 1_000_000
-    )
+    u = F.shiftrightunsigned(F.xxhash64(F.lit("lang"), "doc_id"), 1).cast("double") / 2.0**63
+    drawn = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (u <= F.element_at(share, F.col("lang"))))
     langs = sorted(sizes)
     at = {k: i for i, k in enumerate(langs)}
-    n = np.full((BUCKETS, len(langs)), smooth)
-    for lang, b, c in learn_counts(drawn).collect():  # bounded: buckets times languages
-        n[b, at[lang]] += c
+    n = np.full((buckets, len(langs)), smooth)
+    found = learn_counts(drawn, buckets).toArrow()  # bounded: buckets times languages
+    for batch in found.to_batches():
+        column = np.array([at[x] for x in batch.column(0).to_pylist()], np.int64)
+        n[batch.column(1).to_numpy(), column] += batch.column(2).to_numpy()
     return Model(langs, np.log(n / n.sum(axis=0)))
 
 
@@ -138,6 +145,10 @@ def select_languages(like: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray,
     live = np.arange(like.shape[1])
     share, log_like = mixture(like, counts)
     penalty = 0.5 * np.log(max(2.0, counts.sum()))
+    used = share * counts.sum() >= 1e-3
+    if not used.all():  # these would go one by one: without them the likelihood is the same
+        live = live[used]
+        share, log_like = mixture(like[:, live], counts)
     while len(live) > 1:
         rest = np.delete(np.arange(len(live)), share.argmin())
         next_share, next_like = mixture(like[:, live[rest]], counts)
@@ -157,10 +168,10 @@ class Predictor:
 
     def _learn(self, words: set[str]) -> None:
         new = list(words.difference(self.known))
-        if len(self.known) + len(new) > CACHE_WORDS:
+        if len(self.known) + len(new) > min(CACHE_WORDS, CACHE_BYTES // (8 * len(self.model.langs))):
             self.known, self.rows, new = {}, self.rows[:0], list(words)
         if new:
-            found, starts = word_buckets(new)
+            found, starts = word_buckets(new, len(self.model.log_p))
             # the mean over the orders: each character counts about once
             like = np.add.reduceat(self.model.log_p[found], starts, axis=0) / len(ORDERS)
             self.known.update(zip(new, range(len(self.rows), len(self.rows) + len(new)), strict=True))
@@ -190,7 +201,8 @@ def predicted(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         predictor = _predictor(shared)
-        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
+        size = max(1, min(1000, SLICE // max(1, len(shared.value.langs))))
+        for batch in (b.slice(at, size) for b in batches for at in range(0, b.num_rows, size)):
             got = predictor.predict(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())],

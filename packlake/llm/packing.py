@@ -6,12 +6,19 @@ are range-sorted by that key and laid end to end along the curve, so neighbours
 sequence resemble each other, and the stream is cut every `seq_len` ids: only the last
 sequence of all has padding.
 
+In the pipeline, documents come in the order of a mixture (`in_files`). Then the curve is
+walked within windows of `window_docs` documents of that order, and the windows follow each
+other: every stretch of sequences has the mixture's shares, and neighbours within a
+sequence still resemble each other.
+
 Two narrow facts are global: cut points of the key (a bounded list that balances the
 ranges, ties broken by a hash of the id so that copies do not share a range) and the
 number of ids in each range, whose running sum tells each range where it starts.
 
-Defined cases: a null or empty text has the closing id alone; repeated rows are packed
-as often as they occur; an empty table gives no pieces; other columns are ignored.
+Defined cases: a null or empty text has the closing id alone; a null doc_id is an id like
+any other; repeated rows are packed as often as they occur; an empty table gives no pieces;
+documents that do not come straight from files have no order, and are one window; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,14 +33,18 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .common import range_part, table, tidied, weighted_bounds, written
 
 DIMS, BITS = 4, 8
-#: Bits of the sort key: the position on the curve and a hash of the id.
+#: Bits of the sort key: the window, the position on the curve and a hash of the id.
 KEY_BITS = 62
+#: Documents of a window: eight blocks of the mixture.
+WINDOW_DOCS = 512
 EOS = 2
 #: Pieces whose ids a worker remembers.
 CACHE_WORDS = 800_000
@@ -255,8 +266,20 @@ def _slices(batch: pa.RecordBatch, column: int):
             yield batch.slice(lo, hi - lo)
 
 
+def in_files(docs: DataFrame) -> DataFrame:
+    """docs, as read from files that were written in some order, with `__at`: the place of a row
+    in that order. Files are numbered by name; a row per file tells how many rows lie before it."""
+    rows = docs.select("doc_id", "text", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    files = rows.groupBy("__file").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(W.orderBy("__file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return rows.join(files.select("__file", before.alias("__before")), "__file").select(
+        "doc_id", "text", (F.col("__before") + F.col("__row")).alias("__at")
+    )
+
+
 def tokenized(docs: DataFrame, tokenizer: str, eos: int = EOS) -> DataFrame:
-    """doc_id, curve (Hilbert key), n (ids with the closing one), ids (little-endian bytes)."""
+    """doc_id, curve (Hilbert key), n (ids with the closing one), ids (little-endian bytes), and
+    `__at` of docs (0 without)."""
 
     def run(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -269,9 +292,12 @@ def tokenized(docs: DataFrame, tokenizer: str, eos: int = EOS) -> DataFrame:
             closed[np.arange(len(ids)) + np.repeat(np.arange(len(counts)), counts)] = ids
             ends = np.concatenate([[0], np.cumsum(counts + 1)]) * coder.width
             raw = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(closed)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(key), pa.array(counts + 1), raw], ["doc_id", "curve", "n", "ids"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(key), pa.array(counts + 1), raw, batch.column(2)], ["doc_id", "curve", "n", "ids", "__at"]
+            )
 
-    return docs.select("doc_id", "text").mapInArrow(tidied(run), "doc_id long, curve long, n long, ids binary")
+    at = F.col("__at") if "__at" in docs.columns else F.lit(0).cast("long").alias("__at")
+    return docs.select("doc_id", "text", at).mapInArrow(tidied(run), "doc_id long, curve long, n long, ids binary, __at long")
 
 
 def _cut(starts: dict[int, int], seq_len: int, width: int):
@@ -303,18 +329,29 @@ def _cut(starts: dict[int, int], seq_len: int, width: int):
 
 
 def packed(
-    docs: DataFrame, tokenizer: str | None = None, seq_len: int = 4096, eos: int = EOS, range_tokens: int = 1_000_000
+    docs: DataFrame,
+    tokenizer: str | None = None,
+    seq_len: int = 4096,
+    eos: int = EOS,
+    range_tokens: int = 1_000_000,
+    window_docs: int = WINDOW_DOCS,
 ) -> DataFrame:
     """One row per piece (see PIECES). range_tokens: ids that one range of the curve has
-    about; it sets the parallelism, not the result's quality."""
+    about; it sets the parallelism, not the result's quality. docs may have `__at`, a place in
+    an order that windows of window_docs documents keep."""
     tokens = written(tokenized(docs, tokenizer or default_tokenizer(), eos), "tokens")
-    # the curve has DIMS * BITS bits; a hash of the id below them parts ties
-    low = KEY_BITS - DIMS * BITS
-    order = F.shiftleft(F.col("curve"), low) + F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - low)
-    keyed = tokens.withColumn("key", order)
-    total = keyed.agg(F.sum("n")).first()[0]
+    total, last = tokens.agg(F.sum("n"), F.max("__at")).first()
     if not total:
         return docs.sparkSession.createDataFrame([], PIECES)
+    # windows first, then the curve's DIMS * BITS bits as far as there is room; a hash of the id parts ties
+    room = KEY_BITS - (last // window_docs).bit_length()
+    curve = min(room, DIMS * BITS)
+    keyed = tokens.withColumn(
+        "key",
+        F.shiftleft(F.floor(F.col("__at") / window_docs), room)
+        + F.shiftleft(F.shiftright("curve", DIMS * BITS - curve), room - curve)
+        + F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - room + curve if room > curve else 63) * F.lit(int(room > curve)),
+    )
     bounds = weighted_bounds(keyed, "key", "n", max(range_tokens, total // 20_000), KEY_BITS)
     keyed = keyed.withColumn("part", range_part(F.col("key"), bounds)) if bounds else keyed.withColumn("part", F.lit(0))
     # one number a range: at most as many rows as there are ranges
@@ -339,4 +376,14 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"))
 
 
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: documents as read from the files of the stage before, packed in their
+    order window by window."""
+    try:
+        docs.select("_metadata.row_index")
+    except AnalysisException:  # not read from files
+        return packed(docs)
+    return packed(in_files(docs))
+
+
 ORACLE_SQL = None

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table, tidied, written
+from .common import share_drawn, table, tidied, written
 
 BUCKETS = 1 << 13
 SEED = 5
@@ -181,7 +181,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 50_000) -> np.ndarray:
     that their ids can be broadcast and no text is shuffled."""
     good = _known(labels).where("good = 1")
     n = good.count()
-    drawn = good.where(F.pmod(F.xxhash64(F.lit("target"), "__id"), F.lit(1_000_000)) < int(min(1.0, sample / max(n, 1)) * 1_000_000))
+    drawn = good.where(share_drawn("target", "__id", min(1.0, sample / max(n, 1))))
     marked = docs.select("doc_id", "text").join(F.broadcast(drawn.limit(sample)), F.col("doc_id") == F.col("__id"), "left")
     return log_ratio([tuple(r) for r in bucket_counts(marked).collect()])  # bounded: one row per bucket
 

@@ -11,6 +11,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from packlake import llm
 from packlake.llm import (
@@ -363,6 +364,32 @@ def test_schedule_deviates_by_less_than_a_block():
             base, start = t, dict(count)
 
 
+def test_mixing_plan_equals_the_schedule():
+    r = random.Random(7)
+    for _ in range(60):
+        blocks = {k: r.randrange(0, 90) for k in "abcdefg"[: r.randrange(1, 8)]}
+        weights = {k: r.choice([1, 2, 3, 5, 6, 30, 97]) for k in blocks}
+        plan = source_mixing.Plan(blocks, weights)
+        got = {(k, b): int(s) for k, n in blocks.items() for b, s in enumerate(plan.slots(k, np.arange(n)))}
+        assert got == {x: slot for slot, x in enumerate(source_mixing.schedule(blocks, weights))}
+
+
+def test_mixing_matches_brute_force(spark, sf):
+    rows = source_mixing.query(spark, sf.replace("0.001", "0.01")).collect()
+    own = defaultdict(list)
+    for r in sorted(rows, key=lambda r: r["position"]):
+        own[r["source"]].append(r)
+    weights = source_mixing.whole_weights({k: len(v) for k, v in own.items()}, None)
+    slots = source_mixing.schedule({k: -(-len(v) // 64) for k, v in own.items()}, weights)
+    want = {x: slot for slot, x in enumerate(slots)}
+    for k, v in own.items():
+        for rank, r in enumerate(v):
+            assert (r["block"], r["slot"], r["position"] % 64) == (rank // 64, want[k, rank // 64], rank % 64)
+    order = spark.createDataFrame([(r["doc_id"],) for r in rows], "doc_id long").selectExpr("doc_id", "xxhash64(7, doc_id) as h")
+    h = {r["doc_id"]: r["h"] for r in order.collect()}
+    assert all([h[r["doc_id"]] for r in v] == sorted(h[r["doc_id"]] for r in v) for v in own.values())
+
+
 def test_mixing_keeps_all_rows(spark, sf):
     rows = source_mixing.query(spark, sf).collect()
     n = len(_documents(sf))
@@ -460,6 +487,19 @@ def test_encoder_equals_tokenizer():
     assert ids.tolist() == [k for x in want for k in x]
 
 
+def test_packing_keeps_to_windows_of_the_order(spark, tmp_path):
+    rows = [(k, f"text number {k * 7919 % 300} of many", "en", "s", 9) for k in range(300)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(4).orderBy(F.desc("doc_id"))
+    docs.write.parquet(str(tmp_path / "docs"))
+    back = spark.read.parquet(str(tmp_path / "docs"))
+    assert [r["__at"] for r in packing.in_files(back).orderBy(F.desc("doc_id")).collect()] == list(range(300))
+    out = packing.packed(packing.in_files(back), seq_len=16, window_docs=50, range_tokens=100).collect()
+    begin = {r["doc_id"]: (r["sequence_id"], r["offset"]) for r in out if not r["start"]}
+    order = sorted(begin, key=begin.get)
+    assert [sorted(order[k : k + 50]) for k in range(0, 300, 50)] == [list(range(250 - k, 300 - k)) for k in range(0, 300, 50)]
+    assert order != sorted(order, reverse=True)
+
+
 def test_hilbert_key_walks_to_neighbours():
     side = 8
     grid = np.array([(x, y, z) for x in range(side) for y in range(side) for z in range(side)])
@@ -482,24 +522,61 @@ def test_jaccard_join_matches_brute_force(spark, sf, monkeypatch):
         for _ in range(k % 9):
             w[r.randrange(200)] = f"v{r.randrange(9999)}"
         rows.append((10_000_000 + k, " ".join(w), "s"))
+    for k in range(150):  # pairs that are just at the threshold: 80 of 100 shingles
+        w = [f"p{k}x{j}" for j in range(94)]
+        for m, y in enumerate((w, [*w[:84], *(f"q{k}x{j}" for j in range(10))])):
+            rows.append((20_000_000 + 2 * k + m, " ".join(y), "s"))
     texts = {k: t for k, t, _ in rows}
     monkeypatch.setattr(jaccard_join, "BLOCK", 32)
+    depths = []
+    compare = jaccard_join.verified
+    monkeypatch.setattr(jaccard_join, "verified", lambda *a: depths.append(a[4]) or compare(*a))
     links = _near_links(texts)
     comp = _components(texts, links)
     out = {x["doc_id"]: x for x in jaccard_join.jaccard_join(_docs(spark, rows)).collect()}
     assert set(out) == set(texts)
+    assert depths == [7, 6]  # classes near the threshold have their prefixes shortened
     wrong = [d for d in texts if out[d]["n_links"] != len(links[d]) or out[d]["class_id"] != comp[d]]
-    assert len(wrong) <= 2, wrong
+    assert not wrong
     assert all(x["kept"] == (d == x["class_id"]) for d, x in out.items())
 
 
+def test_jaccard_forest_finds_all_common_prefixes(spark):
+    r = np.random.default_rng(3)
+    sig = r.integers(0, 3, (120, jaccard_join.TREES * jaccard_join.DEPTH)).astype(">u2")
+    sig[60:90] = sig[60]  # a hot label
+    classes = spark.createDataFrame([(k, x.tobytes()) for k, x in enumerate(sig)], "node long, sig binary").repartition(5)
+    near = jaccard_join.forest(classes, 4).collect()
+    for depth in (4, 5, 7):
+        got = defaultdict(set)
+        for x in near:
+            if x["depth"] >= depth:
+                got[x["tree"]].add((x["u"], x["v"]))
+        value = sig.reshape(120, jaccard_join.TREES, -1)[:, :, :depth]
+        for t in range(jaccard_join.TREES):
+            links = defaultdict(set)
+            for u, v in got[t]:
+                links[u].add(v)
+                links[v].add(u)
+            first = {}
+            want = {k: first.setdefault(value[k, t].tobytes(), k) for k in range(120)}
+            assert _components(range(120), links) == want
+
+
 def test_jaccard_odd_rows(spark):
-    docs = _odd_docs(spark)
-    got = Counter((r["doc_id"], r["n_links"], r["kept"]) for r in jaccard_join.jaccard_join(docs).collect())
-    assert got == Counter({(1, 0, True): 1, (2, 0, True): 1, (3, 0, True): 1, (4, 0, True): 1, (5, 1, True): 2, (6, 0, True): 1})
+    text = "one two three four five six seven eight nine ten "
+    more = [(1, text * 3 + "A", "x"), (1, text * 3 + "B c d e f g h", "x"), (None, text[::-1] * 5, "x"), (None, text[::-1] * 5, "x"), (None, "another text of a nameless row", "y")]
+    docs = _odd_docs(spark).unionByName(_docs(spark, more).selectExpr("*", "'x' as kept", "1 as n", "2 as rep", "3 as score", "4 as slot"))
+    got = Counter((r["doc_id"], r["class_id"], r["copy_id"], r["n_links"], r["kept"]) for r in jaccard_join.jaccard_join(docs).collect())
+    assert got == Counter({
+        (1, 1, 1, 0, True): 3, (2, 2, 2, 0, True): 1, (3, 3, 3, 0, True): 1, (4, 4, 4, 0, True): 1, (5, 5, 5, 1, True): 2, (6, 6, 6, 0, True): 1,
+        (None, None, None, 1, True): 2, (None, None, None, 0, True): 1,
+    })
     assert jaccard_join.jaccard_join(docs.limit(0)).count() == 0
     staged = jaccard_join.stage(spark, docs, "")
-    assert staged.columns == docs.columns and staged.count() == 6
+    assert staged.columns == docs.columns
+    left = Counter((r["doc_id"], r["text"]) for r in staged.collect())
+    assert left == Counter(set((r["doc_id"], r["text"]) for r in docs.collect()))
 
 
 def test_components_of_a_chain_and_a_star(spark):
@@ -533,4 +610,52 @@ def test_pipeline(spark, sf):
     assert {comp[d] for d in kept[2]} == set(comp.values()) and len(kept[2]) == len(set(comp.values()))
     assert kept[3] == kept[2]
     _check_pieces(cp.STAGES[-1][1](spark, docs, sf).collect(), kept[3])
+
+
+def test_pipeline_mixing_reaches_the_sequences(spark, sf, monkeypatch):
+    """Every stretch of sequences has the sources that the schedule gives it, and without the
+    stage it has others."""
+    import corpus_pipeline as cp
+
+    monkeypatch.setattr(packing, "WINDOW_DOCS", 64)
+    monkeypatch.setattr(packing.packed, "__defaults__", (None, 4096, packing.EOS, 1_000_000, 64))
+    big = sf.replace("0.001", "0.01")
+    docs = spark.read.parquet(f"{big}/documents.parquet")
+    source = {r["doc_id"]: r["source"] for r in docs.select("doc_id", "source").collect()}
+    mixed = cp.written(cp.mixing(spark, docs, big), "mixed")
+    plain = cp.written(docs, "plain")
+    at = {r["doc_id"]: r["position"] for r in source_mixing.mixed(docs.select("doc_id", "source")).collect()}
+    want = [source[d] for d in sorted(at, key=at.get)]
+
+    def windows(stage_docs):
+        out = cp.packed(spark, stage_docs, big).where("start = 0").orderBy("sequence_id", "offset").collect()
+        found = [source[r["doc_id"]] for r in out]
+        return [Counter(found[k : k + 64]) for k in range(0, len(found), 64)]
+
+    expected = [Counter(want[k : k + 64]) for k in range(0, len(want), 64)]
+    assert windows(mixed) == expected
+    assert windows(plain) != expected
     assert cp.run(spark, sf).count() > 0
+
+
+def test_pipeline_odd_rows(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    text = "a line of the text that is long enough to be kept by all of the stages, number "
+    rows = [(1, None, "a"), (2, "", "a"), (3, " \n\t ", None), (4, LONG, "b"), (5, "tie tie tie", "b"), (5, "tie tie tie", "b"), (None, text + "nil", "a")]
+    rows += [(k, text + " ".join(f"w{k}x{j}" for j in range(k % 40)), "ab"[k % 2]) for k in range(10, 60)]
+    docs = _docs(spark, rows).selectExpr("*", "'x' as kept", "1 as n", "2 as rep", "3 as score", "4 as slot", "5 as position")
+    labels = spark.createDataFrame([(11, 1, 0), (12, 1, 0), (5, 0, 0)], "doc_id long, quality int, toxic int")
+    for name, some in (("full", docs), ("empty", docs.limit(0))):
+        some.write.parquet(str(tmp_path / name / "documents.parquet"))
+        labels.write.parquet(str(tmp_path / name / "labels.parquet"))
+    d = str(tmp_path / "full")
+    out = spark.read.parquet(f"{d}/documents.parquet")
+    for k, (_, stage) in enumerate(cp.STAGES[:-1]):
+        out = cp.written(stage(spark, out, d), f"odd-{k}")
+        assert out.columns == docs.columns
+    left = out.collect()
+    assert not {1, 2, 3} & {r["doc_id"] for r in left}
+    assert sum(r["text"] == text + "nil" for r in left) <= 1
+    assert cp.run(spark, d).where("doc_id = 4").count() >= any(r["doc_id"] == 4 for r in left)
+    assert cp.run(spark, str(tmp_path / "empty")).count() == 0
