@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept; all
 but the last return the columns of documents, the last returns the pieces of sequences.
+
+Defined cases: documents of null, empty or blank text are rejected by the first two stages;
+a null doc_id is an id like any other; of rows that share doc_id and text one stays (they are
+copies), and rows that share an id but not the text are documents of their own; a text is
+never cut, however long; other columns, of any name, are carried along; empty tables give an
+empty result.
 """
 
 from __future__ import annotations
@@ -33,8 +39,9 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of fixed-length sequences along the Hilbert curve."""
-    return packing.packed(docs)
+    """Pieces of fixed-length sequences: in the order of the mixture by windows, along the
+    Hilbert curve within them."""
+    return packing.stage(spark, docs, sf_dir)
 
 
 STAGES = [
