@@ -14,14 +14,16 @@ joined in page order by one line feed. What a browser does not show as text (hea
 style, template, comments and the like) is never a block.
 
 Defined cases: null or empty html gives an empty text; unclosed and truncated markup is
-read as far as it goes; repeated rows give the same text; an empty table gives an empty
-result; columns other than page_id, url and html are ignored.
+read as far as it goes; a page is read whole, in time that grows with its length however its
+markup is nested; repeated rows give the same text; null ids and urls are passed on; an empty
+table gives an empty result; columns other than page_id, url and html are ignored.
 """
 
 from __future__ import annotations
 
 import html as html_lib
 import re
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -57,6 +59,7 @@ CLOSES = {
 }
 #: A paragraph does not reach out of these.
 P_SCOPE = frozenset("table td th caption button object html body".split())
+_P = frozenset(("p",))
 KIND = {
     **dict.fromkeys(("p", "pre", "blockquote", "figcaption"), 1),
     **dict.fromkeys(("h1", "h2", "h3", "h4", "h5", "h6"), 2),
@@ -114,6 +117,11 @@ def parse(source: str, labelled: bool = False) -> Page:
     """The block tree of a whole page. labelled: read data-y as the label of an element."""
     page = Page()
     stack: list[tuple[str, int]] = [("#root", 0)]  # (tag, the block that holds its text)
+    # counts of open elements, so that the stack is only searched for what is there: by tag,
+    # of paragraphs in each scope, and of inline tags in each block
+    opened: Counter = Counter()
+    paragraphs: list[int] = [0]
+    inline: list[Counter | None] = [None]
     run: list[str] = []
     linked = 0  # words of the run inside links
     in_link = unseen = 0
@@ -141,6 +149,38 @@ def parse(source: str, labelled: bool = False) -> Page:
             in_link -= tag == "a"
             unseen -= tag in HIDDEN
             stack.pop()
+            opened[tag] -= 1
+            if tag in INLINE:
+                inline[-1][tag] -= 1
+                continue
+            inline.pop()
+            if tag in P_SCOPE:
+                paragraphs.pop()
+            elif tag == "p":
+                paragraphs[-1] -= 1
+
+    def push(tag: str, node: int):
+        stack.append((tag, node))
+        opened[tag] += 1
+        if tag in INLINE:
+            if inline[-1] is None:
+                inline[-1] = Counter()
+            inline[-1][tag] += 1
+            return
+        inline.append(None)
+        if tag in P_SCOPE:
+            paragraphs.append(0)
+        elif tag == "p":
+            paragraphs[-1] += 1
+
+    def leave(shut: frozenset, stop: frozenset):
+        """Closes the nearest open element of `shut`, unless one of `stop` is nearer."""
+        for k in range(len(stack) - 1, 0, -1):
+            if stack[k][0] in shut:
+                pop(k)
+                break
+            if stack[k][0] in stop:
+                break
 
     at, end = 0, len(source)
     while at < end:
@@ -158,12 +198,9 @@ def parse(source: str, labelled: bool = False) -> Page:
         if not tag:
             continue
         if m[1] or m[4]:  # an end tag
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    pop(k)
-                    break
-                if tag in INLINE and stack[k][0] not in INLINE:
-                    break  # an inline end tag does not close a block
+            # an inline end tag does not close a block
+            if (inline[-1] and inline[-1][tag] > 0) if tag in INLINE else opened[tag] > 0:
+                leave(frozenset((tag,)), frozenset())
             if tag == "br":
                 run.append(" ")
             continue
@@ -183,26 +220,16 @@ def parse(source: str, labelled: bool = False) -> Page:
             if tag not in VOID:
                 if tag == "a":
                     in_link += 1
-                stack.append((tag, stack[-1][1]))
+                push(tag, stack[-1][1])
             continue
         if tag in VOID:
             if tag in ("hr", "input"):
                 flush()
             continue
-        for k in range(len(stack) - 1, 0, -1):  # a block closes an open paragraph
-            if stack[k][0] == "p":
-                pop(k)
-                break
-            if stack[k][0] in P_SCOPE:
-                break
-        if tag in CLOSES:
-            shut, stop = CLOSES[tag]
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in shut:
-                    pop(k)
-                    break
-                if stack[k][0] in stop:
-                    break
+        if paragraphs[-1] > 0:  # a block closes an open paragraph
+            leave(_P, P_SCOPE)
+        if tag in CLOSES and any(opened[x] > 0 for x in CLOSES[tag][0]):
+            leave(*CLOSES[tag])
         flush()
         label = None
         if labelled and (y := re.search(r'data-y="(\d)"', attrs)):
@@ -210,7 +237,7 @@ def parse(source: str, labelled: bool = False) -> Page:
         node = page.add(stack[-1][1], tag, _attribute_names(attrs) if attrs else (), label)
         unseen += tag in HIDDEN
         if not attrs.endswith("/") or tag not in HIDDEN:
-            stack.append((tag, node))
+            push(tag, node)
         else:
             unseen -= 1
     pop(1)

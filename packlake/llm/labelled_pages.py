@@ -165,19 +165,27 @@ class _Writer:
         if k < 0.75:
             return f"<figure><img src=x.png><figcaption>{self.sentence()}</figcaption></figure>"
         if k < 0.85:
-            rows = "".join("<tr>" + "".join(f"<td>{self.words(1, 4, False)}</td>" for _ in range(3)) + "</tr>" for _ in range(3))
-            return f"<table>{rows}</table>"
+            return self.table()
         if k < 0.92:
             return f"<pre>{self.words(3, 20, False)}</pre>"
         return f"<div{self.plain()}>{self.sentence()}</div>"
 
+    def table(self) -> str:
+        wide, cell = self.r.randint(2, 4), self.r.choice((lambda: self.words(1, 4, False), self.sentence))
+        head = "<tr>" + "".join(f"<th>{self.words(1, 3, False)}</th>" for _ in range(wide)) + "</tr>"
+        rows = "".join("<tr>" + "".join(f"<td>{cell()}</td>" for _ in range(wide)) + "</tr>" for _ in range(self.r.randint(1, 4)))
+        k = self.r.random()
+        if k < 0.3:
+            return f"<table><thead>{head}</thead><tbody>{rows}</tbody></table>"
+        return f"<table>{head if k < 0.7 else ''}{rows}</table>"
+
     def body(self) -> str:
         out = [f"<h1>{self.words(1, 12)}</h1>"] if self.r.random() < 0.9 else []
         if self.r.random() < 0.15:
             out = [f'<header data-y="1">{"".join(out)}</header>']
         noisy = self.r.random() < 0.5
         for _ in range(self.r.randint(1, 14)):
-            out.append(self.paragraph() if self.r.random() < 0.85 else self.rich())
+            out.append(self.paragraph() if self.r.random() < 0.82 else self.rich())
             if noisy and self.r.random() < 0.12:
                 out.append(self.r.choice((self.advert, self.side, self.notice, self.form, self.menu, self.advert))())
         if noisy and self.r.random() < 0.2:
@@ -212,6 +220,9 @@ class _Writer:
             wrap = self.r.choice(("div", "div", "section", "main"))
             inner = "".join(before[cut[0] :]) + middle + "".join(after[: cut[1]])
             middle, before, after = f"<{wrap}{self.plain()}>{inner}</{wrap}>", before[: cut[0]], after[cut[1] :]
+        if self.r.random() < 0.15:  # a bare link, as those that skip the menus
+            name = self.name(_MAIN) if self.r.random() < 0.5 else ""
+            return f"<html><body data-y=\"0\"{name}>{self.link()}{''.join(before)}{middle}{''.join(after)}</body></html>"
         return f"<html><body>{''.join(before)}{middle}{''.join(after)}</body></html>"
 
 

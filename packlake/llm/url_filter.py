@@ -5,9 +5,14 @@ counts if letters and digits do not continue it on either side. One strict term
 soft terms reject when their distinct hits reach `soft_limit`. Rules on host and path
 overrule the vocabulary: the longest rule that fits decides.
 
+The vocabulary is a parameter: any list of terms and weights, for example from a table
+(`read_vocabulary`). The default one has words of five topics; the plurals of soft ones
+follow from a rule and count as the same word.
+
 Defined cases: a null url or one without `://` has an empty host and path and no rule; a
-null or empty url is allowed; repeated rows are judged alike; an empty table gives an
-empty result; columns other than page_id and url are ignored.
+null or empty url is allowed; a url is searched whole, however long; repeated rows are
+judged alike; a null page_id is passed on; an empty table gives an empty result; columns
+other than page_id and url are ignored.
 """
 
 from __future__ import annotations
@@ -22,11 +27,33 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 
-#: Terms of the vocabulary by weight; a parameter of the operator.
-STRICT = ("casino", "escort", "hentai", "porn", "porno", "pornhub", "redtube", "viagra", "xnxx", "xvideos", "xxx")
+STRICT = (
+    # adult
+    "bdsm", "escort", "escorts", "hentai", "nsfw", "porn", "porno", "pornhub", "pornography", "redtube", "upskirt",
+    "xnxx", "xvideos", "xxx", "youporn",
+    # gambling
+    "baccarat", "casino", "roulette", "sportsbook",
+    # pharmacy
+    "cialis", "levitra", "phentermine", "tramadol", "viagra", "xanax",
+    # spam
+    "keygen", "warez",
+    # advertising
+    "adserver", "adservice", "clickbank", "doubleclick",
+)
 SOFT = (
-    "adult", "babes", "bet", "betting", "cams", "dating", "erotic", "gambling", "hot", "jackpot",
-    "lottery", "milf", "naked", "nude", "poker", "sex", "sexy", "singles", "slots", "webcam",
+    # adult
+    "adult", "babe", "cam", "dating", "erotic", "fetish", "hot", "hookup", "milf", "naked", "nude", "sex", "sexy",
+    "single", "teen", "webcam",
+    # gambling
+    "bet", "betting", "bingo", "blackjack", "bonus", "gambling", "jackpot", "lottery", "odds", "poker", "slot", "wager",
+    # pharmacy
+    "cheap", "diet", "drug", "drugstore", "generic", "pharmacy", "pill", "prescription", "rx", "steroid", "supplement",
+    # spam
+    "cash", "click", "crack", "deal", "discount", "earn", "farm", "free", "loan", "offer", "payday", "prize", "promo",
+    "replica", "seo", "spam", "torrent", "unsubscribe", "win", "winner",
+    # advertising
+    "ad", "affiliate", "banner", "beacon", "impression", "pixel", "popup", "redirect", "sponsor", "track", "tracker",
+    "tracking",
 )
 SOFT_LIMIT = 2
 
@@ -49,6 +76,20 @@ RULES = (
     Rule("allow", "org", "/fr/"),
 )
 
+def plural(word: str) -> str:
+    """The regular English plural."""
+    if word.endswith("y") and word[-2:-1] not in tuple("aeiou"):
+        return word[:-1] + "ies"
+    return word + ("es" if word.endswith(("s", "x", "z", "ch", "sh")) else "s")
+
+
+def read_vocabulary(terms: DataFrame) -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """Strict and soft terms of a table (term, strict). It must fit an automaton in a worker's
+    memory: lists of up to some 100,000 terms."""
+    rows = terms.where("term is not null and term <> ''").select("term", "strict").distinct().collect()
+    return tuple(tuple(sorted(t.translate(_UPPER) for t, hard in rows if bool(hard) is kind)) for kind in (True, False))
+
+
 _UPPER = {i: i + 32 for i in range(65, 91)}
 _AFTER_HOST, _AFTER_PATH = re.compile(r"[/?#]"), re.compile(r"[?#]")
 
@@ -67,22 +108,22 @@ def _automaton(strict: tuple[str, ...], soft: tuple[str, ...]):
     import ahocorasick
 
     a = ahocorasick.Automaton()
-    for words, is_strict in ((soft, False), (strict, True)):
-        for w in words:
-            a.add_word(w, (w, is_strict))
+    forms = {plural(w): (w, False) for w in soft} | {w: (w, False) for w in soft} | {w: (w, True) for w in strict}
+    for form, meaning in forms.items():
+        a.add_word(form, (form, *meaning))
     a.make_automaton()
     return a
 
 
 def term_hits(url: str | None, strict: tuple[str, ...] = STRICT, soft: tuple[str, ...] = SOFT) -> tuple[set, set]:
-    """Distinct strict and soft terms that stand alone between non-alphanumerics."""
+    """Distinct strict and soft terms that stand alone between non-alphanumerics; soft ones also in the plural."""
     text = (url or "").translate(_UPPER)
     found: tuple[set, set] = set(), set()
     automaton = _automaton(strict, soft)
     if not text or not len(automaton):
         return found
-    for end, (word, is_strict) in automaton.iter(text):
-        begin = end - len(word) + 1
+    for end, (form, word, is_strict) in automaton.iter(text):
+        begin = end - len(form) + 1
         if (not begin or not text[begin - 1].isalnum()) and (end + 1 == len(text) or not text[end + 1].isalnum()):
             found[0 if is_strict else 1].add(word)
     return found
@@ -142,8 +183,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"))
 
 
-def _count(words: Sequence[str]) -> str:
-    return " + ".join(rf"cast(regexp_matches(u, '(^|[^\p{{L}}\p{{N}}]){w}($|[^\p{{L}}\p{{N}}])') as bigint)" for w in words)
+def _count(words: Sequence[str], plurals: bool = False) -> str:
+    forms = [f"({w}|{plural(w)})" if plurals else w for w in words]
+    return " + ".join(rf"cast(regexp_matches(u, '(^|[^\p{{L}}\p{{N}}]){x}($|[^\p{{L}}\p{{N}}])') as bigint)" for x in forms)
 
 
 ORACLE_SQL = (
@@ -164,7 +206,7 @@ r as (
       when (host = 'org' or ends_with(host, '.org')) and starts_with(path, '/fr/') then 'org/fr/'
       when (host = 'net' or ends_with(host, '.net')) and starts_with(path, '/') then 'net/' end as rule,
 """
-    f"    cast({_count(STRICT)} as bigint) as n_strict,\n    cast({_count(SOFT)} as bigint) as n_soft\n  from h)\n"
+    f"    cast({_count(STRICT)} as bigint) as n_strict,\n    cast({_count(SOFT, plurals=True)} as bigint) as n_soft\n  from h)\n"
     f"""
 select page_id, host, path, rule,
        case when rule in ('net/', 'example.com/de/') then 'block' when rule is not null then 'allow'

@@ -3,6 +3,7 @@
 import math
 import os
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
@@ -13,6 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import hand_labelled
 from packlake import llm
 from packlake.llm import (
     components,
@@ -125,6 +127,19 @@ def test_url(spark, url, host, path, rule, verdict):
     assert (found.verdict if found else own) == verdict
 
 
+def test_url_vocabulary(spark):
+    forms = [f for w in url_filter.SOFT for f in (w, url_filter.plural(w))]
+    assert len(set(forms)) == len(forms) and not set(forms) & set(url_filter.STRICT)
+    assert [url_filter.plural(w) for w in ("bet", "lottery", "day", "box", "rx", "crash")] == ["bets", "lotteries", "days", "boxes", "rxes", "crashes"]
+    assert url_filter.term_hits("http://x.com/pill-pills-bets") == (set(), {"pill", "bet"})
+    terms = spark.createDataFrame([("Alpha", 1), ("beta", 0), ("gamma", 0), (None, 1), ("", 0)], "term string, strict int")
+    strict, soft = url_filter.read_vocabulary(terms)
+    assert (strict, soft) == (("alpha",), ("beta", "gamma"))
+    pages = spark.createDataFrame([(1, "http://a.com/alpha"), (2, "http://a.com/beta"), (3, "http://a.com/betas/gammas?" + "x" * 100_000), (None, "http://a.com/")], "page_id long, url string")
+    got = {r["page_id"]: r["verdict"] for r in url_filter.url_filter(pages, strict=strict, soft=soft).collect()}
+    assert got == {1: "block", 2: "allow", 3: "block", None: "allow"}
+
+
 def test_url_table(spark):
     df = spark.createDataFrame([(1, None, "x"), (2, "http://x.net/a", "x"), (2, "http://x.net/a", "x")], "page_id long, url string, verdict string")
     assert sorted(r["verdict"] for r in url_filter.url_filter(df).collect()) == ["allow", "block", "block"]
@@ -222,6 +237,39 @@ def test_html_page():
     assert got[1:4] == ["", "", ""] and got[4] == "Only this text is here, no more." and got[5] == ""
 
 
+def test_html_pages_labelled_by_hand():
+    got = html_extract.extract([html for html, _ in hand_labelled.PAGES], html_extract.default_model())
+    for text, (_, want) in zip(got, hand_labelled.PAGES, strict=True):
+        got_lines, want_lines = Counter(text.split("\n")), Counter(want.split("\n"))
+        assert sum((got_lines & want_lines).values()) >= 0.9 * max(sum(got_lines.values()), sum(want_lines.values())), text
+
+
+def test_html_marginals_of_pages_equal_enumeration():
+    """The text of small pages against the sum over all labellings of their nodes."""
+    model = html_extract.default_model()
+    htmls = [PAGE[-400:], "<div><p>One line.</p><ul><li><a href=x>A</a></li></ul></div>", "<article><h1>T</h1><p>Some text here.</p></article><footer>F</footer>"]
+    for html in htmls:
+        page = html_extract.parse(html)
+        n = len(page.tag)
+        assert n <= 16
+        unary = model.unary([page])
+        on, total = np.zeros(n), 0.0
+        for code in range(1 << n):
+            y = [(code >> v) & 1 for v in range(n)]
+            e = sum(unary[v, y[v]] for v in range(n)) + sum(model.pair[html_extract.KIND.get(page.tag[v], 0), y[page.parent[v]], y[v]] for v in range(1, n))
+            on += np.exp(e) * np.array(y)
+            total += np.exp(e)
+        want = "\n".join(text for node, text in page.runs if on[node] / total >= 0.5)
+        assert html_extract.extract([html], model) == [want]
+
+
+def test_html_deep_markup_takes_linear_time():
+    for x in ("<div>x", "<div></section>", "<ul><li><div>", "<p><table><td><div>", "<i><div><b></i>"):
+        began = time.process_time()
+        html_extract.parse(x * 20_000)
+        assert time.process_time() - began < 5
+
+
 def test_html_table(spark, sf):
     rows = html_extract.query(spark, sf).collect()
     source = dict(duckdb.sql(f"select page_id, html from '{sf}/pages.parquet'").fetchall())
