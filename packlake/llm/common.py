@@ -7,7 +7,9 @@ import ctypes
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,6 +85,17 @@ def tidied(run):
     return wrapped
 
 
+def slices(batch: pa.RecordBatch, column: int, rows: int = 2500, size: int = 1 << 23):
+    """Parts of a batch of at most `rows` rows and about `size` bytes of a text column."""
+    bytes_ = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    before = np.cumsum(bytes_) - bytes_
+    lo = 0
+    while lo < batch.num_rows:
+        hi = max(lo + 1, min(lo + rows, int(np.searchsorted(before, before[lo] + size))))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def range_part(column, bounds: list[int]):
     """The number of cut points at or below a long column: a binary search in a
     constant array, so the expression stays small for any number of ranges."""

@@ -36,13 +36,13 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import table, tidied, written
+from .common import slices, table, tidied, written
 from .components import block_roots, blocked, components
-from .packing import split_words
 
 WORDS, THRESHOLD = 5, 0.8
 TREES, DEPTH = 32, 7
@@ -52,55 +52,91 @@ VALUE = 2
 BLOCK = 1024
 #: Shingles that are laid out as a matrix at a time.
 MAX_SHINGLES = 1_000_000
-CACHE_WORDS = 150_000
 
 ORACLE_SQL = None
 
 
-class _Hashes(dict):
-    def __missing__(self, word: str) -> int:
-        import xxhash
-
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
 def _mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
     return h ^ (h >> np.uint64(33))
 
 
-def shingles(text: str | None, n: int, known: _Hashes) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the n-word shingles of a whole text."""
-    words = split_words(text or "")
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-    size = min(n, len(h))
+@lru_cache(maxsize=1)
+def _bytes() -> tuple[np.ndarray, np.ndarray]:
+    """A random number for each byte, and the powers of another by place in a word."""
+    table = np.random.default_rng(11).integers(0, 1 << 64, 256, np.uint64)
+    return table, np.cumprod(np.full(1 << 12, 0x9E3779B97F4A7C15, np.uint64))
+
+
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each word: a polynomial of its bytes. Words are not empty but for one."""
+    table, power = _bytes()
+    size = pc.binary_length(words).to_numpy().astype(np.int64)
+    out = np.zeros(len(size), np.uint64)
+    some = np.flatnonzero(size)
+    if len(some):
+        first = words.offset and np.frombuffer(words.buffers()[1], np.int32)[words.offset]
+        data = table[np.frombuffer(words.buffers()[2], np.uint8)[first : first + size.sum()]]
+        begin = np.cumsum(size) - size
+        place = np.arange(len(data)) - np.repeat(begin, size)
+        data *= power[place % len(power)] + (place // len(power)).astype(np.uint64)
+        out[some] = np.add.reduceat(data, begin[some])
+    return _mix(out + size.astype(np.uint64))
+
+
+def shingle_sets(texts: pa.Array, n: int = WORDS) -> list[np.ndarray]:
+    """For each text the sorted distinct 64-bit hashes of its n-word shingles."""
+    split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+    count = pc.list_value_length(split).to_numpy().astype(np.int64)
+    words = split.flatten().dictionary_encode()
+    filled = pc.binary_length(words.dictionary).to_numpy() > 0
+    at = words.indices.to_numpy()
+    kept = filled[at]  # white space at the ends of a text makes empty words
+    h = word_hashes(words.dictionary)[at[kept]]
+    ends = np.concatenate([[0], np.cumsum(kept)])[np.cumsum(count)]
+    begin = np.concatenate([[0], ends[:-1]])
+    rolled = {}
+    out = []
+    for lo, hi in zip(begin.tolist(), ends.tolist(), strict=True):
+        size = min(n, hi - lo)
+        if not size:
+            out.append(np.zeros(0, np.uint64))
+            continue
+        if size < n:
+            acc = _rolled(h[lo:hi], size)
+        else:
+            if n not in rolled:
+                rolled[n] = _rolled(h, n)
+            acc = rolled[n][lo : hi - n + 1]
+        acc = np.sort(acc)
+        out.append(acc[np.concatenate([[True], acc[1:] != acc[:-1]])])
+    return out
+
+
+def _rolled(h: np.ndarray, size: int) -> np.ndarray:
     acc = np.full(len(h) - size + 1, size, np.uint64)
     for i in range(size):
         acc = acc * np.uint64(0x9E3779B97F4A7C15) + h[i : len(h) - size + 1 + i]
-    return np.unique(_mix(acc))
+    return _mix(acc)
 
 
 @lru_cache(maxsize=2)
 def _seeds(n: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(10)
-    return rng.integers(0, 1 << 64, n, np.uint64), rng.integers(0, 1 << 64, n, np.uint64) | np.uint64(1)
+    return rng.integers(0, 1 << 32, n, np.uint32), rng.integers(0, 1 << 32, n, np.uint32) | np.uint32(1)
 
 
 def signature(sh: np.ndarray, n: int = TREES * DEPTH) -> np.ndarray:
     """n MinHash values, each cut to 16 bits."""
     flip, mult = _seeds(n)
-    low = np.full(n, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(sh), 1024):
-        part = sh[at : at + 1024, None] ^ flip
+    high = (sh >> np.uint64(32)).astype(np.uint32)
+    low = np.full(n, np.iinfo(np.uint32).max, np.uint32)
+    for at in range(0, len(high), 256):
+        part = high[at : at + 256, None] ^ flip
         part *= mult
         np.minimum(low, part.min(axis=0), out=low)
-    return (_mix(low) >> np.uint64(48)).astype(">u2")  # labels sort by bytes as they do by value
+    return (_mix(low.astype(np.uint64) + np.uint64(1)) >> np.uint64(48)).astype(">u2")  # labels sort by bytes as they do by value
 
 
 def _text_key():
@@ -119,11 +155,9 @@ def fingerprints(docs: DataFrame, n: int = WORDS) -> DataFrame:
     def run(batches):
         import xxhash
 
-        known = _Hashes()
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 2)):
             d1, d2, sig = [], [], []
-            for text in batch.column(2).to_pylist():
-                sh = shingles(text, n, known)
+            for sh in shingle_sets(batch.column(2), n):
                 digest = xxhash.xxh3_128_digest(sh.tobytes()) if len(sh) else None
                 d1.append(digest and int.from_bytes(digest[:8], "little", signed=True))
                 d2.append(digest and int.from_bytes(digest[8:], "little", signed=True))
@@ -265,8 +299,9 @@ def compare_blocks(pdf: pd.DataFrame, depth: int, threshold: float, n: int) -> p
     that meet at this depth and at no greater one, one of them with its prefixes so short.
     `expected` is the number of links that those found stand for, at this depth and each below."""
     i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-    known = _Hashes()
-    sets = [shingles(x, n, known) for x in pdf["text"]]
+    sets = []
+    for batch in slices(pa.RecordBatch.from_arrays([pa.array(pdf["text"], pa.string())], ["text"]), 0):
+        sets += shingle_sets(batch.column(0), n)
     values = _signatures(pdf["sig"].tolist())
     node, weight, block = (pdf[c].to_numpy(np.int64) for c in ("node", "copies", "block"))
     short = pdf["short"].to_numpy(bool)
@@ -308,7 +343,8 @@ def verified(docs: DataFrame, classes: DataFrame, edges: DataFrame, short: DataF
     member = written(texts.join(member, ["__id", "__t"]).dropDuplicates(["__id", "__t", "node"]).drop("__id", "__t"), "members")
     return written(
         blocked(member, "component", "node", BLOCK)
-        .repartition("component", "i", "j")  # else the blocks of a component stay in its task
+        # else the blocks of a component stay in its task; by a number, as bytes do not tell the work
+        .repartition(max(1, min(20_000, member.count() // 2 // BLOCK + 1) * 2), "component", "i", "j")
         .groupBy("component", "i", "j")
         .applyInPandas(
             lambda pdf: compare_blocks(pdf, depth, threshold, n),
@@ -326,9 +362,9 @@ def shortest_depth(threshold: float, target_recall: float) -> int:
     return good[0]
 
 
-def joined(docs: DataFrame, threshold: float, n: int, target_recall: float) -> DataFrame:
-    """For every row: doc_id, text_key, d1, and of its class node, first (the row that stands for
-    it), copies, links, and component (the smallest node that links reach)."""
+def joined(docs: DataFrame, threshold: float, n: int, target_recall: float) -> tuple[DataFrame, DataFrame]:
+    """The fingerprints of all rows, and for every class d1, d2, first (the row that stands for
+    it), copies, links, and least (the smallest of the rows that links reach)."""
     shortest = shortest_depth(threshold, target_recall)
     prints = written(fingerprints(docs, n), "fingerprints")
     # a node's number is that of its row in the stored table
@@ -356,9 +392,12 @@ def joined(docs: DataFrame, threshold: float, n: int, target_recall: float) -> D
         edges = tries.where(F.col("depth") >= depth).withColumn("run", run).join(runs, "run", "left_semi")
         links = links.unionByName(verified(docs, classes, edges, short, depth, threshold, n))
     reached = components(links.where("root <> node").select(F.col("node").alias("u"), F.col("root").alias("v")))
-    per_class = links.groupBy("node").agg(F.sum("links").alias("links")).join(reached, "node", "left")
-    described = classes.drop("sig").join(per_class, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    return prints.select("doc_id", "text_key", "d1", "d2").join(described, ["d1", "d2"], "left")
+    per_class = links.groupBy("node").agg(F.sum("links").alias("links")).join(reached, "node")
+    some = written(classes.drop("sig").join(per_class, "node"), "linked")
+    least = written(some.groupBy("component").agg(F.min("first").alias("least")), "least")
+    alone = classes.join(per_class, "node", "left_anti").select("d1", "d2", "first", "copies", F.lit(0).cast("long").alias("links"), F.col("first").alias("least"))
+    linked = some.join(least, "component").select("d1", "d2", "first", "copies", "links", "least")
+    return prints, written(linked.unionAll(alone), "described")
 
 
 def jaccard_join(
@@ -367,19 +406,14 @@ def jaccard_join(
     """One row per document: doc_id, class_id (smallest doc_id that links reach), copy_id
     (smallest doc_id with the same shingle set), n_links (other documents at or above the
     threshold, copies included) and kept (doc_id = class_id)."""
-    rows = written(joined(docs, threshold, n, target_recall), "joined")
-    firsts = rows.where("node is not null").groupBy("component").agg(F.min("doc_id").alias("class_id"))
-    copy_id = F.when(F.col("node").isNull(), F.col("doc_id")).when(F.col("first.id") < (1 << 63) - 1, F.col("first.id"))
-    return (
-        rows.join(firsts, "component", "left")
-        .select(
-            "doc_id",
-            F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-            copy_id.alias("copy_id"),
-            (F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).cast("long").alias("n_links"),
-        )
-        .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
+    prints, classes = joined(docs, threshold, n, target_recall)
+    known = lambda c: F.when(F.col(c) < (1 << 63) - 1, F.col(c))
+    with_set = prints.where("d1 is not null").select("doc_id", "d1", "d2").join(classes, ["d1", "d2"]).select(
+        "doc_id", known("least.id").alias("class_id"), known("first.id").alias("copy_id"), (F.col("links") + F.col("copies") - 1).cast("long").alias("n_links")
     )
+    own = F.col("doc_id")
+    without = prints.where("d1 is null").select("doc_id", own.alias("class_id"), own.alias("copy_id"), F.lit(0).cast("long").alias("n_links"))
+    return with_set.unionAll(without).withColumn("kept", own.eqNullSafe(F.col("class_id")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -388,9 +422,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document of each group stays."""
-    rows = written(joined(docs, THRESHOLD, WORDS, TARGET_RECALL), "joined")
-    row = F.struct(_row_id().alias("__id"), F.col("text_key").alias("__t")).alias("row")
-    keep = rows.where("node is not null").select("component", row).groupBy("component").agg(F.min("row").alias("row")).select("row.*")
-    keep = keep.unionByName(rows.where("node is null").select(row).select("row.*")).distinct()
+    prints, classes = joined(docs, THRESHOLD, WORDS, TARGET_RECALL)
+    keep = classes.where("first = least").select(F.col("first.id").alias("__id"), F.col("first.text_key").alias("__t"))
+    blank = prints.where("d1 is null").select(_row_id().alias("__id"), F.col("text_key").alias("__t")).distinct()
     marked = docs.withColumn("__id", _row_id()).withColumn("__t", _text_key()).hint("merge")
-    return marked.join(keep, ["__id", "__t"], "left_semi").dropDuplicates(["__id", "__t"]).select(*docs.columns)
+    return marked.join(keep.unionAll(blank), ["__id", "__t"], "left_semi").dropDuplicates(["__id", "__t"]).select(*docs.columns)
