@@ -7,7 +7,8 @@ documents depleted by the removal are rejected. Exact copies count as one docume
 a distinct document is a distinct text.
 
 Defined cases: null or empty text has no words and fails the base rules; a null source
-is a host of its own; repeated rows each get the verdict of one; an empty table gives
+is a host of its own; rows without a doc_id count as documents and lose no lines; repeated
+rows each get the verdict of one; an empty table gives
 an empty result; columns other than doc_id, text and source are ignored.
 """
 
@@ -113,7 +114,7 @@ def quality_rules(docs: DataFrame, limit: int = 10, min_left: float = 0.2) -> Da
     limit: distinct documents of a host that may hold a line. min_left: the share of its
     words that a document must keep after the removal."""
     base = base_metrics(docs)
-    lines = document_lines(docs)
+    lines = written(document_lines(docs), "line-keys")  # narrow: lines are split and hashed once
     frequent = (
         lines.groupBy("line_key")
         .agg(F.countDistinct("text_key").alias("n_docs"), F.min("doc_id").alias("first_doc"))
