@@ -38,18 +38,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import range_part, table, tidied, weighted_bounds, written
+from .common import range_part, slices, table, tidied, weighted_bounds, written
 
 DIMS, BITS = 4, 8
 #: Bits of the sort key: the window, the position on the curve and a hash of the id.
 KEY_BITS = 62
+#: Files whose places are broadcast; of more, they are joined.
+FILES = 200_000
 #: Documents of a window: eight blocks of the mixture.
 WINDOW_DOCS = 512
 EOS = 2
 #: Pieces whose ids a worker remembers.
 CACHE_WORDS = 800_000
-#: Documents that are tokenized together, and about how many bytes of text.
-SLICE, SLICE_BYTES = 2500, 1 << 23
 
 PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -256,25 +256,16 @@ def _places(ids: np.ndarray, counts: np.ndarray, directions: np.ndarray) -> np.n
     return np.clip((np.tanh(mean / 2) + 1) / 2 * (1 << BITS), 0, (1 << BITS) - 1).astype(np.int64)
 
 
-def _slices(batch: pa.RecordBatch, column: int):
-    """Parts of a batch of at most SLICE rows and about SLICE_BYTES of a text column."""
-    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-    part = np.maximum.accumulate(np.maximum(np.arange(len(size)) // SLICE, (np.cumsum(size) - size) // SLICE_BYTES + np.arange(len(size)) // SLICE))
-    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(size)]
-    for lo, hi in zip(cuts, cuts[1:], strict=False):
-        if hi > lo:
-            yield batch.slice(lo, hi - lo)
-
-
 def in_files(docs: DataFrame) -> DataFrame:
     """docs, as read from files that were written in some order, with `__at`: the place of a row
-    in that order. Files are numbered by name; a row per file tells how many rows lie before it."""
+    in that order. Files are numbered by name; a row per file, some hundred bytes, tells how many
+    rows lie before it, and up to FILES of them are broadcast."""
     rows = docs.select("doc_id", "text", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row"))
     files = rows.groupBy("__file").agg(F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(W.orderBy("__file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return rows.join(files.select("__file", before.alias("__before")), "__file").select(
-        "doc_id", "text", (F.col("__before") + F.col("__row")).alias("__at")
-    )
+    files = written(files.select("__file", before.alias("__before")), "files")
+    files = F.broadcast(files) if files.count() <= FILES else files
+    return rows.join(files, "__file").select("doc_id", "text", (F.col("__before") + F.col("__row")).alias("__at"))
 
 
 def tokenized(docs: DataFrame, tokenizer: str, eos: int = EOS) -> DataFrame:
@@ -285,7 +276,7 @@ def tokenized(docs: DataFrame, tokenizer: str, eos: int = EOS) -> DataFrame:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         coder = _encoder(tokenizer)
         directions = _directions(coder.tokenizer.get_vocab_size())
-        for batch in (part for whole in batches for part in _slices(whole, 1)):
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             ids, counts = coder.ids(batch.column(1))
             key = hilbert_key(_places(ids, counts, directions))
             closed = np.full(len(ids) + len(counts), eos, coder.dtype)
