@@ -7,9 +7,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions.scalars import blocks512
 from ..schema import S_IFDIR
+from ..sources.shared import stored
 
 #: Attributes that setattr may change; a null leaves one as it is.
 SETTABLE = ("mode", "uid", "gid", "size", "atime_ns", "mtime_ns")
@@ -22,17 +24,61 @@ def latest_attrs(log: DataFrame, fields: tuple[str, ...] = SETTABLE) -> DataFram
     return log.groupBy("ino").agg(*last, F.max_by("ts_ns", "seq").alias("ctime_ns"))
 
 
-def apply_attrs(inodes: DataFrame, latest: DataFrame) -> DataFrame:
-    """Inodes with the new attributes; blocks follow the size. An unchanged size leaves mtime alone."""
-    fields = [f for f in SETTABLE if f in latest.columns and f in inodes.columns]
-    new = latest.select(F.col("ino").alias("__ino"), *(F.col(f).alias(f"__{f}") for f in fields))
+def apply_attrs(inodes: DataFrame, log: DataFrame) -> DataFrame:
+    """Inodes after a log of changes (ino, seq, ts_ns and any of SETTABLE; a null leaves a field
+    as it is). Blocks follow the size; a change of size sets the modification time, also over one
+    that is given with it; every change sets the time of change."""
+    fields = [f for f in SETTABLE if f in log.columns and f in inodes.columns]
+    timed = "size" in fields and "mtime_ns" in inodes.columns
+    rows = log
+    if timed:
+        before = W.partitionBy("ino").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
+        start = inodes.select("ino", F.col("size").alias("__start"))
+        rows = log.join(start, "ino").withColumn("__was", F.coalesce(F.last("size", ignorenulls=True).over(before), "__start"))
+        given = F.col("mtime_ns") if "mtime_ns" in log.columns else F.lit(None).cast("long")
+        rows = rows.withColumn("mtime_ns", F.when(F.col("size") != F.col("__was"), F.col("ts_ns")).otherwise(given))
+        fields = [*dict.fromkeys([*fields, "mtime_ns"])]
+    new = latest_attrs(rows, tuple(fields))
+    new = new.select(F.col("ino").alias("__ino"), *(F.col(f).alias(f"__{f}") for f in [*fields, "ctime_ns"]))
     joined = inodes.join(new, inodes["ino"] == F.col("__ino"), "left")
+    changed = [*fields, "ctime_ns"]
     out = joined.select(
-        *(F.coalesce(F.col(f"__{c}"), F.col(c)).alias(c) if c in fields else F.col(c) for c in inodes.columns)
+        *(F.coalesce(F.col(f"__{c}"), F.col(c)).alias(c) if c in changed else F.col(c) for c in inodes.columns)
     )
     return out.withColumn("blocks", blocks512("size")) if {"size", "blocks"} <= set(inodes.columns) else out
 
 
+def trimmed(extents: DataFrame, log: DataFrame) -> DataFrame:
+    """Extents after the sizes that a log of changes sets: nothing beyond the smallest is left."""
+    from .overlay import truncate_extents
+
+    return truncate_extents(extents, log.groupBy("ino").agg(F.min("size").alias("size")).where("size is not null"))
+
+
+def entry_times(log: DataFrame) -> DataFrame:
+    """ino, mtime_ns, ctime_ns that operations on names (with ts_ns) set: both times of the
+    directories they change, and the time of change of the inode they name."""
+    dirs = [log.select(F.col(c).alias("ino"), F.col("ts_ns").alias("mtime_ns"), F.col("ts_ns").alias("ctime_ns")) for c in ("parent_ino", "dst_parent")]
+    child = log.select("ino", F.lit(None).cast("long").alias("mtime_ns"), F.col("ts_ns").alias("ctime_ns"))
+    rows = dirs[0].unionAll(dirs[1]).unionAll(child).where("ino is not null")
+    return rows.groupBy("ino").agg(F.max("mtime_ns").alias("mtime_ns"), F.max("ctime_ns").alias("ctime_ns"))
+
+
+def apply_entry_times(inodes: DataFrame, log: DataFrame) -> DataFrame:
+    new = entry_times(log).select(F.col("ino").alias("__ino"), F.col("mtime_ns").alias("__m"), F.col("ctime_ns").alias("__c"))
+    joined = inodes.join(new, inodes["ino"] == F.col("__ino"), "left")
+    times = {"mtime_ns": F.coalesce("__m", "mtime_ns"), "ctime_ns": F.coalesce("__c", "ctime_ns")}
+    return joined.select(*(times[c].alias(c) if c in times else F.col(c) for c in inodes.columns))
+
+
+def xattr_rejections(xattrs: DataFrame, log: DataFrame) -> DataFrame:
+    """ino, name, seq of removals (a null value) of attributes that are not there at that time."""
+    start = xattrs.select("ino", "name", F.lit(-1).cast("long").alias("seq"), "value")
+    by_name = W.partitionBy("ino", "name").orderBy("seq")
+    rows = start.unionByName(log.select("ino", "name", "seq", "value")).withColumn("was", F.lag("value").over(by_name))
+    return rows.where("seq >= 0 and value is null and was is null").select("ino", "name", "seq")
+
+
 def access_times(log: DataFrame) -> DataFrame:
     """ino, atime: the time of the last read."""
     return log.where("op = 'read'").groupBy("ino").agg(F.max_by("ts", "seq").alias("atime"))
@@ -73,8 +119,41 @@ def entry_changes(log: DataFrame) -> DataFrame:
     return add.unionAll(gone).unionAll(moved)
 
 
+def same_inode_renames(entries: DataFrame, log: DataFrame) -> DataFrame:
+    """seq of renames onto another name of the same inode: they change nothing. What the target
+    names at that time can depend on such renames before it, so they are found in rounds: as
+    many as the longest chain of them, mostly one."""
+    renames = log.where("op = 'rename'")
+    found = log.sparkSession.createDataFrame([], "seq long")
+    if renames.isEmpty():
+        return found
+    n = 0
+    while True:
+        done = log.join(found, "seq", "left_anti")
+        state = F.struct("child_ino")
+        rows = (
+            entries.select(F.lit(-1).cast("long").alias("seq"), F.lit(1).alias("step"), "parent_ino", "name", state.alias("is"))
+            .unionByName(entry_changes(done).select("seq", "step", "parent_ino", "name", state.alias("is")))
+            .withColumn("probe", F.lit(None).cast("long"))
+            .unionByName(
+                renames.select(
+                    "seq", F.lit(-1).alias("step"), F.col("dst_parent").alias("parent_ino"), F.col("dst_name").alias("name"),
+                    F.lit(None).cast("struct<child_ino:bigint>").alias("is"), F.col("ino").alias("probe"),
+                )
+            )
+        )
+        before = W.partitionBy("parent_ino", "name").orderBy("seq", "step").rowsBetween(W.unboundedPreceding, -1)
+        now = rows.withColumn("was", F.last("is", ignorenulls=True).over(before)).where("probe is not null and was.child_ino = probe")
+        found = stored(now.select("seq"))
+        if found.count() == n:
+            return found
+        n = found.count()
+
+
 def fold_entries(entries: DataFrame, log: DataFrame) -> DataFrame:
-    """parent_ino, name, child_ino after the log: the last change of each name wins."""
+    """parent_ino, name, child_ino after a log of operations that were done: the last change of
+    each name wins; a rename onto another name of the same inode changes nothing."""
+    log = log.join(same_inode_renames(entries, log), "seq", "left_anti")
     start = entries.select(F.lit(-1).cast("long").alias("seq"), F.lit(1).alias("step"), "parent_ino", "name", "child_ino")
     return (
         start.unionByName(entry_changes(log))

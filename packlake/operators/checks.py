@@ -104,5 +104,25 @@ def over_capacity(inodes: DataFrame, capacity: int) -> DataFrame:
     return used_bytes(inodes).where(F.col("used_bytes") > capacity)
 
 
+def next_seq_bound(chunks: DataFrame, next_seq: int) -> DataFrame:
+    """The number of chunks, if it is not below the next sequence number."""
+    return chunks.agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= next_seq)
+
+
+def versions_differ(clean: DataFrame, memory: DataFrame, ignore: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of a clean copy and of the state in memory that the other does not have; a remote
+    copy is compared without access times."""
+    from ..sources.snapshots import difference
+
+    return difference(clean, memory, ignore)
+
+
+def next_ino_rolled_back(copy: DataFrame, memory: DataFrame) -> DataFrame:
+    """The next inode number of a copy and of memory, if the copy's is larger. A table's next
+    number is the one after its largest."""
+    top = lambda df, name: df.agg((F.coalesce(F.max("ino"), F.lit(0)) + 1).cast("long").alias(name))
+    return top(copy, "copy_next").join(F.broadcast(top(memory, "memory_next"))).where("copy_next > memory_next")  # a row each
+
+
 def reserved_listed(listing: DataFrame, index_key: str = "index.cbor") -> DataFrame:
     return listing.where(F.col("chunk_id") == index_key).select("chunk_id")

@@ -7,8 +7,10 @@ from collections.abc import Iterable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from ..functions.scalars import chunk_seq, is_chunk_object
+from ..functions.scalars import chunk_id, chunk_seq, is_chunk_object
+from ..sources.shared import stored
 
 THRESHOLD = 0.3
 #: Chunks that are packed together; every lot has output chunks of its own.
@@ -38,9 +40,32 @@ def next_chunk_seq(chunks: DataFrame) -> DataFrame:
     return chunks.agg((F.coalesce(F.max(chunk_seq("chunk_id")), F.lit(0)) + 1).cast("long").alias("next_seq"))
 
 
-def sealed(chunks: DataFrame, active_id: str) -> DataFrame:
+def active(chunks: DataFrame) -> DataFrame:
+    """active_seq: the number of the chunk that is appended to, the largest one; one row."""
+    return chunks.agg(F.coalesce(F.max(chunk_seq("chunk_id")), F.lit(-1)).alias("active_seq"))
+
+
+def sealed(chunks: DataFrame) -> DataFrame:
     """Chunk objects other than the active one and the index."""
-    return chunks.where(is_chunk_object("chunk_id") & (F.col("chunk_id") != active_id))
+    seq = F.coalesce(chunk_seq("chunk_id"), F.lit(-2))
+    last = F.broadcast(active(chunks))  # one row
+    return chunks.where(is_chunk_object("chunk_id")).join(last, seq != F.col("active_seq")).drop("active_seq")
+
+
+def with_status(chunks: DataFrame) -> DataFrame:
+    """chunk_id, status, size: the chunk of the largest number is active, by value, not by name."""
+    last = F.broadcast(active(chunks))  # one row
+    is_active = F.coalesce(chunk_seq("chunk_id") == F.col("active_seq"), F.lit(False))
+    return chunks.join(last).select("chunk_id", F.when(is_active, "Active").otherwise("Sealed").alias("status"), "size")
+
+
+def flushed(writes: DataFrame, chunks: DataFrame) -> DataFrame:
+    """chunk_id, size, data of the active chunk's appended bytes (chunk_id, chunk_offset, data), put
+    together for a flush; the chunk stays active. One chunk's bytes are in one task."""
+    own = writes.join(F.broadcast(active(chunks)), chunk_seq("chunk_id") == F.col("active_seq"))
+    parts = F.array_sort(F.collect_list(F.struct("chunk_offset", F.hex("data").alias("x"))))
+    data = F.unhex(F.array_join(F.transform("p", lambda p: p["x"]), ""))
+    return own.groupBy("chunk_id").agg(parts.alias("p")).select("chunk_id", F.octet_length(data).cast("long").alias("size"), data.alias("data"))
 
 
 def targets(usage: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -59,10 +84,10 @@ def next_fit(lengths: Iterable[int], limit: int) -> Iterator[tuple[int, int]]:
         used += n
 
 
-def placements(writes: DataFrame, limit: int, lot: str = "lot") -> DataFrame:
-    """ino, seq, len, chunk_id, chunk_offset of appended writes: each lot appends to chunks of
-    its own, in the order of ino and seq, rotating when a write does not fit. Writes longer
-    than a chunk are rejected (they do not appear)."""
+def placements(writes: DataFrame, limit: int, lot: str = "lot", first_seq: int = 1) -> DataFrame:
+    """lot, ino, seq, len, chunk_id, chunk_offset, rejected of appended writes: each lot appends
+    to chunks of its own, in the order of ino and seq, rotating when a write does not fit. A write
+    longer than a chunk is rejected, without a place. Lots number their chunks one after another."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["ino", "seq"], kind="stable")
@@ -74,9 +99,20 @@ def placements(writes: DataFrame, limit: int, lot: str = "lot") -> DataFrame:
             }
         )
 
-    return writes.where(F.col("len") <= limit).groupBy(lot).applyInPandas(
-        run, "lot long, ino long, seq long, len long, bin long, chunk_offset long"
+    fits = F.col("len") <= limit
+    placed = stored(
+        writes.where(fits).groupBy(lot).applyInPandas(run, "lot long, ino long, seq long, len long, bin long, chunk_offset long")
+    )
+    bins = placed.groupBy("lot").agg((F.max("bin") + 1).alias("n"))
+    before = F.coalesce(F.sum("n").over(W.orderBy("lot").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # a row per lot
+    named = placed.join(bins.select("lot", before.alias("before")), "lot").select(
+        "lot", "ino", "seq", "len", chunk_id(F.col("before") + F.col("bin") + first_seq).alias("chunk_id"), "chunk_offset", F.lit(False).alias("rejected")
+    )
+    none = F.lit(None)
+    refused = writes.where(~fits).select(
+        F.col(lot).alias("lot"), "ino", "seq", "len", none.cast("string").alias("chunk_id"), none.cast("long").alias("chunk_offset"), F.lit(True).alias("rejected")
     )
+    return named.unionByName(refused)
 
 
 def pack(extents: DataFrame, chosen: DataFrame, limit: int, stamp: int, lot_chunks: int = LOT_CHUNKS) -> DataFrame:
@@ -87,14 +123,15 @@ def pack(extents: DataFrame, chosen: DataFrame, limit: int, stamp: int, lot_chun
     live = extents.join(chosen.select("chunk_id"), "chunk_id", "left_semi").withColumn("lot", lot.cast("long"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["chunk_id", "chunk_offset", "ino", "file_offset"], kind="stable").reset_index(drop=True)
+        pdf = pdf.sort_values(["order", "chunk_id", "chunk_offset", "ino", "file_offset"], kind="stable").reset_index(drop=True)
         at = list(next_fit(pdf["length"].tolist(), limit))
         name = f"compacted-{stamp}-"
         pdf["new_chunk_id"] = [f"{name}{lot * 1_000_000 + x[0]}" for lot, x in zip(pdf["lot"], at, strict=True)]
         pdf["new_offset"] = [x[1] for x in at]
-        return pdf.drop(columns="lot")
+        return pdf.drop(columns=["lot", "order"])
 
-    return live.select("lot", "ino", "chunk_id", "chunk_offset", "length", "file_offset").groupBy("lot").applyInPandas(
+    order = F.coalesce(chunk_seq("chunk_id"), F.lit(0)).alias("order")
+    return live.select("lot", order, "ino", "chunk_id", "chunk_offset", "length", "file_offset").groupBy("lot").applyInPandas(
         run,
         "ino long, chunk_id string, chunk_offset long, length long, file_offset long, new_chunk_id string, new_offset long",
     )

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import blocks512, full_mode, ns_rest, ns_seconds
-from ..schema import ROOT_INO, S_IFDIR, S_IFREG
+from ..schema import ROOT_INO, S_IFDIR, S_IFLNK, S_IFREG
+from ..sources.shared import stored
 
 
 def get_inode(inodes: DataFrame, ino: int) -> DataFrame:
@@ -58,15 +57,6 @@ def readdir(entries: DataFrame, inodes: DataFrame) -> DataFrame:
     return own.unionAll(up).unionAll(kids.join(dirs.withColumnRenamed("ino", "dir_ino"), "dir_ino", "left_semi"))
 
 
-def _stored(level: DataFrame) -> DataFrame:
-    """`level` computed once, in the session's checkpoint folder."""
-    context = level.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        where = level.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(where or tempfile.mkdtemp(prefix="ckpt-"))
-    return level.checkpoint()
-
-
 def paths(entries: DataFrame, max_depth: int = 255) -> DataFrame:
     """ino, path, depth of everything that the root reaches; a hard link gives two rows.
     One join a level, each stored: the number of rows has no limit. A cycle, or a tree
@@ -76,7 +66,7 @@ def paths(entries: DataFrame, max_depth: int = 255) -> DataFrame:
     out = level.withColumn("path", F.lit("/"))
     below = entries.select("parent_ino", F.col("child_ino").cast("long").alias("child"), "name")
     for depth in range(1, max_depth + 2):
-        level = _stored(
+        level = stored(
             level.join(below, level["ino"] == below["parent_ino"]).select(
                 F.col("child").alias("ino"), F.concat("path", F.lit("/"), "name").alias("path"), F.lit(depth).cast("long").alias("depth")
             )
@@ -87,6 +77,20 @@ def paths(entries: DataFrame, max_depth: int = 255) -> DataFrame:
     raise RuntimeError(f"paths are deeper than {max_depth} levels")
 
 
+def readdir_errors(requests: DataFrame, inodes: DataFrame) -> DataFrame:
+    """ino, error of listings (ino) that fail: ENOENT without an inode, ENOTDIR for other types."""
+    found = requests.join(inodes.select("ino", "file_type"), "ino", "left")
+    error = F.when(F.col("file_type").isNull(), "ENOENT").when(F.col("file_type") != S_IFDIR, "ENOTDIR")
+    return found.select("ino", error.alias("error")).where("error is not null")
+
+
+def readlinks(requests: DataFrame, inodes: DataFrame, links: DataFrame) -> DataFrame:
+    """ino, target, error: EINVAL for inodes that are no symbolic link, ENOENT without an inode."""
+    error = F.when(F.col("file_type").isNull(), "ENOENT").when(F.col("file_type") != S_IFLNK, "EINVAL").when(F.col("target").isNull(), "ENOENT")
+    found = requests.join(inodes.select("ino", "file_type"), "ino", "left").join(links.select("ino", "target"), "ino", "left")
+    return found.select("ino", F.when(error.isNull(), F.col("target")).alias("target"), error.alias("error"))
+
+
 def symlink_targets(links: DataFrame) -> DataFrame:
     """ino, target, size: a link is as long as its target has bytes."""
     return links.select("ino", "target", F.octet_length("target").cast("long").alias("size"))

@@ -10,6 +10,7 @@ segments of one write become one extent again.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -172,36 +173,79 @@ def read_bytes(plan: DataFrame, requests: DataFrame, sizes: DataFrame, chunks: D
     pieces = plan.join(chunks.select("chunk_id", "content"), "chunk_id").select(
         "request_id", "out_offset", F.substring("content", F.col("chunk_offset") + 1, F.col("length")).alias("bytes")
     )
+    return laid_out(pieces, requests, sizes)
+
+
+def laid_out(pieces: DataFrame, requests: DataFrame, sizes: DataFrame) -> DataFrame:
+    """request_id, data from request_id, out_offset, bytes of the pieces that are not holes."""
     total = (
         requests.join(sizes, "ino", "left")
         .select("request_id", F.greatest(F.least(F.col("off") + F.col("len"), F.coalesce("size", F.lit(0))) - F.col("off"), F.lit(0)).alias("n"))
     )
-    grouped = pieces.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("out_offset", "bytes"))).alias("p"))
+    end = F.col("out_offset") + F.octet_length("bytes")
+    before = F.coalesce(F.lag(end).over(W.partitionBy("request_id").orderBy("out_offset")), F.lit(0))
     zero = lambda n: F.unhex(F.repeat(F.lit("00"), n.cast("int")))
-    laid = F.aggregate(
-        F.coalesce("p", F.array().cast("array<struct<out_offset:bigint,bytes:binary>>")),
-        F.lit(b""),
-        lambda acc, x: F.concat(acc, zero(x["out_offset"] - F.octet_length(acc)), x["bytes"]),
-    )
-    return total.join(grouped, "request_id", "left").withColumn("data", laid).select(
-        "request_id", F.concat("data", zero(F.col("n") - F.octet_length("data"))).alias("data")
-    )
-
-
-def quota_rejections(log: DataFrame, quota: int) -> DataFrame:
-    """ino, seq, growth of writes whose file would grow beyond a quota per file. Only growth
-    is checked: overwriting a full file is allowed."""
-    before = F.coalesce(
-        F.max(F.when(F.col("op") == "write", F.col("off") + F.col("len"))).over(
-            W.partitionBy("ino").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
-        ),
-        F.lit(0),
-    )
-    growth = F.greatest(F.col("off") + F.col("len") - F.col("before"), F.lit(0))
-    return (
-        log.withColumn("before", before)
-        .where("op = 'write'")
-        .withColumn("growth", growth)
-        .where((F.col("growth") > 0) & (F.col("before") + F.col("growth") > quota))
-        .select("ino", "seq", "growth")
-    )
+    filled = pieces.select("request_id", "out_offset", end.alias("end"), F.concat(zero(F.col("out_offset") - before), "bytes").alias("bytes"))
+    # every piece comes after its own hole, so the bytes of a request are joined once
+    joined = filled.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("out_offset", F.hex("bytes").alias("x")))).alias("p"), F.max("end").alias("end"))
+    data = F.unhex(F.array_join(F.transform("p", lambda x: x["x"]), ""))
+    return total.join(joined, "request_id", "left").select(
+        "request_id", F.concat(F.coalesce(data, F.lit(b"")), zero(F.col("n") - F.coalesce("end", F.lit(0)))).alias("data")
+    )
+
+
+def file_growth(log: DataFrame) -> DataFrame:
+    """at, ino, op, off, len, size (of the file after the operation) and growth, if every
+    operation is done. log: at (the order over all files), ino, op, off, len."""
+    by_file = W.partitionBy("ino").orderBy("at")
+    part = log.withColumn("part", F.count(F.when(F.col("op") == "truncate", 1)).over(by_file))
+    reach = F.when(F.col("op") == "truncate", F.col("off")).otherwise(F.col("off") + F.col("len"))
+    size = F.max(reach).over(W.partitionBy("ino", "part").orderBy("at").rowsBetween(W.unboundedPreceding, 0))
+    sized = part.withColumn("size", size)
+    return sized.withColumn("growth", F.col("size") - F.coalesce(F.lag("size").over(by_file), F.lit(0))).drop("part")
+
+
+def capacity_rejections(log: DataFrame, capacity: int, lot_ops: int = 1 << 20) -> DataFrame:
+    """at, ino, growth of the writes that are refused because the bytes in use by all files and
+    the growth of their own would exceed the capacity. Writes that do not grow a file are
+    allowed; a refused write changes nothing; truncation frees bytes.
+
+    As long as nothing is refused, the bytes in use are a running sum, within lots of the order
+    and over lots. From the first refusal on, each verdict depends on the one before: one task
+    reads the rest of the log as a stream, and remembers the sizes of the files in it."""
+    spark = log.sparkSession
+    log = log.where((F.col("op") == "truncate") | (F.col("len") > 0)).select("at", "ino", "op", "off", "len")
+    grown = file_growth(log).withColumn("lot", F.floor(F.col("at") / lot_ops))
+    lots = grown.groupBy("lot").agg(F.sum("growth").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.orderBy("lot").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    own = F.sum("growth").over(W.partitionBy("lot").orderBy("at").rowsBetween(W.unboundedPreceding, 0))
+    used = grown.withColumn("own", own).join(lots.select("lot", before.alias("before")), "lot").withColumn("used", F.col("own") + F.col("before"))
+    first = used.where((F.col("op") == "write") & (F.col("growth") > 0) & (F.col("used") > capacity)).agg(F.min("at")).first()[0]
+    schema = "at long, ino long, growth long"
+    if first is None:
+        return spark.createDataFrame([], schema)
+    start = used.where(F.col("at") < first).agg(F.max_by("used", "at")).first()[0] or 0
+    rest = log.where(F.col("at") >= first)
+    sizes = grown.where(F.col("at") < first).groupBy("ino").agg(F.max_by("size", "at").alias("off")).join(rest.select("ino").distinct(), "ino", "left_semi")
+    known = sizes.select(F.lit(-1).cast("long").alias("at"), "ino", F.lit("size").alias("op"), "off", F.lit(0).cast("long").alias("len"))
+
+    def run(batches):
+        size: dict[int, int] = {}
+        in_use = start
+        for batch in batches:
+            out = []
+            for at, ino, op, off, n in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                now = size.get(ino, 0)
+                if op == "write":
+                    if off + n <= now:
+                        continue
+                    if in_use + off + n - now > capacity:
+                        out.append((at, ino, off + n - now))
+                        continue
+                    off += n
+                if op != "size":
+                    in_use += off - now
+                size[ino] = off
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(3)], ["at", "ino", "growth"])
+
+    return known.unionByName(rest).repartition(1).sortWithinPartitions("at").mapInArrow(run, schema)

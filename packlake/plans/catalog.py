@@ -5,6 +5,7 @@ of the overlay and with plain windows, so that it shares no logic with the DataF
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,9 +14,10 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..functions.scalars import is_retryable, ns_timestamp
 from ..operators import attrs, checks, compaction, namespace, overlay
-from ..schema import S_IFDIR
+from ..schema import INODES, S_IFDIR, S_IFLNK
 from ..sources import fixtures as fx
 from ..sources import snapshots
+from ..sources.shared import folder, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -23,7 +25,8 @@ ORACLE_SQL: dict[str, str] = {}
 
 CAPACITY = Config().max_fs_bytes
 BLOCK = Config().block_bytes
-QUOTA = 6000
+#: Bytes that the files of the write log may use in the capacity queries.
+FULL = 1_000_000
 THRESHOLD = Config().compaction_threshold
 CHUNK_LIMIT = 64 << 10
 
@@ -222,6 +225,33 @@ def mtime_micros(spark, sf_dir):
     return fx.files(spark, sf_dir).select("ino", F.unix_micros(ns_timestamp("mtime_ns")).alias("mtime_us"))
 
 
+@_query(_with(_FILES, select="select ino, file_type, mode, size, blocks, blksize, mtime_ns from files where ino = 77"))
+def inode_get(spark, sf_dir):
+    return namespace.get_inode(fx.files(spark, sf_dir), 77)
+
+
+@_query(_with(_ENTRIES, select="select child_ino from entries where parent_ino = 1 and name = 'en'"))
+def entry_lookup(spark, sf_dir):
+    return namespace.lookup(fx.dir_entries(spark, sf_dir), 1, "en")
+
+
+@_query(_with(_ENTRIES, _INODES, select="""select distinct cast(e.user_id + 2 as bigint) as ino, case when i.ino is null then 'ENOENT' else 'ENOTDIR' end as error
+  from events e left join inodes i on i.ino = e.user_id + 2 where i.ino is null or i.file_type <> 16384"""))
+def readdir_errors(spark, sf_dir):
+    asked = fx.table(spark, sf_dir, "events").select((F.col("user_id") + 2).cast("long").alias("ino")).distinct()
+    return namespace.readdir_errors(asked, fx.inodes(spark, sf_dir))
+
+
+@_query(_with(_FILES, select="""select cast(page_id + 3000000000 as bigint) as ino, url as target, cast(null as varchar) as error from pages
+  union all select ino, null, 'EINVAL' from files union all select cast(5 - 1000 as bigint), null, 'ENOENT'"""))
+def readlinks(spark, sf_dir):
+    """Links, files, which are none, and one number that no inode has."""
+    links = fx.symlinks(spark, sf_dir)
+    inodes = fx.files(spark, sf_dir).select("ino", "file_type").unionAll(links.select("ino", F.lit(S_IFLNK)))
+    asked = inodes.select("ino").unionAll(spark.range(-995, -994).select("id"))
+    return namespace.readlinks(asked, inodes, links)
+
+
 # extents
 
 
@@ -262,12 +292,58 @@ def chunk_fetches(spark, sf_dir):
     return compaction.fetch_list(range_read_plan(spark, sf_dir))
 
 
-@_query(_with(_WRITE_LOG, select=f"""select ino, seq, growth from (
-  select ino, seq, op, before, greatest(off + len - before, 0) as growth from (
-    select *, coalesce(max(case when op = 'write' then off + len end) over (partition by ino order by seq rows between unbounded preceding and 1 preceding), 0) as before
-    from write_log) x where op = 'write') y where growth > 0 and before + growth > {QUOTA}"""))
-def quota_rejections(spark, sf_dir):
-    return overlay.quota_rejections(fx.write_log(spark, sf_dir), QUOTA)
+def _ordered_log(spark, sf_dir):
+    """The write log in one order over all files: by sequence number, then file."""
+    return fx.write_log(spark, sf_dir).withColumn("at", F.shiftleft("seq", 40) + F.col("ino"))
+
+
+_GROWTH = """ops as (select seq * 1099511627776 + ino as "at", * from write_log where op = 'truncate' or len > 0),
+parts as (select *, count(case when op = 'truncate' then 1 end) over (partition by ino order by "at") as part from ops),
+sized as (select *, max(case when op = 'truncate' then off else off + len end) over (partition by ino, part order by "at" rows unbounded preceding) as size from parts),
+grown as (select *, size - coalesce(lag(size) over (partition by ino order by "at"), 0) as growth from sized),
+used as (select *, sum(growth) over (order by "at" rows unbounded preceding) as used from grown)"""
+
+
+@_query(_with(_WRITE_LOG, _GROWTH, select="""select "at", ino, op, cast(size as bigint) as size, cast(growth as bigint) as growth from grown"""))
+def file_growth(spark, sf_dir):
+    return overlay.file_growth(_ordered_log(spark, sf_dir).where("op = 'truncate' or len > 0")).select("at", "ino", "op", "size", "growth")
+
+
+@_query(_with(_WRITE_LOG, _GROWTH, select=f"""select "at", ino, cast(growth as bigint) as growth from used
+  where op = 'write' and growth > 0 and used > {FULL} order by "at" limit 1"""))
+def capacity_first_refusal(spark, sf_dir):
+    """The first write that does not fit; up to it, nothing depends on verdicts."""
+    return capacity_rejections(spark, sf_dir).orderBy("at").limit(1)
+
+
+@_query()
+def capacity_rejections(spark, sf_dir):
+    """Each verdict depends on those before: no SQL; tests compare with a loop."""
+    return overlay.capacity_rejections(_ordered_log(spark, sf_dir), FULL)
+
+
+_DIGITS = "0123456789abcdef"
+
+
+@_query(_with(_WRITE_LOG, _OVERLAY, _PLACED, _EXTENTS, _CHUNKS, _SIZES, _REQUESTS, _PLAN, f"""content as (
+  select chunk_id, substr(repeat('{_DIGITS}', cast(size // 16 + 2 as int)), cast(cast(substr(chunk_id, 7) as bigint) % 16 + 1 as int), cast(size as int)) as data from chunks),
+pieces as (
+  select request_id, out_offset, length, substr(data, cast(chunk_offset + 1 as int), cast(length as int)) as bytes,
+    out_offset - coalesce(lag(out_offset + length) over (partition by request_id order by out_offset), 0) as gap
+  from plan p join content c on c.chunk_id = p.chunk_id),
+laid as (
+  select request_id, string_agg(concat(repeat('.', cast(gap as int)), bytes), '' order by out_offset) as data, max(out_offset + length) as done from pieces group by request_id)""",
+    select="""select r.request_id, concat(coalesce(l.data, ''), repeat('.', cast(greatest(least(r.off + r.len, s.size) - r.off, 0) - coalesce(l.done, 0) as int))) as data
+  from requests r join sizes s on s.ino = r.ino left join laid l on l.request_id = r.request_id"""))
+def range_read_bytes(spark, sf_dir):
+    """Bytes of a range of each file, zeros shown as dots; chunks hold running hexadecimal digits."""
+    log = fx.write_log(spark, sf_dir)
+    sizes, extents, chunks = overlay.file_sizes(log), _extents(spark, sf_dir), _chunks(spark, sf_dir)
+    first = (F.substring("chunk_id", 7, 20).cast("long") % 16 + 1).cast("int")
+    text = F.substring(F.repeat(F.lit(_DIGITS), (F.floor(F.col("size") / 16) + 2).cast("int")), first, F.col("size").cast("int"))
+    requests = _requests(sizes)
+    read = overlay.read_bytes(overlay.read_plan(requests, extents, sizes), requests, sizes, chunks.select("chunk_id", F.encode(text, "utf-8").alias("content")))
+    return read.select("request_id", F.translate(F.decode("data", "utf-8"), "\0", ".").alias("data"))
 
 
 @_query(_with(_WRITE_LOG, select="""select ino, file_offset, least(length, size - file_offset) as length from (
@@ -290,10 +366,27 @@ def chunk_placement(spark, sf_dir):
     )
 
 
-@_query()
+_ROTATION = """w as (
+  select cast(floor(ino / 4096) as bigint) as lot, ino, seq, len, row_number() over (partition by floor(ino / 4096) order by ino, seq) as k
+  from write_log where op = 'write' and len > 0 and len <= 3000),
+fit(lot, k, ino, seq, len, bin, off) as (
+  select lot, k, ino, seq, len, cast(0 as bigint), cast(0 as bigint) from w where k = 1
+  union all select w.lot, w.k, w.ino, w.seq, w.len,
+    case when f.off + f.len + w.len > 65536 then f.bin + 1 else f.bin end, case when f.off + f.len + w.len > 65536 then 0 else f.off + f.len end
+  from fit f join w on w.lot = f.lot and w.k = f.k + 1),
+lots as (select lot, max(bin) + 1 as n from fit group by lot),
+firsts as (select lot, coalesce(sum(n) over (order by lot rows between unbounded preceding and 1 preceding), 0) + 1 as first from lots)"""
+
+
+@_query("with recursive " + _WRITE_LOG + ",\n" + _ROTATION + """
+select f.lot, ino, seq, len, printf('chunk-%08d', cast(first + bin as bigint)) as chunk_id, off as chunk_offset, false as rejected from fit f join firsts on firsts.lot = f.lot
+union all select cast(floor(ino / 4096) as bigint), ino, seq, len, null, null, true from write_log where op = 'write' and len > 3000""")
 def chunk_rotation(spark, sf_dir):
+    """Writes of more than 3,000 bytes do not fit a chunk here, so that some are refused."""
     writes = fx.write_log(spark, sf_dir).where("op = 'write' and len > 0").withColumn("lot", F.floor(F.col("ino") / fx.LOT).cast("long"))
-    return compaction.placements(writes, CHUNK_LIMIT)
+    fits = F.col("len") <= 3000
+    placed = compaction.placements(writes.where(fits), CHUNK_LIMIT)
+    return placed.unionByName(compaction.placements(writes.where(~fits), 3000))
 
 
 @_query(_with(_WRITE_LOG, _PLACED, select="select cast(max(chunk_seq) + 1 as bigint) as next_seq from placed"))
@@ -305,17 +398,13 @@ def chunk_next_seq(spark, sf_dir):
 @_query(_with(_WRITE_LOG, _PLACED, _CHUNKS, select="""select chunk_id, size from chunks
   where chunk_id <> (select printf('chunk-%08d', max(chunk_seq)) from placed)"""))
 def sealed_chunks(spark, sf_dir):
-    chunks = _chunks(spark, sf_dir)
-    listing = chunks.unionAll(spark.createDataFrame([("index.cbor", 10)], "chunk_id string, size long"))
-    active = chunks.agg(F.max("chunk_id").alias("active"))  # one row
-    return listing.join(F.broadcast(active), listing["chunk_id"] != F.col("active")).select("chunk_id", "size").where(
-        F.col("chunk_id") != "index.cbor"
-    )
+    listing = _chunks(spark, sf_dir).unionAll(spark.createDataFrame([("index.cbor", 10)], "chunk_id string, size long"))
+    return compaction.sealed(listing)
 
 
-@_query(_with(_WRITE_LOG, _PLACED, _CHUNKS, select="""select chunk_id, case when chunk_id = (select max(chunk_id) from chunks) then 'Active' else 'Sealed' end as status, size from chunks"""))
+@_query(_with(_WRITE_LOG, _PLACED, _CHUNKS, select="""select chunk_id, case when chunk_id = (select printf('chunk-%08d', max(chunk_seq)) from placed) then 'Active' else 'Sealed' end as status, size from chunks"""))
 def chunk_status(spark, sf_dir):
-    return _with_status(_chunks(spark, sf_dir))
+    return compaction.with_status(_chunks(spark, sf_dir))
 
 
 @_query(_with(_WRITE_LOG, _PLACED, select="select ino, cast(count(*) as bigint) as n_extents, cast(sum(len) as bigint) as total from placed where len > 0 group by ino"))
@@ -336,31 +425,59 @@ def compaction_targets(spark, sf_dir):
     return compaction.targets(_usage(spark, sf_dir), THRESHOLD)
 
 
-def _moved(spark, sf_dir):
-    return compaction.pack(_extents(spark, sf_dir), compaction_targets(spark, sf_dir), CHUNK_LIMIT, stamp=1)
+def _compacted(spark, sf_dir):
+    """Extents, targets and packed extents; the overlay is planned and run once."""
+    extents = stored(_extents(spark, sf_dir))
+    chosen = stored(compaction.targets(compaction.chunk_usage(_chunks(spark, sf_dir), extents), THRESHOLD))
+    return extents, chosen, stored(compaction.pack(extents, chosen, CHUNK_LIMIT, stamp=1))
 
 
-@_query()
+_TARGETS = f"targets as (select chunk_id from usage where size = 0 or fraction >= {THRESHOLD})"
+_PACK = """w as (
+  select *, row_number() over (partition by lot order by chunk_id, chunk_offset, ino, file_offset) as k from (
+    select *, cast(floor(cast(substr(chunk_id, 7) as bigint) / 1024) as bigint) as lot from extents where chunk_id in (select chunk_id from targets)) x),
+fit(lot, k, ino, chunk_id, chunk_offset, length, file_offset, bin, off) as (
+  select lot, k, ino, chunk_id, chunk_offset, length, file_offset, cast(0 as bigint), cast(0 as bigint) from w where k = 1
+  union all select w.lot, w.k, w.ino, w.chunk_id, w.chunk_offset, w.length, w.file_offset,
+    case when f.off + f.length + w.length > 65536 then f.bin + 1 else f.bin end, case when f.off + f.length + w.length > 65536 then 0 else f.off + f.length end
+  from fit f join w on w.lot = f.lot and w.k = f.k + 1)"""
+
+
+@_query("with recursive " + ",\n".join((_WRITE_LOG, _OVERLAY, _PLACED, _EXTENTS, _CHUNKS, _USAGE, _TARGETS, _PACK)) + """
+select ino, chunk_id, chunk_offset, length, file_offset, concat('compacted-1-', cast(lot * 1000000 + bin as varchar)) as new_chunk_id, off as new_offset from fit""")
 def compaction_pack(spark, sf_dir):
-    return _moved(spark, sf_dir)
+    return _compacted(spark, sf_dir)[2]
+
+
+@_query(_with(_WRITE_LOG, _OVERLAY, _PLACED, _EXTENTS, _CHUNKS, _USAGE, select=f"""select ino, chunk_id, chunk_offset, length, file_offset,
+  cast(sum(length) over (partition by cast(floor(cast(substr(chunk_id, 7) as bigint) / 1024) as bigint)) as bigint) as lot_bytes
+  from extents where chunk_id in (select chunk_id from usage where size = 0 or fraction >= {THRESHOLD})"""))
+def compaction_packed_bytes(spark, sf_dir):
+    """What packing moves, and the bytes of its lot that the new chunks hold."""
+    moved = _compacted(spark, sf_dir)[2].withColumn("lot", F.split("new_chunk_id", "-")[2].cast("long"))
+    lots = moved.groupBy("lot").agg(F.sum("length").alias("n"), F.max(F.col("new_offset") + F.col("length")).alias("end"))
+    whole = lots.where("n = end").groupBy(F.floor(F.col("lot") / 1_000_000).alias("lot")).agg(F.sum("n").cast("long").alias("lot_bytes"))
+    return moved.withColumn("lot", F.floor(F.col("lot") / 1_000_000)).join(whole, "lot").select(
+        "ino", "chunk_id", "chunk_offset", "length", "file_offset", "lot_bytes"
+    )
 
 
-_TARGETS = f"targets as (select chunk_id from usage where size = 0 or fraction >= {THRESHOLD})"
 
 
 @_query(_with(_WRITE_LOG, _OVERLAY, _PLACED, _EXTENTS, _CHUNKS, _USAGE, _TARGETS, select="""select ino, file_offset, length,
   chunk_id in (select chunk_id from targets) as moved, case when chunk_id in (select chunk_id from targets) then null else chunk_id end as stays_in
   from extents"""))
 def compaction_remap(spark, sf_dir):
-    after = compaction.remap(_extents(spark, sf_dir), _moved(spark, sf_dir))
+    extents, _, moved = _compacted(spark, sf_dir)
+    after = compaction.remap(extents, moved)
     new = F.col("chunk_id").startswith("compacted-")
     return after.select("ino", "file_offset", "length", new.alias("moved"), F.when(~new, F.col("chunk_id")).alias("stays_in"))
 
 
 @_query("select cast(0 as bigint) as ino, cast(0 as bigint) as file_offset, cast(0 as bigint) as length, '' as side where false")
 def compaction_preserved(spark, sf_dir):
-    before = _extents(spark, sf_dir)
-    return compaction.not_preserved(before, compaction.remap(before, _moved(spark, sf_dir)))
+    extents, _, moved = _compacted(spark, sf_dir)
+    return compaction.not_preserved(extents, compaction.remap(extents, moved))
 
 
 @_query(_with(_WRITE_LOG, _OVERLAY, _PLACED, _EXTENTS, _CHUNKS, _USAGE, _TARGETS, select="select chunk_id, size from chunks where chunk_id not in (select chunk_id from targets)"))
@@ -392,6 +509,33 @@ def attrs_latest(spark, sf_dir):
     return attrs.latest_attrs(changes)
 
 
+_CHANGES = """start as (select ino, size, mtime_ns, cast(7 as bigint) as ctime_ns, mode from files),
+changes as (
+  select e.ino, e.seq, e.seq * 10 as ts_ns, case when op = 'truncate' then arg end as size, case when op = 'write' then cast(arg % 512 as int) end as mode,
+    case when op = 'read' then arg end as mtime_ns from event_log e where op in ('read', 'write', 'truncate')),
+was as (
+  select c.*, coalesce(last_value(c.size ignore nulls) over (partition by c.ino order by seq rows between unbounded preceding and 1 preceding), s.size) as was
+  from changes c join start s on s.ino = c.ino),
+folded_attrs as (
+  select ino, max_by(size, seq) filter (where size is not null) as size, max_by(mode, seq) filter (where mode is not null) as mode, max_by(ts_ns, seq) as ctime_ns,
+    max_by(case when size is not null and size <> was then ts_ns else mtime_ns end, seq) filter (where (size is not null and size <> was) or mtime_ns is not null) as mtime_ns
+  from was group by ino)"""
+
+
+@_query(_with(_EVENTS, _FILES, _CHANGES, select="""select s.ino, coalesce(f.mode, s.mode) as mode, coalesce(f.size, s.size) as size, coalesce(f.mtime_ns, s.mtime_ns) as mtime_ns,
+  coalesce(f.ctime_ns, s.ctime_ns) as ctime_ns, cast(floor((coalesce(f.size, s.size) + 511) / 512) as bigint) as blocks from start s left join folded_attrs f on f.ino = s.ino"""))
+def setattr_applied(spark, sf_dir):
+    """Inodes after changes of size, mode and modification time; events stand for the changes."""
+    log = fx.event_log(spark, sf_dir).where(F.col("op").isin("read", "write", "truncate"))
+    case = lambda op, value: F.when(F.col("op") == op, value)
+    changes = log.select(
+        "ino", "seq", (F.col("seq") * 10).cast("long").alias("ts_ns"), case("truncate", F.col("arg")).alias("size"),
+        case("write", (F.col("arg") % 512).cast("int")).alias("mode"), case("read", F.col("arg")).alias("mtime_ns"),
+    )
+    inodes = fx.files(spark, sf_dir).select("ino", "mode", "size", "mtime_ns", F.lit(7).cast("long").alias("ctime_ns"), "blocks")
+    return attrs.apply_attrs(inodes, changes)
+
+
 @_query(_with(_EVENTS, select="select ino, max_by(ts, seq) as atime from event_log where op = 'read' group by ino"))
 def access_times(spark, sf_dir):
     return attrs.access_times(fx.event_log(spark, sf_dir))
@@ -423,6 +567,39 @@ def entries_fold(spark, sf_dir):
     return attrs.fold_entries(entries, log)
 
 
+@_query(_with(_ENTRIES, select="""select ino, max(m) as mtime_ns, max(c) as ctime_ns from (
+  select e.parent_ino as ino, l.doc_id as m, l.doc_id as c from entries e join labels l on e.child_ino = l.doc_id + 2 and e.name like 'doc-%'
+  union all select cast(2500000000 + quality as bigint), doc_id, doc_id from labels union all select doc_id + 2, null, doc_id from labels) x group by ino"""))
+def entry_times(spark, sf_dir):
+    """Times that the moves of labelled files set, one after another."""
+    labels = fx.table(spark, sf_dir, "labels").select((F.col("doc_id") + 2).cast("long").alias("child_ino"), "quality", F.col("doc_id").cast("long").alias("ts_ns"))
+    log = fx.dir_entries(spark, sf_dir).where(F.col("name").startswith("doc-")).join(labels, "child_ino").select(
+        "ts_ns", F.col("child_ino").alias("ino"), "parent_ino", (fx.LABEL_BASE + F.col("quality")).cast("long").alias("dst_parent")
+    )
+    return attrs.entry_times(log)
+
+
+@_query(_with(_ENTRIES, _LINKS, select="select parent_ino, name, child_ino from entries union select parent_ino, name, child_ino from links"))
+def links_fold(spark, sf_dir):
+    """Hard links as operations, and renames between the names of one inode, which change nothing."""
+    entries, links = fx.dir_entries(spark, sf_dir), fx.hard_links(spark, sf_dir).dropDuplicates()
+    none = F.lit(None)
+    made = links.select(F.lit(1).cast("long").alias("seq"), F.lit("link").alias("op"), F.col("child_ino").alias("ino"), "parent_ino", "name", none.cast("long").alias("dst_parent"), none.cast("string").alias("dst_name"))
+    old = entries.select("child_ino", F.col("parent_ino").alias("p"), F.col("name").alias("n"))
+    moved = links.join(old, "child_ino").select(F.lit(2).cast("long").alias("seq"), F.lit("rename"), F.col("child_ino"), "p", "n", "parent_ino", "name")
+    numbered = made.unionAll(moved).withColumn("seq", F.col("seq") * (1 << 40) + F.xxhash64("ino", "parent_ino", "name", "dst_name") % (1 << 30))
+    return attrs.fold_entries(entries, numbered)
+
+
+@_query(_with(_XATTRS, select="""select cast(doc_id + 2 as bigint) as ino, 'user.toxic' as name, cast(9 as bigint) as seq from labels where toxic = 0
+  union all select cast(doc_id + 2 as bigint), 'user.none', cast(9 as bigint) from labels"""))
+def xattr_removals_rejected(spark, sf_dir):
+    """Two attributes of each labelled file are removed: one is not there, the other not everywhere."""
+    labels = fx.table(spark, sf_dir, "labels").select((F.col("doc_id") + 2).cast("long").alias("ino"))
+    log = labels.select("ino", F.explode(F.array(F.lit("user.toxic"), F.lit("user.none"))).alias("name"), F.lit(9).cast("long").alias("seq"), F.lit(None).cast("string").alias("value"))
+    return attrs.xattr_rejections(namespace.latest_xattrs(fx.xattr_log(spark, sf_dir)), log)
+
+
 _FOLDED = """folded as (
   select parent_ino, name, child_ino from entries where name not like 'doc-%' or child_ino not in (select doc_id + 2 from labels)
   union all select cast(2500000000 + quality as bigint), concat('doc-', cast(doc_id as varchar)), cast(doc_id + 2 as bigint) from labels where toxic = 0)"""
@@ -465,6 +642,19 @@ def structural_diff(spark, sf_dir):
     return snapshots.difference(before, after, ("atime_ns",)).select("ino", "size", "side")
 
 
+@_query(_with(_FILES, select="select ino, size + 1 as size, mtime_ns from files"))
+def snapshot_read_back(spark, sf_dir):
+    """Inodes that were saved, changed and saved again: the version that is read is the second."""
+    root = f"{folder(spark)}/state-{uuid.uuid4().hex}"
+    empty = snapshots.load_or_empty(spark, root)
+    plain = fx.files(spark, sf_dir).select("ino", "size", "mtime_ns")
+    full = lambda df: df.select(*(F.col(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in INODES.fields))
+    snapshots.save(spark, root, empty | {"inodes": full(plain)})
+    first = snapshots.load(spark, root)["inodes"]
+    snapshots.save(spark, root, {"inodes": first.withColumn("size", F.col("size") + 1)})
+    return snapshots.load_or_empty(spark, root)["inodes"].select("ino", "size", "mtime_ns")
+
+
 @_query("""select tier, status, (status >= 500 or (tier = 'storage' and status = 403)) as retryable
   from (select unnest(['broker', 'storage']) as tier) a, (select cast(unnest([200, 400, 401, 403, 404, 429, 500, 502, 503]) as int) as status) b""")
 def retry_class(spark, sf_dir):
@@ -489,18 +679,38 @@ def _all_entries(spark, sf_dir):
 
 
 def _check(name: str, empty: str, f: Query) -> None:
+    """A check of sound tables, which no row violates."""
     QUERIES[f"check_{name}"] = f
     ORACLE_SQL[f"check_{name}"] = f"select {empty} where false"
 
 
+def _broken(name: str, oracle: str, f: Query) -> None:
+    """The same check of tables with violations, which the oracle finds by itself."""
+    QUERIES[f"broken_{name}"] = f
+    ORACLE_SQL[f"broken_{name}"] = oracle
+
+
 _E = "cast(0 as bigint) as parent_ino, '' as name, cast(0 as bigint) as child_ino"
 _check("root", "cast(0 as bigint) as ino, cast(0 as bigint) as n", lambda s, d: checks.root_is_directory(fx.inodes(s, d)))
 _check("dangling_entries", _E, lambda s, d: checks.dangling_entries(_all_entries(s, d), fx.inodes(s, d)))
 _check("parent_is_directory", _E, lambda s, d: checks.parent_not_directory(_all_entries(s, d), fx.inodes(s, d)))
 _check("unique_names", "cast(0 as bigint) as parent_ino, '' as name, cast(0 as bigint) as n", lambda s, d: checks.duplicate_names(_all_entries(s, d)))
-_check(
-    "nlink", "cast(0 as bigint) as ino, cast(0 as bigint) as nlink, cast(0 as bigint) as expected",
-    lambda s, d: checks.wrong_nlink(_all_entries(s, d), _checked_inodes(s, d)),
+_broken(
+    "nlink",
+    _with(_ENTRIES, _LINKS, _INODES, """every as (
+  select parent_ino, name, child_ino from entries union all select distinct parent_ino, name, child_ino from links
+  union all select distinct cast(1 as bigint), concat('label-', cast(parent_ino as varchar)), parent_ino from links),
+counted as (select i.ino, i.file_type, count(e.child_ino) + case when i.file_type = 16384 then 1 else 0 end as n from inodes i left join every e on e.child_ino = i.ino group by i.ino, i.file_type)""",
+    select="select ino, cast(n + 1 as bigint) as nlink, cast(n as bigint) as expected from counted where ino % 97 = 0"),
+    lambda s, d: checks.wrong_nlink(_all_entries(s, d), _checked_inodes(s, d).withColumn("nlink", F.col("nlink") + (F.col("ino") % 97 == 0).cast("int")).select("ino", "file_type", "nlink")),
+)
+_broken(
+    "names", _with(_ENTRIES, select="select parent_ino, name, cast(2 as bigint) as n from entries where child_ino % 13 = 0"),
+    lambda s, d: checks.duplicate_names(fx.dir_entries(s, d).unionAll(fx.dir_entries(s, d).where("child_ino % 13 = 0"))),
+)
+_broken(
+    "dangling_entries", _with(_ENTRIES, _INODES, select="select parent_ino, name, child_ino from entries where child_ino % 11 = 0"),
+    lambda s, d: checks.dangling_entries(fx.dir_entries(s, d), fx.inodes(s, d).where("ino % 11 <> 0")),
 )
 _check("sizes", "cast(0 as bigint) as ino, cast(0 as bigint) as size", lambda s, d: checks.negative_size(fx.inodes(s, d)))
 _check(
@@ -512,18 +722,58 @@ _check(
     lambda s, d: checks.overlapping_extents(overlay.overlay(fx.write_log(s, d))),
 )
 _check("next_ino", "cast(0 as bigint) as ino", lambda s, d: checks.ino_not_below_next(fx.inodes(s, d), fx.LINK_BASE))
-_check(
-    "symlink_type", "cast(0 as bigint) as ino, '' as target",
-    lambda s, d: checks.target_of_other_type(fx.symlinks(s, d), fx.symlinks(s, d).select("ino", F.lit(0o120000).alias("file_type"))),
+_broken(
+    "symlink_type", "select cast(page_id + 3000000000 as bigint) as ino, url as target from pages where page_id % 10 = 0",
+    lambda s, d: checks.target_of_other_type(
+        fx.symlinks(s, d), fx.symlinks(s, d).select("ino", F.when(F.col("ino") % 10 == 0, S_IFDIR).otherwise(S_IFLNK).alias("file_type"))
+    ),
+)
+_broken(
+    "xattr_inode", _with(_XATTRS, select="select ino, name from xattrs where ino % 9 = 0"),
+    lambda s, d: checks.xattr_without_inode(namespace.latest_xattrs(fx.xattr_log(s, d)), fx.inodes(s, d).where("ino % 9 <> 0")),
 )
 _check(
     "xattr_inode", "cast(0 as bigint) as ino, '' as name",
     lambda s, d: checks.xattr_without_inode(namespace.latest_xattrs(fx.xattr_log(s, d)), fx.inodes(s, d)),
 )
-_check("block_size", "cast(0 as bigint) as ino, cast(0 as int) as blksize", lambda s, d: checks.odd_block_size(fx.files(s, d), BLOCK))
+_broken(
+    "block_size", _with(_FILES, select=f"select ino, cast(512 as int) as blksize from files where size % 7 = 0"),
+    lambda s, d: checks.odd_block_size(fx.files(s, d).withColumn("blksize", F.when(F.col("size") % 7 == 0, 512).otherwise(BLOCK)), BLOCK),
+)
 _check(
     "chunk_state", "'' as chunk_id, '' as reason",
-    lambda s, d: checks.chunk_state(_with_status(_chunks(s, d)), 2 * fx.STRIPE, 1 << 40),
+    lambda s, d: checks.chunk_state(compaction.with_status(_chunks(s, d)), fx.STRIPE + 50 * 64, _next_seq(s, d)),
+)
+_broken(
+    "chunk_state",
+    _with(_WRITE_LOG, _PLACED, _CHUNKS, """judged as (
+  select chunk_id, size, cast(substr(chunk_id, 7) as bigint) as seq, cast(substr(chunk_id, 7) as bigint) % 10 = 0 as active from chunks),
+found as (
+  select chunk_id, case when active and size > 65536 then 'active chunk too large' when seq >= 20 then 'number not below the next' end as reason from judged)""",
+    select="""select chunk_id, reason from found where reason is not null union all select null, 'not one active chunk' from judged having count(case when active then 1 end) <> 1"""),
+    lambda s, d: checks.chunk_state(_tenth_active(s, d), fx.STRIPE, 20),
+)
+_check("next_seq_bound", "cast(0 as bigint) as n", lambda s, d: checks.next_seq_bound(_chunks(s, d).where("chunk_id <> 'chunk-00000000'"), _next_seq(s, d)))
+_broken("next_seq_bound", _with(_WRITE_LOG, _PLACED, _CHUNKS, select="select count(*) as n from chunks having count(*) >= 20"), lambda s, d: checks.next_seq_bound(_chunks(s, d), 20))
+_check(
+    "clean_copy", "cast(0 as bigint) as ino, cast(0 as bigint) as size, cast(0 as bigint) as atime_ns, '' as side",
+    lambda s, d: checks.versions_differ(_timed(s, d, 1), _timed(s, d, 1)),
+)
+_broken(
+    "clean_copy", _with(_FILES, select="select ino, size, cast(t as bigint) as atime_ns, side from files, (select 1 as t, 'removed' as side union all select 2, 'added') x"),
+    lambda s, d: checks.versions_differ(_timed(s, d, 1), _timed(s, d, 2)),
+)
+_check("clean_remote", "cast(0 as bigint) as ino, cast(0 as bigint) as size, '' as side", lambda s, d: checks.versions_differ(_timed(s, d, 1), _timed(s, d, 2), ("atime_ns",)))
+_check("next_ino_kept", "cast(0 as bigint) as copy_next, cast(0 as bigint) as memory_next", lambda s, d: checks.next_ino_rolled_back(fx.files(s, d).where("ino % 2 = 0"), fx.files(s, d)))
+_broken(
+    "next_ino_kept", _with(_FILES, select="select max(ino) + 1 as copy_next, max(ino) filter (where ino < 50) + 1 as memory_next from files"),
+    lambda s, d: checks.next_ino_rolled_back(fx.files(s, d), fx.files(s, d).where("ino < 50")),
+)
+_broken(
+    "extents_disjoint", _with(_WRITE_LOG, select="""select ino, file_offset, length, before from (
+  select ino, off as file_offset, len as length, max(off + len) over (partition by ino order by off, len, seq rows between unbounded preceding and 1 preceding) as before
+  from write_log where op = 'write' and len > 0) x where file_offset < before"""),
+    lambda s, d: checks.overlapping_extents(fx.write_log(s, d).where("op = 'write' and len > 0").select("ino", F.col("off").alias("file_offset"), F.col("len").alias("length"))),
 )
 _check(
     "extent_in_chunk", "cast(0 as bigint) as ino, '' as chunk_id, cast(0 as bigint) as chunk_offset, cast(0 as bigint) as length",
@@ -531,16 +781,32 @@ _check(
 )
 _check(
     "output_live", "'' as chunk_id, cast(0 as bigint) as size, cast(0 as bigint) as live",
-    lambda s, d: checks.orphans_in_output(compaction.remap(_extents(s, d), _moved(s, d)), compaction.compacted_chunks(_moved(s, d))),
+    lambda s, d: _output_orphans(*_compacted(s, d)),
 )
-_check(
-    "targets_sealed", "'' as chunk_id",
-    lambda s, d: checks.unsealed_targets(compaction_targets(s, d), _chunks(s, d).withColumn("status", F.lit("Sealed"))),
+_broken(
+    "targets_sealed",
+    _with(_WRITE_LOG, _OVERLAY, _PLACED, _EXTENTS, _CHUNKS, _USAGE, select=f"""select chunk_id from usage
+  where (size = 0 or fraction >= {THRESHOLD}) and cast(substr(chunk_id, 7) as bigint) % 10 = 0"""),
+    lambda s, d: checks.unsealed_targets(compaction_targets(s, d), _tenth_active(s, d)),
 )
+_broken("capacity", "select cast(sum(n_chars) as bigint) as used_bytes from documents having sum(n_chars) > 1000", lambda s, d: checks.over_capacity(fx.inodes(s, d), 1000))
 _check("capacity", "cast(0 as bigint) as used_bytes", lambda s, d: checks.over_capacity(fx.inodes(s, d), CAPACITY))
 _check("reserved_key", "'' as chunk_id", lambda s, d: checks.reserved_listed(sealed_chunks(s, d)))
 
 
-def _with_status(chunks: DataFrame) -> DataFrame:
-    last = chunks.agg(F.max("chunk_id").alias("last"))  # one row
-    return chunks.join(F.broadcast(last)).select("chunk_id", F.when(F.col("chunk_id") == F.col("last"), "Active").otherwise("Sealed").alias("status"), "size")
+def _output_orphans(extents: DataFrame, _: DataFrame, moved: DataFrame) -> DataFrame:
+    return checks.orphans_in_output(compaction.remap(extents, moved), compaction.compacted_chunks(moved))
+
+
+def _next_seq(spark: SparkSession, sf_dir: str) -> int:
+    return compaction.next_chunk_seq(_chunks(spark, sf_dir)).first()[0]
+
+
+def _tenth_active(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of which each tenth is called active: all but one of them are violations."""
+    tenth = F.substring("chunk_id", 7, 20).cast("long") % 10 == 0
+    return _chunks(spark, sf_dir).withColumn("status", F.when(tenth, "Active").otherwise("Sealed"))
+
+
+def _timed(spark: SparkSession, sf_dir: str, atime: int) -> DataFrame:
+    return fx.files(spark, sf_dir).select("ino", "size", F.lit(atime).cast("long").alias("atime_ns"))

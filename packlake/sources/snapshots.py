@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from ..schema import TABLES
 
+#: A file in a version's folder that says that all its tables are there.
+COMPLETE = "_COMPLETE"
 
 def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
@@ -19,11 +21,22 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm, p
 
 
+def _versions(spark: SparkSession, root: str) -> list[int]:
+    """Numbers of all versions that were begun."""
+    fs, jvm, p = _fs(spark, root)
+    if not fs.exists(p):
+        return []
+    names = (x.getPath().getName() for x in fs.listStatus(p))
+    return sorted(int(n[2:]) for n in names if n.startswith("v=") and n[2:].isdigit())
+
+
 def current_version(spark: SparkSession, root: str) -> int | None:
-    """The version that the pointer names; None before the first one."""
+    """The version that the pointer names; without a pointer the last complete one; None before
+    the first one."""
     fs, jvm, p = _fs(spark, f"{root}/CURRENT")
     if not fs.exists(p):
-        return None
+        whole = [v for v in _versions(spark, root) if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{root}/v={v}/{COMPLETE}"))]
+        return max(whole, default=None)
     stream = fs.open(p)
     try:
         return int(bytes(stream.readAllBytes()).decode().strip())
@@ -32,25 +45,30 @@ def current_version(spark: SparkSession, root: str) -> int | None:
 
 
 def publish(spark: SparkSession, root: str, version: int) -> None:
-    """Name a version as the current one: write aside, then rename over."""
+    """Name a version as the current one: mark it as complete, write the pointer aside, then
+    rename it over the old one in a single step, so that there always is a pointer."""
     fs, jvm, p = _fs(spark, f"{root}/CURRENT")
-    aside = jvm.org.apache.hadoop.fs.Path(f"{root}/CURRENT.{version}.tmp")
+    path = jvm.org.apache.hadoop.fs.Path
+    fs.create(path(f"{root}/v={version}/{COMPLETE}"), True).close()
+    aside = path(f"{root}/CURRENT.{version}.tmp")
     out = fs.create(aside, True)
     out.write(bytearray(str(version).encode()))
     out.close()
-    if fs.exists(p):
-        fs.delete(p, False)
-    if not fs.rename(aside, p):
-        raise OSError(f"could not publish version {version} at {root}")
+    rename = jvm.org.apache.hadoop.fs.Options.Rename
+    how = spark.sparkContext._gateway.new_array(rename, 1)
+    how[0] = rename.OVERWRITE
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    context.rename(fs.makeQualified(aside), fs.makeQualified(p), how)
 
 
 def save(spark: SparkSession, root: str, tables: Mapping[str, DataFrame]) -> int:
-    """Write a version, then publish it; extents are sorted so that scans prune by file."""
-    version = (current_version(spark, root) or 0) + 1
+    """Write a version, then publish it; extents are sorted so that scans prune by file. The
+    number is one that no version, complete or not, has had: nothing is written over."""
+    version = max([current_version(spark, root) or 0, *_versions(spark, root)]) + 1
     for name, df in tables.items():
         if name == "extents":
             df = df.sortWithinPartitions("ino", "file_offset")
-        df.write.mode("overwrite").parquet(f"{root}/v={version}/{name}")
+        df.write.mode("error").parquet(f"{root}/v={version}/{name}")
     publish(spark, root, version)
     return version
 

@@ -85,8 +85,3 @@ def test_read_bytes_fills_holes_with_zeros(spark):
     plan = ov.read_plan(requests, ext, sizes)
     got = {x["request_id"]: bytes(x["data"]) for x in ov.read_bytes(plan, requests, sizes, chunks).collect()}
     assert got == {1: b"cd\0\0\0\0EFGH\0\0", 2: b"FG", 3: b""}
-
-
-def test_capacity_counts_growth_only(spark):
-    log = _log(spark, [(2, 1, "write", 0, 100), (2, 2, "write", 0, 100), (2, 3, "write", 100, 1)])
-    assert [x["seq"] for x in ov.quota_rejections(log, 100).collect()] == [3]
