@@ -86,6 +86,14 @@ def load(spark: SparkSession, root: str, version: int | None = None) -> dict[str
     return out
 
 
+def load_extra(spark: SparkSession, root: str, name: str, schema: str) -> DataFrame | None:
+    """A table beside the state's own in the current version; None if it has none."""
+    version = current_version(spark, root)
+    fs, jvm, _ = _fs(spark, root)
+    path = f"{root}/v={version}/{name}"
+    return spark.read.schema(schema).parquet(path) if version is not None and fs.exists(jvm.org.apache.hadoop.fs.Path(path)) else None
+
+
 def load_or_empty(spark: SparkSession, *roots: str) -> dict[str, DataFrame]:
     """The first snapshot among roots (a local copy, then the store), or the tables of a new
     file system, which hold a root directory and nothing else."""

@@ -13,24 +13,33 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.attrs import fold_entries
+from ..operators import state as whole
 from ..operators.overlay import overlay
 from ..sources import snapshots
+from ..sources.shared import stored
+
+APPLIED = "seq long"
 
 
 def persist(log: DataFrame, root: str, checkpoint: str, trigger: str | None = None) -> StreamingQuery:
-    """Fold name changes of a stream (columns of OP_LOG) into snapshots at root. A replayed
-    batch folds to the same state; a batch without changes publishes nothing."""
+    """Fold a stream of operations (columns of OP_LOG) into snapshots at root: all tables of the
+    file system, data first and the pointer last. A version tells the last operation in it, so
+    a batch that is replayed after its version was published changes nothing, and one that
+    changes nothing publishes nothing."""
 
     def apply(batch: DataFrame, _epoch: int) -> None:
         spark = batch.sparkSession
-        if batch.isEmpty():
-            return
         state = snapshots.load_or_empty(spark, root)
-        entries = fold_entries(state["dir_entries"], batch)
-        if snapshots.current_version(spark, root) is not None and not snapshots.is_dirty(state["dir_entries"], entries):
+        done = snapshots.load_extra(spark, root, "applied", APPLIED)
+        last = done.agg(F.max("seq")).first()[0] if done is not None else None
+        fresh = stored(batch if last is None else batch.where(F.col("seq") > last))
+        if fresh.isEmpty():
+            return
+        tables = whole.apply(state, fresh)
+        clean = snapshots.current_version(spark, root) is not None
+        if clean and not any(snapshots.is_dirty(state[k], tables[k]) for k in tables):
             return
-        snapshots.save(spark, root, state | {"dir_entries": entries})
+        snapshots.save(spark, root, tables | {"applied": fresh.agg(F.max("seq").alias("seq"))})
 
     writer = log.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     writer = writer.trigger(processingTime=trigger) if trigger else writer.trigger(availableNow=True)
