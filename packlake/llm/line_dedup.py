@@ -3,9 +3,11 @@
 Every line walks a tree of fixed depth: first its number of tokens, then its leading
 tokens (tokens with a digit are variable fields, `<*>`). In the leaf it joins the template
 that it equals in the largest share of tokens, if that is at least `similarity`; positions
-that differ become variable. A template found in `min_docs` documents or more recurs: its
-lines are dropped from every document but the first that has it (the smallest doc_id), so
-that each text survives once. A document of which no line is left is rejected.
+that differ become variable. A template found in `min_docs` documents or more recurs, one of
+`long_tokens` tokens or more in `long_docs` documents (a passage of that length is not met
+twice by chance): its lines are dropped from every document but the first that has it (the
+smallest doc_id), so that each text survives once. A document of which no line is left is
+rejected.
 
 Only leaves that several documents reach can hold a recurring template, so a count of hashed
 leaves goes first, into a filter of fixed size, and only the lines that pass it travel with
@@ -43,6 +45,8 @@ DEPTH = 3
 SIMILARITY = 0.8
 MIN_DOCS = 3
 MIN_TOKENS = 3
+LONG_TOKENS = 50
+LONG_DOCS = 2
 LEAF_LINES = 20_000
 VARIABLE = "<*>"
 #: Slots of the filter of leaves; a broadcast bit each.
@@ -65,36 +69,47 @@ def parse_lines(text: str, depth: int, min_tokens: int):
         yield k, tokens, xxhash.xxh3_64_intdigest(f"{len(tokens)} {' '.join(tokens[:depth])}")
 
 
-def busy_slots(docs: DataFrame, depth: int, min_docs: int, min_tokens: int, slots: int = SLOTS) -> bytes:
+def docs_needed(long, min_docs: int, long_docs: int):
+    """The documents from which on a template recurs."""
+    return F.when(long, long_docs).otherwise(min_docs)
+
+
+def busy_slots(
+    docs: DataFrame, depth: int, min_docs: int, min_tokens: int, long_tokens: int, long_docs: int, slots: int = SLOTS
+) -> bytes:
     """One bit for each slot of leaf hashes: whether enough lines of different documents fall
     into it. The size is fixed; with very many leaves more slots are busy and let more lines
     through, and what comes after is exact."""
 
     def run(batches):
-        at, owner = [], []
+        at, owner, long = [], [], []
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if doc is not None and text:
-                    found = [h % slots for _, _, h in parse_lines(text, depth, min_tokens)]
-                    at.append(np.array(found, np.int64))
+                    found = [(h % slots, len(tokens)) for _, tokens, h in parse_lines(text, depth, min_tokens)]
+                    slot, size = np.array(found, np.int64).reshape(-1, 2).T
+                    at.append(slot)
                     owner.append(np.full(len(found), doc, np.int64))
+                    long.append(size >= long_tokens)
         if not any(map(len, at)):
             return
-        at, owner = np.concatenate(at), np.concatenate(owner)
+        at, owner, long = np.concatenate(at), np.concatenate(owner), np.concatenate(long)
         order = np.lexsort((owner, at))
-        at, owner = at[order], owner[order]
+        at, owner, long = at[order], owner[order], long[order]
         first = np.flatnonzero(np.diff(at, prepend=-1))
         last = np.append(first[1:], len(at)) - 1
-        columns = at[first], last - first + 1, owner[first], owner[last]
+        columns = at[first], last - first + 1, owner[first], owner[last], np.logical_or.reduceat(long, first)
         for k in range(0, len(first), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 100_000]) for x in columns], ["slot", "n", "lo", "hi"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x[k : k + 100_000]) for x in columns], ["slot", "n", "lo", "hi", "long"]
+            )
 
     words = (
         docs.select("doc_id", "text")
-        .mapInArrow(tidied(run), "slot long, n long, lo long, hi long")
+        .mapInArrow(tidied(run), "slot long, n long, lo long, hi long, long boolean")
         .groupBy("slot")
-        .agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-        .where((F.col("n") >= min_docs) & (F.col("lo") < F.col("hi")))
+        .agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("long").alias("long"))
+        .where((F.col("n") >= docs_needed(F.col("long"), min_docs, long_docs)) & (F.col("lo") < F.col("hi")))
         .groupBy(F.shiftright("slot", 5).alias("at"))
         .agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 31 as int))")).alias("bits"))
     )
@@ -236,19 +251,23 @@ def dropped_lines(
     min_docs: int = MIN_DOCS,
     min_tokens: int = MIN_TOKENS,
     leaf_lines: int = LEAF_LINES,
+    long_tokens: int = LONG_TOKENS,
+    long_docs: int = LONG_DOCS,
 ) -> DataFrame:
     """doc_id, text_key, drop (line numbers) of documents that lose lines."""
-    bits = busy_slots(docs, depth, min_docs, min_tokens)
+    bits = busy_slots(docs, depth, min_docs, min_tokens, long_tokens, long_docs)
     found = written(busy_lines(docs, bits, depth, min_tokens), "lines")
     shapes = found.groupBy("leaf", "norm").agg(F.count(F.lit(1)).alias("n"))
-    named = found.select("doc_id", "text_key", "line", F.xxhash64("norm").alias("norm_key")).join(
+    long = F.size(F.split("norm", " ")) >= long_tokens
+    named = found.select("doc_id", "text_key", "line", F.xxhash64("norm").alias("norm_key"), long.alias("long")).join(
         line_templates(shapes, similarity, depth, leaf_lines), "norm_key"
     )
-    named = written(named.select("doc_id", "text_key", "line", "template"), "templates")
+    named = written(named.select("doc_id", "text_key", "line", "template", "long"), "templates")
     recurring = (
         named.groupBy("template")
-        .agg(F.countDistinct("doc_id").alias("n_docs"), F.min("doc_id").alias("first_doc"))
-        .where(F.col("n_docs") >= min_docs)
+        .agg(F.countDistinct("doc_id").alias("n_docs"), F.min("doc_id").alias("first_doc"), F.max("long").alias("long"))
+        .where(F.col("n_docs") >= docs_needed(F.col("long"), min_docs, long_docs))
+        .select("template", "first_doc")
     )
     # read from a table, it does not come grouped by template, and a hot template can be split
     recurring = written(recurring, "recurring")

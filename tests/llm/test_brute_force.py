@@ -18,7 +18,7 @@ def _documents(sf):
     return dict(duckdb.sql(f"select doc_id, text from '{sf}/documents.parquet'").fetchall())
 
 
-def _templates(texts, depth=3, similarity=0.8, min_docs=3, min_tokens=3):
+def _templates(texts, depth=3, similarity=0.8, min_docs=3, min_tokens=3, long_tokens=50, long_docs=2):
     """Line numbers that each text loses, by comparing every line with every template of its leaf."""
     where = defaultdict(list)
     for d, text in texts.items():
@@ -43,7 +43,7 @@ def _templates(texts, depth=3, similarity=0.8, min_docs=3, min_tokens=3):
         for _, members in found:
             spots = [x for line in members for x in where[line]]
             docs = {d for d, _ in spots}
-            if len(docs) >= min_docs:
+            if len(docs) >= (long_docs if len(members[0]) >= long_tokens else min_docs):
                 for d, k in spots:
                     if d != min(docs):
                         lost[d].add(k)
@@ -56,8 +56,12 @@ def test_line_dedup_matches_brute_force(spark, sf):
     base = 10_000_000
     for k in range(60):  # a template with fields that have no digits
         texts[base + k] = f"Posted by user {'abcdefgh'[k % 8]}{'xyz'[k % 3]} on the board of the town today at noon\nown line {'q' * (k + 1)} here"
+    passage = " ".join(f"word{'abcdefghij'[k // 10]}{'abcdefghij'[k % 10]}" for k in range(50))
+    for k, line in enumerate((passage, passage, passage[:-7], "", passage[:-7])):  # 50 words twice, 49 words twice
+        texts[base + 100 + k] = f"{'short own line ' + 'abcde'[k]}\n{line}"
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     lost = _templates(texts)
+    assert lost[base + 101] == {1} and not any(lost.get(base + 100 + k) for k in (0, 2, 3, 4))
     assert any(d >= base for d in lost)
     out = {r["doc_id"]: r for r in line_dedup.line_dedup(docs).collect()}
     assert set(out) == set(texts)
