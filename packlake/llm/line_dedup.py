@@ -7,7 +7,9 @@ that differ become variable. A template found in `min_docs` documents or more re
 `long_tokens` tokens or more in `long_docs` documents (a passage of that length is not met
 twice by chance): its lines are dropped from every document but the first that has it (the
 smallest doc_id), so that each text survives once. A document of which no line is left is
-rejected.
+rejected. The pipeline stage leaves long templates of just two documents alone where they make
+up `COPY_SHARE` or more of the characters of both: those are near copies, which the join after
+it finds whole and not by what is left of them.
 
 Only leaves that several documents reach can hold a recurring template, so a count of hashed
 leaves goes first, into a filter of fixed size, and only the lines that pass it travel with
@@ -47,6 +49,7 @@ MIN_DOCS = 3
 MIN_TOKENS = 3
 LONG_TOKENS = 50
 LONG_DOCS = 2
+COPY_SHARE = 0.3
 LEAF_LINES = 20_000
 VARIABLE = "<*>"
 #: Slots of the filter of leaves; a broadcast bit each.
@@ -57,7 +60,7 @@ ORACLE_SQL = None
 
 
 def parse_lines(text: str, depth: int, min_tokens: int):
-    """(line number, tokens, leaf) of the lines that may be dropped."""
+    """(line number, characters, tokens, leaf) of the lines that may be dropped."""
     for k, raw in enumerate(text.split("\n")):
         tokens = split_words(raw)
         if len(tokens) < min_tokens:
@@ -66,7 +69,7 @@ def parse_lines(text: str, depth: int, min_tokens: int):
             tokens = [VARIABLE if _DIGIT.search(x) else x for x in tokens]
             if tokens.count(VARIABLE) == len(tokens):
                 continue
-        yield k, tokens, xxhash.xxh3_64_intdigest(f"{len(tokens)} {' '.join(tokens[:depth])}")
+        yield k, len(raw), tokens, xxhash.xxh3_64_intdigest(f"{len(tokens)} {' '.join(tokens[:depth])}")
 
 
 def docs_needed(long, min_docs: int, long_docs: int):
@@ -86,7 +89,7 @@ def busy_slots(
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if doc is not None and text:
-                    found = [(h % slots, len(tokens)) for _, tokens, h in parse_lines(text, depth, min_tokens)]
+                    found = [(h % slots, len(tokens)) for _, _, tokens, h in parse_lines(text, depth, min_tokens)]
                     slot, size = np.array(found, np.int64).reshape(-1, 2).T
                     at.append(slot)
                     owner.append(np.full(len(found), doc, np.int64))
@@ -120,32 +123,41 @@ def busy_slots(
 
 
 def busy_lines(docs: DataFrame, bits: bytes, depth: int, min_tokens: int) -> DataFrame:
-    """doc_id, text_key, line, leaf, norm (masked line) of the lines in busy slots."""
+    """doc_id, text_key, line, share (of the text's characters), leaf, norm (masked line) of the
+    lines in busy slots."""
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches):
         busy = shared.value
         slots = 8 * len(busy)
         for batch in batches:
-            docs_, keys, lines, leaves, norms = [], [], [], [], []
+            docs_, keys, lines, shares, leaves, norms = [], [], [], [], [], []
             for doc, key, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 if doc is None:
                     continue
-                for k, tokens, leaf in parse_lines(text or "", depth, min_tokens):
+                for k, size, tokens, leaf in parse_lines(text or "", depth, min_tokens):
                     slot = leaf % slots
                     if busy[slot >> 3] >> (slot & 7) & 1:
                         docs_.append(doc)
                         keys.append(key)
                         lines.append(k)
+                        shares.append(size / len(text))
                         leaves.append(leaf - (1 << 63))
                         norms.append(" ".join(tokens))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(docs_, pa.int64()), pa.array(keys, pa.int64()), pa.array(lines, pa.int32()), pa.array(leaves, pa.int64()), pa.array(norms, pa.string())],
-                ["doc_id", "text_key", "line", "leaf", "norm"],
+                [
+                    pa.array(docs_, pa.int64()),
+                    pa.array(keys, pa.int64()),
+                    pa.array(lines, pa.int32()),
+                    pa.array(shares, pa.float32()),
+                    pa.array(leaves, pa.int64()),
+                    pa.array(norms, pa.string()),
+                ],
+                ["doc_id", "text_key", "line", "share", "leaf", "norm"],
             )
 
     return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(
-        tidied(run), "doc_id long, text_key long, line int, leaf long, norm string"
+        tidied(run), "doc_id long, text_key long, line int, share float, leaf long, norm string"
     )
 
 
@@ -244,6 +256,21 @@ def line_templates(shapes: DataFrame, similarity: float, depth: int, leaf_lines:
     return ordered.select("leaf", "deep", "norm", "norm_key").mapInArrow(tidied(run), "norm_key long, template long")
 
 
+def near_copies(named: DataFrame, pairs: DataFrame, copy_share: float) -> DataFrame:
+    """first_doc, last_doc, n_docs of the two documents of templates that make up at least a
+    share of both."""
+    two = ["first_doc", "last_doc", "n_docs"]
+    return (
+        named.join(pairs, "template")
+        .groupBy(*two, "doc_id", "text_key")
+        .agg(F.sum("share").alias("share"))
+        .groupBy(*two)
+        .agg(F.min("share").alias("share"))
+        .where(F.col("share") >= copy_share)
+        .select(*two)
+    )
+
+
 def dropped_lines(
     docs: DataFrame,
     depth: int = DEPTH,
@@ -253,26 +280,35 @@ def dropped_lines(
     leaf_lines: int = LEAF_LINES,
     long_tokens: int = LONG_TOKENS,
     long_docs: int = LONG_DOCS,
+    copy_share: float | None = None,
 ) -> DataFrame:
     """doc_id, text_key, drop (line numbers) of documents that lose lines."""
     bits = busy_slots(docs, depth, min_docs, min_tokens, long_tokens, long_docs)
     found = written(busy_lines(docs, bits, depth, min_tokens), "lines")
     shapes = found.groupBy("leaf", "norm").agg(F.count(F.lit(1)).alias("n"))
     long = F.size(F.split("norm", " ")) >= long_tokens
-    named = found.select("doc_id", "text_key", "line", F.xxhash64("norm").alias("norm_key"), long.alias("long")).join(
+    named = found.select("doc_id", "text_key", "line", "share", F.xxhash64("norm").alias("norm_key"), long.alias("long")).join(
         line_templates(shapes, similarity, depth, leaf_lines), "norm_key"
     )
-    named = written(named.select("doc_id", "text_key", "line", "template", "long"), "templates")
+    named = written(named.select("doc_id", "text_key", "line", "share", "template", "long"), "templates")
     recurring = (
         named.groupBy("template")
-        .agg(F.countDistinct("doc_id").alias("n_docs"), F.min("doc_id").alias("first_doc"), F.max("long").alias("long"))
+        .agg(
+            F.countDistinct("doc_id").alias("n_docs"),
+            F.min("doc_id").alias("first_doc"),
+            F.max("doc_id").alias("last_doc"),
+            F.max("long").alias("long"),
+        )
         .where(F.col("n_docs") >= docs_needed(F.col("long"), min_docs, long_docs))
-        .select("template", "first_doc")
+        .drop("long")
     )
     # read from a table, it does not come grouped by template, and a hot template can be split
     recurring = written(recurring, "recurring")
+    if copy_share is not None:
+        copies = near_copies(named, recurring.where((F.col("n_docs") == 2) & (F.col("n_docs") < min_docs)), copy_share)
+        recurring = recurring.join(copies, ["first_doc", "last_doc", "n_docs"], "left_anti")
     return (
-        named.join(recurring, "template")
+        named.join(recurring.select("template", "first_doc"), "template")
         .where(F.col("doc_id") != F.col("first_doc"))
         .groupBy("doc_id", "text_key")
         .agg(F.collect_set("line").alias("drop"))
@@ -328,8 +364,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents without their recurring lines; n_chars follows the text."""
-    out = cleaned(docs).where(_KEPT)
+    """Pipeline stage: documents without their recurring lines, near copies of one document
+    left to the join; n_chars follows the text."""
+    out = cleaned(docs, copy_share=COPY_SHARE).where(_KEPT)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

@@ -182,6 +182,26 @@ def test_line_templates_do_not_depend_on_leaf_lines(spark):
     assert all(whole[50 + k] for k in range(12))
 
 
+def test_line_dedup_stage_leaves_near_copies_whole(spark):
+    words = lambda tag, n: " ".join(f"{tag}{'abcdefghij'[k // 10]}{'abcdefghij'[k % 10]}" for k in range(n))
+    passage, others = words("p", 60), [words(t, 100) + "\n" + words(t + "z", 90) for t in "uvw"]
+    rows = [
+        (1, f"{passage}\n{others[0]}"),  # 2 shares a passage with it
+        (2, f"{others[1]}\n{passage}"),
+        (4, f"{others[2]}\nthe end"),  # 5 is a near copy of it
+        (5, f"{others[2]}\nend of it"),
+        (6, words("s", 55)),  # a short document that 7 holds
+        (7, f"{words('s', 55)}\n{words('m', 99)}\n{words('n', 99)}\n{words('o', 99)}"),
+    ]
+    docs = _docs(spark, [(*row, "a") for row in rows])
+    out = {r["doc_id"]: r["text"] for r in line_dedup.stage(spark, docs, "").collect()}
+    assert out[1] == rows[0][1] and out[2] == others[1]
+    assert out[4] == rows[2][1] and out[5] == rows[3][1]
+    assert out[6] == rows[4][1] and out[7] == rows[5][1].split("\n", 1)[1]
+    alone = {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(docs).collect()}
+    assert alone[5] == "end of it" and alone[2] == others[1]
+
+
 def test_line_dedup_odd_rows(spark):
     docs = _odd_docs(spark)
     out = line_dedup.line_dedup(docs).collect()
