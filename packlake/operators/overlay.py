@@ -10,8 +10,10 @@ segments of one write become one extent again.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -167,11 +169,20 @@ def read_plan(requests: DataFrame, current: DataFrame, sizes: DataFrame) -> Data
     )
 
 
-def read_bytes(plan: DataFrame, requests: DataFrame, sizes: DataFrame, chunks: DataFrame) -> DataFrame:
+def read_bytes(
+    plan: DataFrame, requests: DataFrame, sizes: DataFrame, chunks: DataFrame, cut: Callable[[Column, Column], Column] | None = None
+) -> DataFrame:
     """request_id, data: planned pieces cut out of chunk bytes (chunk_id, content) and laid
-    over zeros. One task holds one request's bytes, never a whole file's."""
-    pieces = plan.join(chunks.select("chunk_id", "content"), "chunk_id").select(
-        "request_id", "out_offset", F.substring("content", F.col("chunk_offset") + 1, F.col("length")).alias("bytes")
+    over zeros. One task holds one request's bytes, never a whole file's.
+
+    Where the bytes of a range can be made from other columns of chunks, `cut` makes them from its
+    offset and length, once the chunk's row is with the piece: whole contents are not moved."""
+    if cut is None:
+        chunks = chunks.select("chunk_id", "content")
+        cut = lambda off, length: F.substring("content", off + 1, length)
+    # Spark takes a content that is computed for a few bytes, and would broadcast it
+    pieces = plan.join(chunks.hint("merge"), "chunk_id").select(
+        "request_id", "out_offset", cut(F.col("chunk_offset"), F.col("length")).alias("bytes")
     )
     return laid_out(pieces, requests, sizes)
 
@@ -189,8 +200,9 @@ def laid_out(pieces: DataFrame, requests: DataFrame, sizes: DataFrame) -> DataFr
     # every piece comes after its own hole, so the bytes of a request are joined once
     joined = filled.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("out_offset", F.hex("bytes").alias("x")))).alias("p"), F.max("end").alias("end"))
     data = F.unhex(F.array_join(F.transform("p", lambda x: x["x"]), ""))
-    return total.join(joined, "request_id", "left").select(
-        "request_id", F.concat(F.coalesce(data, F.lit(b"")), zero(F.col("n") - F.coalesce("end", F.lit(0)))).alias("data")
+    # the zeros of holes are not in the sizes that Spark knows: no broadcast here either
+    return total.join(joined.select("request_id", "end", data.alias("data")).hint("merge"), "request_id", "left").select(
+        "request_id", F.concat(F.coalesce("data", F.lit(b"")), zero(F.col("n") - F.coalesce("end", F.lit(0)))).alias("data")
     )
 
 

@@ -1,6 +1,7 @@
 """Every registered query with oracle SQL agrees with DuckDB at the smallest scale."""
 
 import os
+import re
 
 import duckdb
 import pytest
@@ -31,6 +32,16 @@ def test_query_matches_oracle(spark, sf, duck, name):
     assert got == want
 
 
+def test_range_read_bytes_moves_no_contents(spark, sf):
+    """Chunks are joined by their sizes, and the digits of a range are made after it: what is
+    broadcast or shuffled holds no content of a chunk."""
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    text = catalog.QUERIES["range_read_bytes"](spark, sf)._jdf.queryExecution().explainString(mode)
+    moved = re.findall(r"\) (?:Broadcast)?Exchange\nInput \[\d+\]: \[(.*?)\]", text)
+    assert any("chunk_offset" in x for x in moved)
+    assert not any("content" in x for x in moved)
+
+
 def test_every_query_has_rows_or_is_a_check(spark, sf):
     for name in ("capacity_rejections", "compaction_pack", *(k for k in catalog.QUERIES if k.startswith("broken_"))):
         assert catalog.QUERIES[name](spark, sf).count() > 0

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from packlake.operators import overlay as ov
 
@@ -85,3 +86,32 @@ def test_read_bytes_fills_holes_with_zeros(spark):
     plan = ov.read_plan(requests, ext, sizes)
     got = {x["request_id"]: bytes(x["data"]) for x in ov.read_bytes(plan, requests, sizes, chunks).collect()}
     assert got == {1: b"cd\0\0\0\0EFGH\0\0", 2: b"FG", 3: b""}
+
+
+@pytest.fixture
+def small_broadcasts(spark):
+    """A broadcast of more than 8 MB is an error."""
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "8m")
+    yield
+    spark.conf.unset("spark.sql.maxBroadcastTableSize")
+
+
+def test_read_bytes_broadcasts_no_contents(spark, small_broadcasts):
+    ids = spark.range(32)
+    chunk = F.format_string("chunk-%08d", "id").alias("chunk_id")
+    chunks = ids.select(chunk, F.encode(F.repeat(F.lit("0123456789abcdef"), 1 << 16), "utf-8").alias("content"))
+    plan = ids.select(F.col("id").alias("request_id"), chunk, F.lit(3 << 16).cast("long").alias("chunk_offset"), F.lit(20).cast("long").alias("length"), F.lit(0).cast("long").alias("out_offset"))
+    requests = ids.selectExpr("id as request_id", "id as ino", "0L as off", "20L as len")
+    sizes = ids.selectExpr("id as ino", "20L as size")
+    got = ov.read_bytes(plan, requests, sizes, chunks).collect()
+    assert len(got) == 32 and {bytes(x["data"]) for x in got} == {b"0123456789abcdef0123"}
+
+
+def test_laid_out_broadcasts_no_holes(spark, small_broadcasts):
+    ids = spark.range(32)
+    n = 1 << 20
+    pieces = ids.select(F.col("id").alias("request_id"), F.lit(n - 1).cast("long").alias("out_offset"), F.lit(b"x").alias("bytes"))
+    requests = ids.selectExpr("id as request_id", "id as ino", "0L as off", f"{n}L as len")
+    sizes = ids.selectExpr("id as ino", f"{n}L as size")
+    got = ov.laid_out(pieces, requests, sizes).select(F.octet_length("data").alias("n"), F.expr("substring(data, -2, 2)").alias("end")).collect()
+    assert len(got) == 32 and {(x["n"], bytes(x["end"])) for x in got} == {(n, b"\0x")}
